@@ -8,6 +8,7 @@ independent hashes (128 bits) are used.
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -63,10 +64,14 @@ class Roller:
     """Hashes of windows over a sequence of 64-bit codes, from prefix sums."""
 
     def __init__(self, seed: int) -> None:
+        self.seed = seed
         base = int(_codes(seed + 77, 1)[0]) | 5
         self.base, self.inverse = U64(base), U64(pow(base, -1, 1 << 64))
         self.up = self.down = np.ones(1, U64)
 
+    def __reduce__(self):
+        return roller, (self.seed,)  # in each process one per seed, with its tables of powers
+
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
             n = max(n, 2 * len(self.up))
@@ -85,9 +90,14 @@ class Roller:
         return mixed((sums[b] - sums[a]) * self.down[a] + U64(0x632BE59BD9B4E019))
 
 
+@functools.cache
+def roller(seed: int) -> Roller:
+    return Roller(seed)
+
+
 BYTE_CODES = (_codes(11, 256), _codes(12, 256))
-BYTE_ROLLERS = (Roller(21), Roller(22))
-WORD_ROLLERS = (Roller(31), Roller(32))
+BYTE_ROLLERS = (roller(21), roller(22))
+WORD_ROLLERS = (roller(31), roller(32))
 
 #: The white space of the word rule, and the lower-casing of A-Z, by byte.
 SPACE = np.zeros(256, bool)

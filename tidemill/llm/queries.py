@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, rules
+from . import mixing, packing, rules, substring
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,10 +30,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_packing, op8_quality_rules, op9_mixing)
+    found = (op3_packing, op8_quality_rules, op9_mixing, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": rules.RULES_SQL, "op9_mixing": mixing.MIX_SQL}
+    return {"op8_quality_rules": rules.RULES_SQL, "op9_mixing": mixing.MIX_SQL, "op10_substring_dedup": substring.SUBSTRING_SQL}
