@@ -5,7 +5,7 @@ A window is `WINDOW` consecutive words. D is a perfect difference cover of the p
 equal runs of 50 words, wherever they stand, share a 20-word window that begins at a
 cover position in both. Only windows at cover positions are hashed and exchanged (6 of
 31). Texts that hold a shared anchor then extend it: every 50-word window around a
-shared anchor gets a 128-bit hash, and each such window goes where its equals go,
+shared anchor gets a 96-bit hash, and each such window goes where its equals go,
 to find the smallest doc_id that has it. A word is removed if a window over it also
 starts in a document with a smaller doc_id.
 
@@ -75,8 +75,9 @@ def meta(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, META)
 
 
-_ANCHOR = np.dtype([("h", "<u8"), ("doc", "<i8"), ("many", "u1")])
-_FOUND = np.dtype([("doc", "<i8"), ("h", "<u8")])
+# anchors only name candidates, so 32 bits travel, beside the bucket's own; an accident costs work, not a result
+_ANCHOR = np.dtype([("h", "<u4"), ("doc", "<i8"), ("many", "u1")])
+_FOUND = np.dtype([("doc", "<i8"), ("h", "<u4")])
 CANDIDATES = "doc_id long, hashes binary"
 
 
@@ -103,8 +104,8 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
         found["h"], found["doc"] = h[here], doc[here]
         rows = np.zeros(new.sum(), _ANCHOR)
         rows["h"], rows["doc"], rows["many"] = h[new], doc[new], many
-        yield dealt(rows, rows["h"], buckets, 0)
-        yield dealt(found, found["h"], buckets, 1)
+        yield dealt(rows, h[new], buckets, 0)
+        yield dealt(found, h[here], buckets, 1)
 
     def scan(batches):
         held, size = [], 0
@@ -142,9 +143,10 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     return reduced(sent, {0: _ANCHOR, 1: _FOUND}, reduce, CANDIDATES)
 
 
-_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("s1", "<i8"), ("start", "<i4")])
-_HIT = np.dtype([("doc", "<i8"), ("s1", "<i8"), ("start", "<i4")])
-HITS = "doc_id long, s1 long, starts binary"
+# tag: 16 bits of the text's words, which tell apart texts that share a doc_id
+_WINDOW = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("tag", "<u2"), ("start", "<i4")])
+_HIT = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("start", "<i4")])
+HITS = "doc_id long, tag int, starts binary"
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
@@ -160,7 +162,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
         least = w["doc"][new][np.cumsum(new) - 1] if len(w) else w["doc"]
         late = w["doc"] > least
         hits = np.zeros(late.sum(), _HIT)
-        for k in ("doc", "s1", "start"):
+        for k in ("doc", "tag", "start"):
             hits[k] = w[k][late]
         return w[~late], hits
 
@@ -178,12 +180,12 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
                 w = chunk.words()
                 a, b = WORD_ROLLERS[0].sums(w.code), WORD_ROLLERS[1].sums(w.code)
                 begin, run, h = anchors(w, a)
-                sequence = signed(sequence_hash(w, a))
+                tag = (sequence_hash(w, a) >> U64(48)).astype(np.uint16)
                 known = np.zeros(len(h), bool)
                 cut = np.searchsorted(run, np.arange(len(chunk.rows) + 1))
                 for i, row in enumerate(chunk.rows):
                     x = parts[row].as_py()
-                    known[cut[i] : cut[i + 1]] = np.isin(h[cut[i] : cut[i + 1]], np.frombuffer(b"".join(x), U64))
+                    known[cut[i] : cut[i + 1]] = np.isin(h[cut[i] : cut[i + 1]].astype(np.uint32), np.frombuffer(b"".join(x), "<u4"))
                 begin, run = begin[known], run[known]
                 if not len(begin):
                     continue
@@ -198,7 +200,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
                 r = np.zeros(len(start), _WINDOW)
                 r["a"], r["b"] = WORD_ROLLERS[0].of(a, start, start + WINDOW), WORD_ROLLERS[1].of(b, start, start + WINDOW)
                 r["doc"] = ids[chunk.rows.start : chunk.rows.stop][text]
-                r["s1"], r["start"] = sequence[text], start - w.at[text]
+                r["tag"], r["start"] = tag[text], start - w.at[text]
                 held.append(r)
                 size += len(r)
                 if size > FLUSH // 2:
@@ -211,10 +213,10 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
         _, hits = decide(got[0])
         hits = np.concatenate([hits, got[1]])
         rows = []
-        for doc, s1, start in by_group(hits["doc"], hits["s1"], hits["start"]):
-            rows += [(doc, s, x.tobytes()) for s, x in by_group(s1, start)]
+        for doc, tag, start in by_group(hits["doc"], hits["tag"], hits["start"]):
+            rows += [(doc, t, x.tobytes()) for t, x in by_group(tag, start)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "s1", "starts"]
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "tag", "starts"]
         )
 
     return reduced(texts.select("doc_id", "text", "parts").mapInArrow(scan, SCHEMA), {0: _WINDOW, 1: _HIT}, reduce, HITS)
@@ -235,7 +237,7 @@ def dedup_words(docs: DataFrame) -> DataFrame:
     candidates = shared_anchors(docs).groupBy("doc_id").agg(F.collect_list("hashes").alias("parts"))
     origins = first.select(F.col("first").alias("doc_id")).distinct()
     hits = repeated_windows(docs.join(candidates, "doc_id").join(origins, "doc_id", "left_semi"))
-    spans = hits.groupBy("doc_id").agg(F.collect_list(F.struct("s1", "starts")).alias("hits"))
+    spans = hits.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "starts")).alias("hits"))
     marks = spans.join(copies, "doc_id", "full_outer")
 
     def finish(batches):
@@ -252,7 +254,7 @@ def dedup_words(docs: DataFrame) -> DataFrame:
                     begin, end = w.begin[w.at[i] : w.at[i + 1]], w.end[w.at[i] : w.at[i + 1]]
                     if int(own[i]) in copy:
                         begin, end = begin[:0], end[:0]
-                    elif mine := [x["starts"] for x in found if x["s1"] == int(own[i])]:
+                    elif mine := [x["starts"] for x in found if x["tag"] == (int(own[i]) >> 48) & 0xFFFF]:
                         gone = np.zeros(n, bool)
                         for a, b in zip(*covered(np.unique(np.frombuffer(b"".join(mine), "<i4")).astype(np.int64), WINDOW)):
                             gone[a:b] = True
