@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, rules, substring, suffix_dedup
+from . import jaccard, mixing, packing, rules, substring, suffix_dedup
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -39,9 +43,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op3_packing, op8_quality_rules, op9_mixing, op10_substring_dedup)
+    found = (op1_suffix_dedup, op3_packing, op7_jaccard_join, op8_quality_rules, op9_mixing, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": rules.RULES_SQL, "op9_mixing": mixing.MIX_SQL, "op10_substring_dedup": substring.SUBSTRING_SQL}
+    return {"op7_jaccard_join": jaccard.JACCARD_SQL, "op8_quality_rules": rules.RULES_SQL, "op9_mixing": mixing.MIX_SQL, "op10_substring_dedup": substring.SUBSTRING_SQL}
