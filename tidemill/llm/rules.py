@@ -61,7 +61,7 @@ def repeated_words(words: Column) -> Column:
 
 
 #: The symbols of the base measure.
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
@@ -80,10 +80,10 @@ def base_measures(docs: DataFrame) -> DataFrame:
 
     return (
         docs.withColumn("_m", let(word_array(text), measures))
-        .withColumn("_l", let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lines))
+        .withColumn("_l", let(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != ""), lines))
         .withColumn("n_words", F.col("_m.n_words"))
         .withColumn("word_chars", F.col("_m.word_chars"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
+        .withColumn("n_symbols", F.regexp_count(text, F.lit(SYMBOLS)).cast("long"))
         .withColumn("n_dup_lines", F.col("_l.dup"))
         .withColumn("n_repeat_words", F.col("_m.n_repeat_words"))
         .withColumn("_n_lines", F.col("_l.n"))
@@ -106,10 +106,11 @@ def _text() -> Column:
 #: The verdict's rules beyond the base. Thresholds are in whole percents, so that they are exact.
 RULES = (
     Rule("symbols", lambda: F.col("n_symbols") * 100 > F.col("n_words") * 20, (0, 0.1, 0)),
-    Rule("duplicate_lines", lambda: F.col("n_dup_lines") * 100 > F.col("_n_lines") * 30, (0, 0, 0.1)),
+    Rule("duplicate_lines", lambda: F.col("n_dup_lines") * 100 > F.col("_n_lines") * 50, (0, 0, 0.1)),
     Rule("word_length", lambda: (F.col("word_chars") < F.col("n_words") * 2) | (F.col("word_chars") > F.col("n_words") * 15), (0, 0.1, 0)),
-    Rule("exclamations", lambda: (F.length(_text()) - F.length(F.translate(_text(), "!", ""))) * 100 > F.col("n_words") * 30, (20, 0, 0)),
-    Rule("letters", lambda: F.length(F.regexp_replace(_text(), r"[^A-Za-zÀ-￿]+", "")) * 100 < F.col("word_chars") * 60, (40, 0, 0)),
+    Rule("exclamations", lambda: F.regexp_count(_text(), F.lit("!")) * 100 > F.col("n_words") * 30, (15, 0, 0)),
+    # characters of words that are no letters
+    Rule("letters", lambda: F.regexp_count(_text(), F.lit(r"[^A-Za-z\u00C0-\uFFFF\x20\x09-\x0D]")) * 100 > F.col("word_chars") * 50, (20, 0, 0)),
 )
 
 
@@ -177,9 +178,9 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed
     AND NOT n_symbols * 100 > n_words * 20
-    AND NOT n_dup_lines * 100 > n_lines * 30
+    AND NOT n_dup_lines * 100 > n_lines * 50
     AND NOT (word_chars < n_words * 2 OR word_chars > n_words * 15)
     AND NOT (length(text) - length(replace(text, '!', ''))) * 100 > n_words * 30
-    AND NOT length(regexp_replace(text, '[^A-Za-z\x{00C0}-\x{FFFF}]+', '', 'g')) * 100 < word_chars * 60 AS kept
+    AND NOT length(regexp_replace(text, '[^A-Za-z\x{00C0}-\x{FFFF}]+', '', 'g')) * 100 < word_chars * 50 AS kept
 FROM b
 """
