@@ -31,6 +31,8 @@ SAMPLE_ROWS = 4000
 """At most so many documents, by hash, train the scorer; patterns are counted over all."""
 BITS = 18
 PRIOR = 0.85
+ANCHOR = 0.05
+"""Weight of where the estimation starts, as a share of the corpus."""
 
 
 LABELLERS = ("symbols", "exclamations", "capitals", "stutter", "windows", "lines", "sentences")
@@ -103,28 +105,38 @@ def pattern(code: int) -> tuple[int, ...]:
 
 
 def em(patterns: list[tuple[tuple[int, ...], int]], prior: float = PRIOR, rounds: int = 100) -> tuple[dict[tuple[int, ...], float], float, np.ndarray]:
-    """The posterior of good for each pattern, the share of good, and P(vote | truth) as (labeller, truth, vote+1)."""
+    """The posterior of good for each pattern, the share of good, and P(vote | truth) as (labeller, truth, vote+1).
+
+    Bad documents are bad in different ways, so the bad truth is a mixture with one part per
+    labeller that speaks against; each part starts with its labeller's votes likely."""
     votes = np.array([p for p, _ in patterns], np.int64) + 1
     count = np.array([n for _, n in patterns], float)
     k = votes.shape[1]
-    start = np.empty((k, 2, 3))  # labellers are better than chance, and bad texts are bad in few ways
+    against = [j for j in range(k) if (votes[:, j] == 0).any()]
+    kinds = 1 + max(1, len(against))
+    start = np.empty((kinds, k, 3))
     for j in range(k):
-        if (votes[:, j] == 2).any():
-            start[j, 1], start[j, 0] = (0.01, 0.34, 0.65), (0.05, 0.55, 0.4)
-        else:  # it only speaks against
-            start[j, 1], start[j, 0] = (0.002, 0.998, 0.0), (0.3, 0.7, 0.0)
-    given, anchor = start.copy(), 0.05 * count.sum()
-    good, post = prior, np.zeros(len(count))
+        speaks_for = (votes[:, j] == 2).any()
+        start[0, j] = (0.01, 0.34, 0.65) if speaks_for else (0.002, 0.998, 0.0)
+        start[1:, j] = (0.05, 0.55, 0.4) if speaks_for else (0.1, 0.9, 0.0)
+    for i, j in enumerate(against):
+        start[1 + i, j] = (0.8, 0.15, 0.05)
+    given, share = start.copy(), np.array([prior] + [(1 - prior) / (kinds - 1)] * (kinds - 1))
+    weight = ANCHOR * count.sum() * share
+    post = np.zeros((kinds, len(count)))
     for _ in range(rounds):
-        log1 = math.log(good) + sum(np.log(given[j, 1, votes[:, j]]) for j in range(k))
-        log0 = math.log(1 - good) + sum(np.log(given[j, 0, votes[:, j]]) for j in range(k))
-        post = 1 / (1 + np.exp(np.clip(log0 - log1, -700, 700)))
-        good = float(min(max((post * count).sum() / count.sum(), 0.01), 0.99))
-        for truth, w in ((1, post * count), (0, (1 - post) * count)):
+        log = np.log(share)[:, None] + sum(np.log(given[:, j, votes[:, j]] + 1e-12) for j in range(k))
+        post = np.exp(log - log.max(0))
+        post /= post.sum(0)
+        mass = post * count
+        share = (mass.sum(1) + 1e-3 * count.sum()) / ((1 + 1e-3 * kinds) * count.sum())
+        for c in range(kinds):
             for j in range(k):
-                c = np.bincount(votes[:, j], w, 3) + start[j, truth] * anchor + 1e-3
-                given[j, truth] = c / c.sum()
-    return {p: float(x) for (p, _), x in zip(patterns, post)}, good, given
+                x = np.bincount(votes[:, j], mass[c], 3) + start[c, j] * weight[c] + 1e-6
+                given[c, j] = x / x.sum()
+    good = float(min(max(share[0], 0.01), 0.99))
+    bad = (given[1:] * (share[1:] / share[1:].sum())[:, None, None]).sum(0)
+    return {p: float(x) for (p, _), x in zip(patterns, post[0])}, good, np.stack([bad, given[0]], axis=1)
 
 
 def features(m: Measures, chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
