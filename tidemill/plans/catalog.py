@@ -1,15 +1,350 @@
-"""Registered queries over the reference's own operators."""
+"""Registered queries over the record operators, each with its DuckDB counterpart where SQL has one."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from ..functions import text as T
+from ..operators import audit, control
+from ..operators import records as R
+from ..sources import payloads as P
+from . import fixtures as X
+from . import spec as S
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
+
+
+def _sp(c: str) -> str:
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
+
+def _clean(c: str) -> str:
+    return _sp(rf"regexp_replace({c}, '<[^>]+>', ' ', 'g')")
+
+
+#: Records of documents, as a common table expression.
+REC = f"rec AS (SELECT doc_id, {_clean('left(text, 50)')} AS title, {_clean('text')} AS text, '' AS time, {_clean('source')} AS source, '' AS url FROM documents)"
+FP = "md5(left(title, 80) || '|' || left(text, 120) || '|' || source || '|' || url)"
+
+
+def _first(frm: str, order: str = "doc_id") -> str:
+    return f"SELECT * FROM {frm} WHERE title <> '' OR text <> '' QUALIFY row_number() OVER (PARTITION BY {FP} ORDER BY {order}) = 1"
+
+
+@query("q01_records", f"WITH {REC} SELECT doc_id, title, text, time, source, url FROM rec")
+def q01(spark, d):
+    return X.records(spark, d).select(F.col("seq").alias("doc_id"), "title", "text", "time", "source", "url")
+
+
+_HTML = r"replace(replace(replace(replace(html, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp', '&')".replace('\\"', '"')
+
+
+@query("q02_clean_html", rf"SELECT page_id, {_clean(_HTML.replace(chr(39) + '&amp' + chr(39) + ', ', chr(39) + '&amp;' + chr(39) + ', '))} AS cleaned, {_sp(chr(114) + 'egexp_replace(html, ' + chr(39) + '<[^' + chr(92) + 'n]*?>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS stripped FROM pages")
+def q02(spark, d):
+    return X.load(spark, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("cleaned"), T.light_strip(F.col("html")).alias("stripped"))
+
+
+@query("q03_time_normalise", """
+SELECT event_id, CASE event_id % 8 WHEN 5 THEN strftime(ts, '%Y-%m-%d') || ' 00:00:00' WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' WHEN 7 THEN 'junk ' || event_type
+  ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS time FROM events""")
+def q03(spark, d):
+    return X.time_shapes(spark, d).select("event_id", T.normalize_time(F.col("raw")).alias("time"))
+
+
+@query("q04_fingerprint", f"WITH {REC} SELECT doc_id, {FP} AS fp FROM rec")
+def q04(spark, d):
+    return X.records(spark, d).select(F.col("seq").alias("doc_id"), R.record_fingerprint().alias("fp"))
+
+
+@query("q05_dedup_first", f"WITH {REC}, k AS (SELECT doc_id, title, left(text, 120) AS text, lang.l AS source, '' AS url FROM rec JOIN (SELECT doc_id, lang AS l FROM documents) lang USING (doc_id)) SELECT doc_id, title, source FROM ({_first('k')})")
+def q05(spark, d):
+    r = X.records(spark, d).join(X.documents(spark, d).select(F.col("doc_id").alias("seq"), "lang"), "seq")
+    r = r.select("id", "title", F.substring("text", 1, 120).alias("text"), "time", F.col("lang").alias("source"), "url", "seq")
+    return R.deduplicate(r).select(F.col("seq").alias("doc_id"), "title", "source")
+
+
+@query("q06_dense_ids", f"WITH {REC}, f AS ({_first('rec')}) SELECT doc_id, 10000 + row_number() OVER (ORDER BY doc_id) AS id FROM f")
+def q06(spark, d):
+    return R.assign_ids(R.deduplicate(X.records(spark, d))).select(F.col("seq").alias("doc_id"), "id")
+
+
+_MERGED = f"WITH {REC}, u AS (SELECT *, 0 AS era FROM rec WHERE doc_id % 10 < 7 UNION ALL SELECT *, 1 AS era FROM rec WHERE doc_id % 10 >= 4), f AS ({_first('u', 'era, doc_id')}) SELECT 10000 + row_number() OVER (ORDER BY era, doc_id) AS id, title, text, time, source, url FROM f"
+
+
+@query("q07_merge_history", _MERGED)
+def q07(spark, d):
+    return R.merge(*X.history_and_batch(spark, d))
+
+
+@query("q08_reset", _MERGED.replace("SELECT *, 0 AS era FROM rec WHERE doc_id % 10 < 7 UNION ALL ", ""))
+def q08(spark, d):
+    return R.merge(*X.history_and_batch(spark, d), reset=True)
+
+
+@query("q09_source_family_top20", "SELECT split_part(coalesce(nullif(source, ''), '未知'), '-', 1) AS family, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, min(doc_id) LIMIT 20")
+def q09(spark, d):
+    return audit.source_families(X.documents(spark, d), "doc_id").select("family", "n")
+
+
+@query("q10_schema_check", "SELECT doc_id, doc_id % 5 <> 1 AS complete FROM documents")
+def q10(spark, d):
+    r = X.records(spark, d)
+    line = F.when(F.pmod("seq", F.lit(5)) == 1, F.to_json(F.struct("title", "text"))).otherwise(F.to_json(F.struct(*R.FIELDS), {"ignoreNullFields": "false"}))
+    return r.select(F.col("seq").alias("doc_id"), audit.has_fields(line).alias("complete"))
+
+
+@query("q11_head3", f"WITH {REC} SELECT doc_id AS id, title, source FROM rec ORDER BY doc_id LIMIT 3")
+def q11(spark, d):
+    return audit.head(X.records(spark, d).withColumn("id", F.col("seq"))).select("id", "title", "source")
+
+
+#: Paragraphs of pages without the removed elements; split at paragraph starts, since the dialect has no lookahead.
+_PARA = r"""
+h AS (SELECT page_id, list_reduce(['script', 'style', 'noscript', 'header', 'footer', 'nav', 'aside'], lambda p, t: regexp_replace(p, '(?is)<' || t || '\b[^>]*>.*?(</' || t || '\s*>|\z)', '', 'g'), html) AS h FROM pages),
+s AS (SELECT page_id, unnest(list_slice(regexp_split_to_array(regexp_replace(h, '(?s)<!--.*?-->', '', 'g'), '<p[\s>]'), 2, -1)) AS p, unnest(range(1, len(regexp_split_to_array(regexp_replace(h, '(?s)<!--.*?-->', '', 'g'), '<p[\s>]')))) AS i FROM h),
+p AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(string_split(p, '</p')[1], '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM s),
+k AS (SELECT * FROM p WHERE length(t) >= 15)"""
+
+
+def _cleaned_paragraphs(spark, d):
+    found = X.load(spark, d, "pages").select("page_id", F.posexplode(T.paragraphs(F.col("html"))).alias("i", "raw"))
+    return found.select("page_id", "i", T.clean_text(F.col("raw")).alias("t")).where(F.length("t") >= T.LEAST_PARAGRAPH)
+
+
+@query("q12_paragraphs", f"WITH {_PARA.replace('list_reduce([', 'list_reduce([html, ').replace(', html) AS h', ') AS h')} SELECT page_id, t AS paragraph FROM k")
+def q12(spark, d):
+    return _cleaned_paragraphs(spark, d).select("page_id", F.col("t").alias("paragraph"))
+
+
+@query("q13_article_text", f"WITH {_PARA.replace('list_reduce([', 'list_reduce([html, ').replace(', html) AS h', ') AS h')} SELECT page_id, left(string_agg(t, ' ' ORDER BY i), 1500) AS article FROM k GROUP BY page_id")
+def q13(spark, d):
+    parts = F.array_sort(F.collect_list(F.struct("i", "t")))
+    whole = _cleaned_paragraphs(spark, d).groupBy("page_id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("a"))
+    return whole.select("page_id", F.substring(F.trim("a"), 1, T.MOST_ARTICLE).alias("article"))
+
+
+@query("q14_domain_hit", "SELECT page_id, contains(lower(url), 'example.com') OR contains(lower(url), 'the') AS hit FROM pages")
+def q14(spark, d):
+    return X.load(spark, d, "pages").select("page_id", T.domain_hit(F.col("url"), F.array(F.lit(" Example.com "), F.lit(""), F.lit("THE"))).alias("hit"))
+
+
+@query("q15_netloc", r"SELECT page_id, regexp_extract(CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN '//' || regexp_replace(url, '^https?://', '') ELSE '' END, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS host FROM pages")
+def q15(spark, d):
+    return X.url_forms(spark, d).select("page_id", T.netloc(F.col("url")).alias("host"))
+
+
+_REST = "regexp_replace(url, '^https?://', '')"
+
+
+@query("q16_absolutise", f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://' || {_REST} WHEN 2 THEN '/' || regexp_replace({_REST}, '^[^/]*/', '') ELSE '' END AS bili,
+  CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://' || {_REST} WHEN 2 THEN 'https://www.toutiao.com/' || regexp_replace({_REST}, '^[^/]*/', '') ELSE '' END AS toutiao,
+  CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://' || {_REST} WHEN 2 THEN 'https://weibo.com/' || regexp_replace({_REST}, '^[^/]*/', '') ELSE '' END AS weibo FROM pages""")
+def q16(spark, d):
+    u = F.col("url")
+    return X.url_forms(spark, d).select("page_id", T.absolute_url(u).alias("bili"), T.absolute_url(u, "https://www.toutiao.com").alias("toutiao"), T.joined_url(u, "https://weibo.com").alias("weibo"))
+
+
+@query("q17_relaxed_hit", "SELECT doc_id, contains(lower(left(text, 200)), 'the') OR contains(lower(left(text, 200)), 'www') AS hit FROM documents")
+def q17(spark, d):
+    return X.documents(spark, d).select("doc_id", T.label_hit(F.substring("text", 1, 200), F.array(F.lit("the.example"), F.lit("www.x.cn"))).alias("hit"))
+
+
+_NAMES = ", ".join(f"({i}, '{p}', '{n}')" for i, (p, n) in enumerate(S.PLATFORMS.items()))
+
+
+@query("q18_plan_queries", f"""
+WITH k(keyword) AS (VALUES ('校园舆情'), ('a b/c')), p(i, platform, label) AS (VALUES {_NAMES}), q(platform, sites) AS (VALUES ('weibo', 'site:weibo.com OR site:m.weibo.cn OR site:s.weibo.com'),
+  ('zhihu', 'site:zhihu.com OR site:zhuanlan.zhihu.com'), ('toutiao', 'site:toutiao.com OR site:www.toutiao.com'), ('xiaohongshu', 'site:xiaohongshu.com OR site:www.xiaohongshu.com'))
+SELECT keyword, platform, label, CASE WHEN sites IS NULL THEN '' ELSE '(' || sites || ') ' || keyword END AS query,
+  'https://www.bing.com/news/search?q=' || replace(url_encode(keyword), '%2F', '/') || '&format=rss&cc=cn' AS bing_rss,
+  'https://news.google.com/rss/search?q=' || replace(url_encode(keyword), '%2F', '/') || '&hl=zh-CN&gl=CN&ceid=CN:zh-Hans' AS google_rss
+FROM k CROSS JOIN p LEFT JOIN q USING (platform)""")
+def q18(spark, d):
+    spec = S.CollectSpec(keywords=("校园舆情", "a b/c"))
+    found = S.tasks(spark, spec).join(S.search_queries(spark, spec), ["keyword", "platform"], "left")
+    return found.select("keyword", "platform", "label", F.coalesce("query", F.lit("")).alias("query"), S.bing_news_rss(F.col("keyword")).alias("bing_rss"), S.google_news_rss(F.col("keyword")).alias("google_rss"))
+
+
+@query("q19_plan_offsets", """
+WITH s(service, base, step) AS (VALUES ('bing', 1, 10), ('duckduckgo', 0, 30), ('baidu', 0, 10), ('zhihu', 0, 20), ('toutiao', 0, 20))
+SELECT service, CAST(page AS BIGINT) AS page, CAST(base + (page - 1) * step AS BIGINT) AS first FROM s, (SELECT unnest(range(1, 6)) AS page)
+UNION ALL SELECT 'media', CAST(strength AS BIGINT), CAST([6, 10, 12, 12][strength] AS BIGINT) FROM (SELECT unnest(range(1, 5)) AS strength)""")
+def q19(spark, d):
+    out = S.offsets(spark, 5).select("service", F.col("page").cast("long").alias("page"), F.col("first").cast("long").alias("first"))
+    for strength in range(1, 5):
+        out = out.unionByName(S.media(spark, strength).agg(F.lit("media").alias("service"), F.lit(strength).cast("long").alias("page"), F.count("*").alias("first")))
+    return out
+
+
+@query("q20_backoff_bounds", "SELECT CAST(a AS BIGINT) AS attempt, (a + 1) * 1.8::DOUBLE AS least_delay, (a + 1) * 4.5::DOUBLE AS most_delay, CAST(least(20, 3 * (a + 1)) AS BIGINT) AS least_wait, CAST(least(20, 3 * (a + 1) + 3) AS BIGINT) AS most_wait FROM (SELECT unnest(range(8)) AS a)")
+def q20(spark, d):
+    a = F.col("id")
+    (lo, hi), (w0, w1) = control.delay_bounds(a), control.wait_bounds(a)
+    return spark.range(8).select(a.alias("attempt"), lo.alias("least_delay"), hi.alias("most_delay"), w0.cast("long").alias("least_wait"), w1.cast("long").alias("most_wait"))
+
+
+@query("q21_status_class", "SELECT CAST(s AS BIGINT) AS status, CASE WHEN s IN (403, 412, 418, 429) THEN 'wait' WHEN s BETWEEN 200 AND 299 THEN 'ok' ELSE 'retry' END AS class FROM (SELECT unnest(range(100, 600)) AS s)")
+def q21(spark, d):
+    return spark.range(100, 600).select(F.col("id").alias("status"), control.status_class(F.col("id")).alias("class"))
+
+
+@query("q22_truthy_chain", "SELECT doc_id, CASE WHEN doc_id % 5 IN (1, 2) THEN CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE source END ELSE left(text, 20) END AS name FROM documents WHERE text <> ''")
+def q22(spark, d):
+    k = F.pmod("doc_id", F.lit(5))
+    a = F.when(k == 1, F.lit("")).when(k == 2, F.lit(None)).otherwise(F.substring("text", 1, 20))
+    b = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit("")).otherwise(F.col("source"))
+    return X.documents(spark, d).where("text <> ''").select("doc_id", T.first_truthy(a, b, default="none").alias("name"))
+
+
+_Z = _clean("left(text, 30)")
+
+
+@query("q23_typed_dispatch", f"""SELECT conv_id, turn, CASE WHEN {_Z} = '' AND left(text, 30) <> '' THEN '' WHEN left(text, 30) = '' THEN ['知乎回答', '知乎文章', '知乎问题', '知乎内容'][turn % 4 + 1] ELSE {_Z} END AS title, {_clean("CASE WHEN text = '' THEN ['知乎回答', '知乎文章', '知乎问题', '知乎内容'][turn % 4 + 1] ELSE text END")} AS text,
+  CASE turn % 4 WHEN 0 THEN 'https://www.zhihu.com/question/' || conv_id || '/answer/' || conv_id WHEN 1 THEN 'https://zhuanlan.zhihu.com/p/' || conv_id WHEN 2 THEN 'https://www.zhihu.com/question/' || conv_id ELSE 'https://z.example/' || conv_id END AS url,
+  strftime(to_timestamp(1704164645 + turn) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS time FROM conversations""")
+def q23(spark, d):
+    hits = P.items(X.zhihu_payloads(spark, d), "zhihu")
+    return P.extract(hits, "zhihu", F.struct("conv_id", "turn")).select("seq.conv_id", "seq.turn", "title", "text", "url", "time")
+
+
+_T, _B, _S = _clean("left(text, 50)"), _clean("text"), "source"
+_THIN = "doc_id % 5 IN (1, 2)"
+_URL = "'https://' || source || '.example/' || doc_id"
+_JSON = {
+    "news": (_T, _T, "source", "'2024-01-02 03:04:05'", _URL),
+    "newsapi": (_T, _clean(f"CASE WHEN {_THIN} THEN '' ELSE left(text, 50) END || ' ' || text"), f"'NewsAPI-' || CASE WHEN {_THIN} THEN 'NewsAPI' ELSE source END", "'2024-01-02T03:04:05Z'", _URL),
+    "currents": (_T, _B, f"'Currents-' || CASE WHEN {_THIN} THEN 'Currents' ELSE source END", "'2024-01-02 03:04:05'", _URL),
+    "mediacloud": (_T, _B, "'MediaCloud-' || source", "'2024-01-02 00:00:00'", _URL),
+    "bilibili": (_T, f"CASE WHEN {_THIN} OR {_B} = '' THEN {_T} ELSE {_B} END", f"CASE WHEN {_THIN} THEN 'B站' ELSE 'B站-' || source END", "strftime(to_timestamp(1704164645 + doc_id) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')", "'https://b.example/' || doc_id"),
+    "toutiao": (_T, _B, "source", "'2024-01-02 03:04:05'", "'https://www.toutiao.com/a' || doc_id"),
+}
+
+
+def _json_query(connector: str):
+    def run(spark, d):
+        hits = P.items(X.json_payloads(spark, d, connector), connector)
+        return P.extract(hits, connector, F.col("doc_id")).select(F.col("seq").alias("doc_id"), "title", "text", "source", "time", "url")
+
+    return run
+
+
+for _i, (_c, _x) in enumerate(_JSON.items()):
+    _only = f" WHERE {_T} <> '' OR {_B} <> ''" if _c == "toutiao" else ""
+    query(f"q24{'abcdefg'[_i]}_json_{_c}", f"SELECT doc_id, {_x[0]} AS title, {_x[1]} AS text, {_x[2]} AS source, {_x[3]} AS time, {_x[4]} AS url FROM documents{_only}")(_json_query(_c))
+
+
+@query("q24h_weibo_page", f"SELECT doc_id, {_clean(f'left({_B}, 50)')} AS title, {_B} AS text, '微博-' || source AS source, '2024-01-02 03:04' AS time, 'https://' || ['weibo.com', 'other.example', 's.weibo.com'][doc_id % 3 + 1] || '/' || doc_id AS url FROM documents WHERE {_B} <> ''")
+def q24h(spark, d):
+    hits = P.html_items(X.result_pages(spark, d, "weibo"), "weibo")
+    return P.weibo_records(hits, F.col("doc_id")).select(F.col("seq").alias("doc_id"), "title", "text", "source", "time", "url")
+
+
+@query("q25_html_hits", f"""SELECT doc_id, engine, {_T} AS title, CASE WHEN {_B} = '' THEN {_T} ELSE {_B} END AS text, 'https://' || ['weibo.com', 'other.example', 's.weibo.com'][doc_id % 3 + 1] || '/' || doc_id AS url
+  FROM documents, (VALUES ('bing'), ('duckduckgo')) e(engine) WHERE doc_id % 3 <> 1 AND {_T} <> ''""")
+def q25(spark, d):
+    out = None
+    domains = F.array(F.lit("weibo.com"), F.lit("s.weibo.com"))
+    for step, engine in enumerate(("bing", "duckduckgo")):
+        hits = P.html_items(X.result_pages(spark, d, engine), engine)
+        one = P.search_records(hits, engine, "微博", domains, F.struct(F.col("doc_id"), F.lit(step).alias("step"))).select("seq.doc_id", F.lit(engine).alias("engine"), "title", "text", "url")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("q25b_baidu_hits", f"""SELECT doc_id, {_T} AS title, {_clean(f"left({_clean(chr(40) + 'left(text, 50) || ' + chr(39) + ' ' + chr(39) + ' || text' + chr(41))}, 300)")} AS text FROM documents WHERE {_T} <> '' AND (doc_id % 3 <> 1 OR contains(lower({_T} || {_clean(chr(40) + 'left(text, 50) || ' + chr(39) + ' ' + chr(39) + ' || text' + chr(41))}), 'weibo') OR contains(lower({_T} || {_clean(chr(40) + 'left(text, 50) || ' + chr(39) + ' ' + chr(39) + ' || text' + chr(41))}), 's'))""")
+def q25b(spark, d):
+    hits = P.html_items(X.result_pages(spark, d, "baidu"), "baidu")
+    return P.search_records(hits, "baidu", "微博", F.array(F.lit("weibo.com"), F.lit("s.weibo.com")), F.col("doc_id")).select(F.col("seq").alias("doc_id"), "title", "text")
+
+
+@query("q26_rss_items", f"SELECT doc_id, {_T} AS title, CASE WHEN {_B} = '' THEN {_T} ELSE {_B} END AS text, source, '2024-01-02 03:04:05' AS time, {_URL} AS url FROM documents WHERE {_T} <> '' OR {_B} <> ''")
+def q26(spark, d):
+    hits = P.rss_items(X.feeds(spark, d))
+    return P.rss_records(hits, F.col("feed_source"), True, F.col("doc_id")).where("title <> '' OR text <> ''").select(F.col("seq").alias("doc_id"), "title", "text", "source", "time", "url")
+
+
+@query("q27_cascade", """
+WITH s AS (SELECT lang, source, doc_id % 3 AS step, count(*) AS n FROM documents GROUP BY ALL)
+SELECT lang, source, CAST(step AS BIGINT) AS step, n FROM s QUALIFY coalesce(sum(n) OVER (PARTITION BY lang, source ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 10""")
+def q27(spark, d):
+    steps = X.documents(spark, d).groupBy("lang", "source", F.pmod("doc_id", F.lit(3)).cast("long").alias("step")).agg(F.count("*").alias("n"))
+    return control.cascade(steps, ["lang", "source"], "step", "n")
+
+
+@query("q28_fallback_threshold", """
+WITH t AS (SELECT DISTINCT lang, source FROM documents), p AS (SELECT lang, source, doc_id FROM documents WHERE doc_id % 4 = 0), f AS (SELECT lang, source, doc_id FROM documents WHERE doc_id % 4 = 1),
+few AS (SELECT lang, source FROM t LEFT JOIN p USING (lang, source) GROUP BY ALL HAVING count(p.doc_id) < 5)
+SELECT *, 'own' AS origin FROM p UNION ALL SELECT f.*, 'search' FROM f JOIN few USING (lang, source)""")
+def q28(spark, d):
+    t = X.documents(spark, d).select("lang", "source", "doc_id")
+    own = t.where("doc_id % 4 = 0").withColumn("origin", F.lit("own"))
+    search = t.where("doc_id % 4 = 1").withColumn("origin", F.lit("search"))
+    return control.with_fallback(own, search, t.select("lang", "source").distinct(), ["lang", "source"])
+
+
+@query("q29_ordered_distinct", "SELECT lang, string_agg(source, ',' ORDER BY f) AS sources FROM (SELECT lang, source, min(doc_id) AS f FROM documents WHERE source <> '' GROUP BY ALL) GROUP BY lang")
+def q29(spark, d):
+    rows = X.documents(spark, d).withColumn("pair", F.struct("lang", "source")).where("source <> ''")
+    seen = rows.groupBy("lang", "source").agg(F.min("doc_id").alias("first"))
+    return seen.groupBy("lang").agg(control.joined_list(seen, "source", "first").alias("sources"))
+
+
+@query("q30_dims", "SELECT source, min(doc_id) AS first FROM documents WHERE source IS NOT NULL AND source NOT IN ('', '0') GROUP BY source")
+def q30(spark, d):
+    return control.ordered_distinct(X.documents(spark, d), "source", "doc_id")
+
+
+@query("q31_page_stop", """
+WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page, event_type <> 'error' AND value IS NOT NULL AS ok, event_id % 7 <> 0 AS full_page, event_id FROM events)
+SELECT user_id, page, event_id FROM p QUALIFY ok AND coalesce(min(CASE WHEN ok AND full_page THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) = 1""")
+def q31(spark, d):
+    from pyspark.sql import Window
+
+    pages = X.load(spark, d, "events").select(
+        "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("page"), ((F.col("event_type") != "error") & F.col("value").isNotNull()).alias("ok"), (F.pmod("event_id", F.lit(7)) != 0).alias("full_page"), "event_id"
+    )
+    return control.page_stop(pages, ["user_id"], "page", "ok", "full_page").select("user_id", "page", "event_id")
+
+
+@query("q32_int_list", "SELECT raw, CAST(ids AS VARCHAR) AS ids FROM (VALUES ('1, 2,x,,3', '[1, 2, 3]'), ('', '[]'), ('34412234', '[34412234]'), ('-5,+6, 7 ', '[-5, 6, 7]')) t(raw, ids)")
+def q32(spark, d):
+    rows = spark.createDataFrame([("1, 2,x,,3",), ("",), ("34412234",), ("-5,+6, 7 ",)], "raw string")
+    return rows.select("raw", F.concat(F.lit("["), F.array_join(F.transform(T.int_list(F.col("raw")), lambda x: x.cast("string")), ", "), F.lit("]")).alias("ids"))
+
+
+@query("q33_json_roundtrip", f"WITH {REC} SELECT doc_id AS id, title, text, time, source, url FROM rec")
+def q33(spark, d):
+    """Records as JSON lines and back."""
+    r = X.records(spark, d).withColumn("id", F.col("seq")).select(F.to_json(F.struct(*R.FIELDS), {"ignoreNullFields": "false"}).alias("line"))
+    return r.select(F.from_json("line", R.RECORD).alias("r")).select("r.*")
+
+
+@query("q34_append_new", f"WITH {REC}, h AS ({_first('rec')} AND doc_id % 10 < 7), b AS ({_first('rec')} AND doc_id % 10 >= 4) SELECT title, source FROM b WHERE {FP} NOT IN (SELECT {FP} FROM h)".replace("WHERE title <> '' OR text <> '' QUALIFY", "WHERE (title <> '' OR text <> '') AND @ QUALIFY").replace(" AND doc_id % 10 < 7)", ")").replace(" AND doc_id % 10 >= 4)", ")").replace("@", "doc_id % 10 < 7", 1).replace("@", "doc_id % 10 >= 4", 1))
+def q34(spark, d):
+    h, b = X.history_and_batch(spark, d)
+    return R.append_new(R.merge(h, b.limit(0)), b).select("title", "source")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = R.assign_ids(R.deduplicate(X.records(spark, sf_dir)))
+    return audit.source_families(numbered).select("family", "n", "first")
