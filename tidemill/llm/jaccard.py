@@ -18,9 +18,10 @@ The boundary is the size that costs least: subsets enumerated below it against p
 and checks above it, from the histogram of small sizes.
 
 Pairs from lists are checked on whole sets. A short list yields all its pairs. A long one
-yields a star per size band first; after components are known, its members that are not
-in the list's main component are paired with all others of another component. So a large
-family of near copies costs one check per member and list, and no link is lost.
+yields a star per size band first. After components are known, the long lists that lie
+mainly in one component are one group, and its members outside that component are compared
+with all others of the group, in blocks. So a large family of near copies costs one check per
+member and list, and no link is lost.
 
 Null texts have empty sets; rows with one doc_id count as one document, linked with the
 texts of all of them; a null doc_id is returned as its own class. An empty table gives an
@@ -45,7 +46,8 @@ from .exchange import SCHEMA, bucket_count, dealt, reduced
 SHINGLE = 5
 PERCENT = 75
 SLOTS, PARTS = 1 << 22, 64
-SHORT_LIST = 40
+SHORT_LIST = 8
+BLOCK = 256
 LARGEST_LIGHT = 14
 CHECK_COST = 8.0
 """Cost of one posting of a heavy set, its list's checks included, in subsets enumerated."""
@@ -304,6 +306,47 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def linked_rest(group: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """group: main, doc_id, n, c (component). Links between a member outside component `main` and any member of another component.
+
+    Members are dealt by hash into blocks of about BLOCK; a task holds two blocks at a time."""
+
+    def blocks(members: DataFrame, name: str) -> DataFrame:
+        count = members.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+        dealt_ = members.join(count, "main").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).join(sets, "doc_id")
+        return dealt_.groupBy("main", "part").agg(F.collect_list(F.struct("doc_id", "n", "c", "shingles")).alias(name)).drop("part")
+
+    outside = group.where("c <> main")
+    some = group.join(outside.select("main").distinct(), "main", "left_semi")
+
+    def rows(items):
+        x = items.values
+        raw = [v.as_buffer() for v in x.field("shingles")]
+        return x.field("doc_id").to_numpy(), x.field("n").to_numpy(), x.field("c").to_numpy(), np.array([v.size // 8 for v in raw]), np.frombuffer(b"".join(raw), U64)
+
+    def compare(batches):
+        for batch in batches:
+            for left, right in zip(batch.column("left"), batch.column("right")):
+                a, na, ca, sa, ha = rows(left)
+                b, nb, cb, sb, hb = rows(right)
+                token, where = np.unique(np.concatenate([ha, hb]), return_inverse=True)
+                x, y = np.repeat(np.arange(len(a)), sa), np.repeat(np.arange(len(b)), sb)
+                both = np.zeros((len(a), len(b)), np.float32)
+                for lo in range(0, len(token), 4096):  # counts of common shingles, by slices of the vocabulary
+                    wa, wb = where[: len(ha)] - lo, where[len(ha) :] - lo
+                    ia, ib = (wa >= 0) & (wa < 4096), (wb >= 0) & (wb < 4096)
+                    if ia.any() and ib.any():
+                        p, q = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
+                        p[x[ia], wa[ia]] = 1
+                        q[y[ib], wb[ib]] = 1
+                        both += p @ q.T
+                ok = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (ca[:, None] != cb[None, :])
+                i, j = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j])], ["a", "b"])
+
+    return blocks(outside, "left").join(blocks(some, "right"), "main").select("left", "right").mapInArrow(compare, "a long, b long")
+
+
 def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -329,15 +372,9 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         label = materialise(label)
         long = materialise(long.join(label, long["doc_id"] == label["node"], "left").select("list", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")))
         main = long.groupBy("list", "c").agg(F.count("*").alias("k")).groupBy("list").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-        # the rest of each list meets its other components; one text per class and list is enough
-        one = long.groupBy("list", "c", "doc_id").agg(F.max("n").alias("n")).join(main, "list")
-        rest = one.where("c <> main").select("list", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        other = one.select("list", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "main")
-        more = rest.join(other, "list").where(
-            ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb"))
-            & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = linked(more.join(pairs, ["a", "b"], "left_anti"), sets, percent)
+        # lists of one main component are one group; its members outside that component are compared with all others, in blocks
+        group = materialise(long.join(main, "list").groupBy("main", "doc_id").agg(F.max("n").alias("n"), F.max("c").alias("c")))
+        more = linked_rest(group, sets, percent)
         label = components(links.unionByName(more))
     named = rows.join(label, rows["doc_id"] == label["node"], "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
