@@ -11,12 +11,13 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Java's Unicode class misses four of the separators that count as white space here.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
@@ -107,15 +108,28 @@ def netloc(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
 
 
-def domain_hit(url: Column, domains: Column) -> Column:
+def _some(domains: Column | list[str], low: Column, whole: bool) -> Column:
+    """Whether a domain, or its first label, occurs. A list of names becomes plain conditions, which may stand beside Python UDFs."""
+    if isinstance(domains, list):
+        names = [d.strip().lower() if whole else d.split(".")[0] for d in domains]
+        out = F.lit(False)
+        for n in names:
+            out = out | F.contains(low, F.lit(n)) if n or not whole else out
+        return out
+    if whole:
+        return F.exists(domains, lambda d: (F.trim(d) != "") & F.contains(low, F.lower(F.trim(d))))
+    return F.exists(domains, lambda d: F.contains(low, F.split_part(d, F.lit("."), F.lit(1))))
+
+
+def domain_hit(url: Column, domains: Column | list[str]) -> Column:
     """A domain occurs in the url, in any case; blank domains never do."""
     low = F.lower(F.coalesce(url, F.lit("")))
-    return (low != "") & F.exists(domains, lambda d: (F.trim(d) != "") & F.contains(low, F.lower(F.trim(d))))
+    return (low != "") & _some(domains, low, True)
 
 
-def label_hit(text: Column, domains: Column) -> Column:
+def label_hit(text: Column, domains: Column | list[str]) -> Column:
     """The first label of a domain occurs in the text, in any case of the text."""
-    return F.exists(domains, lambda d: F.contains(F.lower(text), F.split_part(d, F.lit("."), F.lit(1))))
+    return _some(domains, F.lower(text), False)
 
 
 def absolute_url(url: Column, site: str = "") -> Column:
@@ -127,7 +141,7 @@ def absolute_url(url: Column, site: str = "") -> Column:
     return out.otherwise(url)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without_dots(url: pd.Series) -> pd.Series:
     from urllib.parse import urljoin
 

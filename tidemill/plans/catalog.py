@@ -263,7 +263,7 @@ def q24h(spark, d):
   FROM documents, (VALUES ('bing'), ('duckduckgo')) e(engine) WHERE doc_id % 3 <> 1 AND {_T} <> ''""")
 def q25(spark, d):
     out = None
-    domains = F.array(F.lit("weibo.com"), F.lit("s.weibo.com"))
+    domains = ["weibo.com", "s.weibo.com"]
     for step, engine in enumerate(("bing", "duckduckgo")):
         hits = P.html_items(X.result_pages(spark, d, engine), engine)
         one = P.search_records(hits, engine, "微博", domains, F.struct(F.col("doc_id"), F.lit(step).alias("step"))).select("seq.doc_id", F.lit(engine).alias("engine"), "title", "text", "url")
@@ -274,7 +274,7 @@ def q25(spark, d):
 @query("q25b_baidu_hits", f"""SELECT doc_id, {_T} AS title, {_clean(f"left({_clean(chr(40) + 'left(text, 50) || ' + chr(39) + ' ' + chr(39) + ' || text' + chr(41))}, 300)")} AS text FROM documents WHERE {_T} <> '' AND (doc_id % 3 <> 1 OR contains(lower({_T} || {_clean(chr(40) + 'left(text, 50) || ' + chr(39) + ' ' + chr(39) + ' || text' + chr(41))}), 'weibo') OR contains(lower({_T} || {_clean(chr(40) + 'left(text, 50) || ' + chr(39) + ' ' + chr(39) + ' || text' + chr(41))}), 's'))""")
 def q25b(spark, d):
     hits = P.html_items(X.result_pages(spark, d, "baidu"), "baidu")
-    return P.search_records(hits, "baidu", "微博", F.array(F.lit("weibo.com"), F.lit("s.weibo.com")), F.col("doc_id")).select(F.col("seq").alias("doc_id"), "title", "text")
+    return P.search_records(hits, "baidu", "微博", ["weibo.com", "s.weibo.com"], F.col("doc_id")).select(F.col("seq").alias("doc_id"), "title", "text")
 
 
 @query("q26_rss_items", f"SELECT doc_id, {_T} AS title, CASE WHEN {_B} = '' THEN {_T} ELSE {_B} END AS text, source, '2024-01-02 03:04:05' AS time, {_URL} AS url FROM documents WHERE {_T} <> '' OR {_B} <> ''")

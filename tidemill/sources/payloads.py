@@ -5,8 +5,6 @@ exploded with their place, so the order of items survives. Null or misshapen con
 give no rows; with strict=True a payload that lacks its container raises instead.
 """
 
-from __future__ import annotations
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,24 +108,19 @@ def extract(hits: DataFrame, connector: str, seq: Column | None = None, entities
 HIT = "array<struct<title string, url string, snippet string, time string, name string>>"
 
 
-def parse_hits(page: str | None, engine: str) -> list[dict]:
-    """Hits of a result page, in order, by the engine's markup."""
-    from .markup import hits
-
-    return hits(page or "", engine)
-
-
 def html_items(pages: DataFrame, engine: str, page: str = "page") -> DataFrame:
     """pages with item_ix and item (HIT's struct); markup is read in Arrow batches."""
-    @F.pandas_udf(HIT)
+    from .markup import hits
+
     def read(c: pd.Series) -> pd.Series:
-        return c.map(lambda p: parse_hits(p, engine))
+        return c.map(lambda p: hits(p or "", engine))
 
+    read = F.pandas_udf(read, HIT)
     keep = [c for c in pages.columns if c != page]
     return pages.select(*keep, F.posexplode(read(F.col(page))).alias("item_ix", "item"))
 
 
-def search_records(hits: DataFrame, engine: str, platform: str, domains: Column, seq: Column | None = None) -> DataFrame:
+def search_records(hits: DataFrame, engine: str, platform: str, domains: list[str], seq: Column | None = None) -> DataFrame:
     """Records of a search engine's hits that have a title and a wanted domain; the third engine also takes a domain's label in the text."""
     title, where = clean_text(F.col("item.title")), F.coalesce(F.col("item.url"), F.lit(""))
     snippet = first_truthy(clean_text(F.col("item.snippet")), title)
