@@ -47,7 +47,7 @@ PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes."""
 
-    REMEMBERED = 400_000
+    REMEMBERED = 1_000_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -55,17 +55,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def ids(self, text: str) -> bytes:
         x = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(x)}I", *x)
 
     def learn(self, pieces: set[str]) -> None:
+        """Pieces not known yet are encoded as one text; an id that ends a word ends a piece."""
         if len(self.known) + len(pieces) > self.REMEMBERED:
             self.known.clear()
         new = [p for p in pieces if p not in self.known]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for i in range(0, len(new), 8192):
+            part = new[i : i + 8192]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) != len(part) or len(ids) and end[-1] != len(ids):
+                self.known.update((p, self.ids(p)) for p in part)
+                continue
+            raw = ids.tobytes()
+            self.known.update((p, raw[a:b]) for p, a, b in zip(part, (np.concatenate([[0], end[:-1]]) * 4).tolist(), (end * 4).tolist()))
 
     def all(self, texts: list[str]) -> Iterator[bytes]:
         i = 0

@@ -200,7 +200,9 @@ def quality_scores(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: f
     weak = np.full(3 ** len(LABELLERS), good)
     for p, x in posterior.items():
         weak[sum((v + 1) * 3**i for i, v in enumerate(p))] = x
-    sample = docs.select("doc_id", "text").where("text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("text").collect()
+    share = min(1.0, sample_rows / sum(n for _, n in counted))
+    by_hash = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = docs.select("doc_id", "text").where("text IS NOT NULL").where(by_hash).limit(sample_rows).select("text").collect()
     texts = [r["text"] for r in sample]
     target = [weak[Measures(c).codes()] for c in chunks(pa.array(texts, pa.string()))]
     weights = fit_scorer(texts, np.concatenate(target)) if texts else np.zeros((1 << BITS) + 1)
