@@ -17,7 +17,7 @@ Texts with equal sets are one class, and only the class takes part. Of the rest:
 The boundary is the size that costs least: subsets enumerated below it against postings
 and checks above it, from the histogram of small sizes.
 
-Pairs from lists are checked on whole sets. A short list yields all its pairs. A long one
+Pairs from lists that bitmaps of the sets do not rule out are checked on whole sets. A short list yields all its pairs. A long one
 yields a star per size band first. After components are known, the long lists that lie
 mainly in one component are one group, and its members outside that component are compared
 with all others of the group, in blocks. So a large family of near copies costs one check per
@@ -93,19 +93,34 @@ def set_hashes(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-META = "doc_id long, n_shingles long, s1 long, s2 long, part int, counts binary"
-_META = ["doc_id", "n_shingles", "s1", "s2", "part", "counts"]
+def parities(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: bit p tells whether an odd number of its shingles end in p. Its bits are a power of two, two a shingle or more.
+
+    The bits in which two sets' bitmaps differ, the longer one folded by exclusive or, are at most the
+    shingles that only one of them has."""
+    n = np.diff(at)
+    bits = np.int64(1) << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    odd = np.zeros(begin[-1], np.uint8)
+    np.add.at(odd, np.repeat(begin[:-1], n) + (h & np.repeat(bits - 1, n).astype(U64)).astype(np.int64), 1)
+    packed, begin = np.packbits(odd & 1), begin // 8
+    return [packed[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+
+
+META = "doc_id long, n_shingles long, s1 long, s2 long, parity binary, part int, counts binary"
+_META = ["doc_id", "n_shingles", "s1", "s2", "parity", "part", "counts"]
 
 
 def meta(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, size and 128 bits of its set (part null); and each task's shingle counts (part not null), up to 255."""
+    """Per row: doc_id, size, 128 bits and bitmap of its set (part null); and each task's shingle counts (part not null), up to 255."""
 
     def run(batches):
         counts = None
         for batch in batches:
-            out = []
+            out, parity = [], []
             for chunk in chunks(batch.column("text")):
                 h, at, n = shingle_sets(chunk)
+                parity += parities(h, at)
                 if counts is None:
                     counts = np.zeros(SLOTS, np.uint32)
                 np.add.at(counts, (h & U64(SLOTS - 1)).astype(np.int64), 1)
@@ -113,11 +128,11 @@ def meta(docs: DataFrame) -> DataFrame:
             if out:
                 n, s1, s2 = (np.concatenate(x) for x in zip(*out))
                 none = pa.nulls(len(n))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2)), none.cast(pa.int32()), none.cast(pa.binary())], _META)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(parity, pa.binary()), none.cast(pa.int32()), pa.nulls(len(n), pa.binary())], _META)
         if counts is not None:
             parts = np.minimum(counts, 255).astype(np.uint8).reshape(PARTS, -1)
             none = pa.nulls(PARTS).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], _META)
+            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], _META)
 
     return docs.mapInArrow(run, META)
 
@@ -286,6 +301,32 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
+def possible(pairs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps of rows (META) do not rule out; no pair that links is lost.
+
+    A doc_id with several texts has no bitmap and rules nothing out."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    one = rows.where("n_shingles > 0").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.max("n_shingles").alias("n"), F.when(F.count("*") == 1, F.max("parity")).alias("p")
+    )
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for na, nb, x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("pa"), batch.column("pb")):
+                if not (x.is_valid and y.is_valid):
+                    ok.append(True)
+                    continue
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                small, large = (x, y) if len(x) <= len(y) else (y, x)
+                apart = np.bitwise_xor.reduce(large.reshape(-1, len(small)), axis=0) ^ small
+                ok.append(int(np.bitwise_count(apart).sum()) <= na + nb - 2 * needed(na, nb, percent))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+
+    return pairs.select("a", "b").join(one.toDF("b", "nb", "pb"), "b").join(one.toDF("a", "na", "pa"), "a").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets link, checked on whole sets."""
 
@@ -359,7 +400,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     member = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes, ["s1", "s2"]).select("doc_id", "rep")
     same = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    pairs = found.where("kind = 0").select("a", "b")
+    pairs = materialise(possible(found.where("kind = 0"), rows, percent))
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).unionByName(
         _members(found).select("doc_id")
     ).distinct()
