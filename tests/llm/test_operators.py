@@ -340,3 +340,23 @@ def test_pipeline(spark, tmp_path, docs):
     kept = {r["doc_id"] for r in rules.quality_rules(docs).where("kept").collect()}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and {r["doc_id"] for r in out} <= kept
+
+
+def test_parities_rule_out_no_linked_pair():
+    r = np.random.default_rng(3)
+    for n, m, both in [(1, 1, 1), (40, 50, 40), (200, 210, 180), (5000, 6000, 4800), (300, 300, 0)]:
+        h = r.integers(0, 1 << 63, n + m - both).astype(np.uint64)
+        x, y = np.sort(h[:n]), np.sort(h[n - both :])
+        p, q = (np.frombuffer(b, np.uint8) for b in jaccard.parities(np.concatenate([x, y]), np.array([0, n, n + m])))
+        small, large = (p, q) if len(p) <= len(q) else (q, p)
+        apart = int(np.bitwise_count(np.bitwise_xor.reduce(large.reshape(-1, len(small)), axis=0) ^ small).sum())
+        assert apart <= n + m - 2 * both
+
+
+@pytest.mark.parametrize("marks", [64, 1 << 25])
+def test_rows_of_full_or_sparse_marks(spark, monkeypatch, marks):
+    monkeypatch.setattr(jaccard, "MARKS", marks)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)] + [(7, "text 70"), (None, "x"), (8, None)], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 300, 7)] + [(-5,)], "doc_id long")
+    got = sorted(map(tuple, jaccard.rows_of(docs, ids).collect()))
+    assert got == [(i, f"text {i}" if i != 7 else "text 70") for i in range(0, 300, 7)]

@@ -52,6 +52,8 @@ LARGEST_LIGHT = 14
 CHECK_COST = 8.0
 """Cost of one posting of a heavy set, its list's checks included, in subsets enumerated."""
 FLUSH = 1_500_000
+MARKS = 1 << 25
+"""Bits that tell which texts have pairs to check (4 MB)."""
 
 
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
@@ -301,6 +303,31 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
+def marked(ids: DataFrame) -> np.ndarray:
+    """MARKS bits, in 64-bit words: those that doc_ids hash to are set. Of fixed size, so it can be sent to all tasks."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    got = ids.select(place.alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("bits")).toArrow()
+    out = np.zeros(MARKS // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out
+
+
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the doc_ids in ids, one row each (the largest text).
+
+    Marks let most other texts go before the exchange; as they fill up, more texts are sent, and the join still decides."""
+    marks = docs.sparkSession.sparkContext.broadcast(marked(ids))
+
+    def run(batches):
+        bits = marks.value
+        for batch in batches:
+            p = batch.column("_p").to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1)).select(["doc_id", "text"])
+
+    some = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).alias("_p")).mapInArrow(run, "doc_id long, text string")
+    return some.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+
+
 def possible(pairs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that sizes and bitmaps of rows (META) do not rule out; no pair that links is lost.
 
@@ -404,7 +431,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).unionByName(
         _members(found).select("doc_id")
     ).distinct()
-    sets = materialise(sets_of(docs.join(wanted, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max("shingles").alias("shingles")))
+    sets = materialise(sets_of(rows_of(docs, materialise(wanted))))
     sure = found.where("kind = 1").select("a", "b")
     links = materialise(linked(pairs, sets, percent).unionByName(sure).unionByName(same))
     label = components(links)
