@@ -180,6 +180,13 @@ def test_packing(docs):
         assert sum(r["length"] for r in parts) <= 4096
 
 
+def test_encoder_that_forgets_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(packing.Encoder, "REMEMBERED", 3)
+    enc = packing.Encoder(tokenizer_path())
+    for texts in (["the cat sat"], ["the dog, the end", "a cat"], ["one two three four five six the"]):
+        assert list(enc.all(texts)) == [enc.ids(t) for t in texts]
+
+
 def test_packing_plan_is_whole_and_tight():
     r = np.random.default_rng(0)
     h = Counter(int(x) for x in r.integers(1, 257, 20000))

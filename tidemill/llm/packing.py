@@ -64,10 +64,11 @@ class Encoder:
         return struct.pack(f"<{len(x)}I", *x)
 
     def learn(self, pieces: set[str]) -> None:
-        """Pieces not known yet are encoded as one text; an id that ends a word ends a piece."""
-        if len(self.known) + len(pieces) > self.REMEMBERED:
-            self.known.clear()
+        """Makes all of these pieces known, which may forget others. New ones are encoded as one text; an id that ends a word ends a piece."""
         new = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(new) > self.REMEMBERED:
+            self.known.clear()
+            new = list(pieces)
         for i in range(0, len(new), 8192):
             part = new[i : i + 8192]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -86,7 +87,7 @@ class Encoder:
                 size += len(texts[j])
                 j += 1
             split = [PIECE.findall(t.lower()) if PLAIN.fullmatch(t) else None for t in texts[i:j]]
-            self.learn({p for s in split if s for p in s}.difference(self.known))
+            self.learn({p for s in split if s for p in s})
             get = self.known.__getitem__
             for t, s in zip(texts[i:j], split):
                 yield self.ids(t) if s is None else b"".join(map(get, s))
