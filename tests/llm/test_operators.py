@@ -249,6 +249,19 @@ def test_pii_round_trip_and_formats():
     assert pii.rewrite("4041894974608796 2024-02-30 999.1.1.1", p)[1] == Counter()
 
 
+def test_pii_values_beside_other_groups():
+    p, card, iban = pii.Pseudonyms(), "4111111111111111", "BE68 5390 0754 7034"
+    new, grouped = p.card(card), p.card("4111 1111 1111 1111")
+    for a, b in (("", " 123 ok"), ("", " 12/26"), ("12 ", ""), ("7 12-", " 9"), ("555-12 ", ", 3"), ("", " 12-26-2024"), ("10 22 33 44 55 66 77 ", "")):
+        for x, y in ((card, new), ("4111 1111 1111 1111", grouped)):
+            got, found = pii.rewrite(f"{a}{x}{b}", p)
+            assert y in got and found["card"] and not found["phone"], (a, x, b, got)
+    for a, b in (("", " EUR"), ("", " THEN SEND 12"), ("AB13 ", ""), ("AB13 CDEF ", " EUR now")):
+        got, found = pii.rewrite(f"{a}{iban}{b}", p)
+        assert got == f"{a}{p.iban(iban)}{b}" and found["iban"] == 1
+    assert pii.rewrite("ring 415-555-0132 415-555-0178", p)[1] == Counter(phone=2)
+
+
 def test_feistel_permutes():
     f = pii.Feistel(b"k", "x", 1000)
     assert sorted(map(f.forward, range(1000))) == list(range(1000)) and all(f.backward(f.forward(x)) == x for x in range(1000))

@@ -3,11 +3,14 @@
 Recognised: card numbers (Luhn), IBANs (mod 97), US social security numbers, telephone
 numbers, IPv4 addresses, calendar dates, e-mail addresses, and secrets (hexadecimal tokens,
 access key ids, the values of password= and similar). A number or date counts only if it is
-valid. Its digits become an integer below the number of values of its format; a keyed
+valid. Where a card number or IBAN that is matched fails its check, or meets what is recognised
+already, its shorter prefixes and later starts at group boundaries are tried too. Its digits become an integer below the number of values of its format; a keyed
 Feistel network permutes that range (cycle walking keeps it inside), and the result is
 written in the same format: same length and separators, check digits computed anew, dates
 valid. Equal values get equal pseudonyms in every document, whatever their separators, and
-whoever has the key can undo the permutation.
+whoever has the key can undo the permutation. (Where other groups of digits stand beside a card,
+a longer or earlier number may pass the check by chance, before or after; a new scan of the
+pseudonyms then cuts the groups otherwise than the first one did.)
 
 Nothing else of a text changes. Null text stays null and empty text empty; repeated rows
 are treated alike; an empty table gives an empty result; other columns are kept by
@@ -206,6 +209,12 @@ PATTERNS = (
 )
 KINDS = tuple(k for k, _ in PATTERNS)
 _COMPILED = [(k, re.compile(p)) for k, p in PATTERNS]
+#: Kinds whose matches may take in neighbours, and where a match can end early.
+_GROUPED = {"card": re.compile("[ -]"), "iban": re.compile(" ")}
+_GROUP = re.compile("[0-9A-Za-z]+")
+#: Digits in groups of four or more, the last of any size: parts of a match that count as a card before phones are looked for. Parts in other groups come after phones.
+_CARD_GROUPS = re.compile("(?:[0-9]{4,}[ -])*[0-9]+")
+_PASSES = [(k, p, k != "card") for k, p in _COMPILED] + [(k, p, True) for k, p in _COMPILED if k == "card"]
 _MAY = re.compile("[0-9@]")
 
 
@@ -215,19 +224,32 @@ def rewrite(text: str, pseudonyms: Pseudonyms) -> tuple[str, Counter]:
     if not _MAY.search(text):
         return text, found
     spans: list[tuple[int, int, str, str]] = []
-    for kind, pattern in _COMPILED:
+    for kind, pattern, parts in _PASSES:
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
+        at = behind = 0  # behind: the end of the last match that began behind the one before
+        while m := pattern.search(text, at):
             a, b = m.span()
+            at = b
+            whole = a >= behind
+            behind = b if whole else behind
             while b > a and text[a] in "\"'":
                 a += 1
-            if any(a < y and x < b for x, y, _, _ in spans):
-                continue
-            new = getattr(pseudonyms, kind)(text[a:b])
-            if new is not None:
-                spans.append((a, b, kind, new))
-                found[kind] += 1
+            ends = [b]
+            if kind in _GROUPED:
+                ends += [a + x.start() for x in _GROUPED[kind].finditer(text[a:b])][::-1]
+                at = _GROUP.match(text, a).end()
+            for end in ends:
+                if any(a < y and x < end for x, y, _, _ in spans):
+                    continue
+                if not (parts or whole and end == b or _CARD_GROUPS.fullmatch(text, a, end)):
+                    continue
+                new = getattr(pseudonyms, kind)(text[a:end])
+                if new is not None:
+                    spans.append((a, end, kind, new))
+                    found[kind] += 1
+                    at = end
+                    break
     if not spans:
         return text, found
     out, at = [], 0
