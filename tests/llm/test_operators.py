@@ -153,6 +153,47 @@ def test_jaccard_join(spark, monkeypatch, short, cost):
     assert got == brute_components(rows)
 
 
+def several_texts():
+    """Some doc_ids with two texts; near copies of either text under other doc_ids; an exact copy and an empty text."""
+    r, rows = random.Random(6), []
+    for i in range(10):
+        for j, size in enumerate((60, 14 if i % 2 else 80)):
+            base = words(r, size, 3000).split()
+            rows.append((i, " ".join(base)))
+            rows.append((100 + 10 * i + j, " ".join([*base[:-1], "changed"])))
+    return [*rows, (200, rows[0][1]), (0, ""), (201, None)]
+
+
+def linked_texts(texts):
+    sets = []
+    for t in texts:
+        w = split(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    return [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) > 0]
+
+
+def merged(n, links):
+    at = list(range(n))
+    for i, j in links:
+        p, q = at[i], at[j]
+        at = [q if x == p else x for x in at]
+    return at
+
+
+@pytest.mark.parametrize("short", [8, 1])
+def test_texts_of_one_doc_id(spark, monkeypatch, short):
+    monkeypatch.setattr(jaccard, "SHORT_LIST", short)
+    rows = several_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    links = linked_texts([t for _, t in rows])
+    by_text = merged(len(rows), links)
+    by_doc = merged(len(rows), [*links, *((i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] == rows[j][0])])
+    want = sorted((d, min(e for (e, _), c in zip(rows, by_doc) if c == by_doc[i]) if t else d) for i, (d, t) in enumerate(rows))
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_join(docs).collect()) == want
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one_of_each(docs).collect()]
+    assert sorted(map(str, kept)) == sorted(str(min(((d, t) for (d, t), c in zip(rows, by_text) if c == k), key=lambda x: x[0])) for k in set(by_text))
+
+
 def test_near_duplicates_stay_once(docs):
     want = brute_components(ROWS)
     kept = sorted(r["doc_id"] for r in jaccard.keep_one_of_each(docs).collect())

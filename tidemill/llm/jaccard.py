@@ -23,8 +23,11 @@ mainly in one component are one group, and its members outside that component ar
 with all others of the group, in blocks. So a large family of near copies costs one check per
 member and list, and no link is lost.
 
+Inside, a set goes by an id of its own, 64 bits of its 128-bit hash (hashed anew should two
+sets ever get the same one), so that copies are one set and the texts of one doc_id are several.
+
 Null texts have empty sets; rows with one doc_id count as one document, linked with the
-texts of all of them; a null doc_id is returned as its own class. An empty table gives an
+texts of all of them (but keep_one_of_each treats each text by itself); a null doc_id is returned as its own class. An empty table gives an
 empty result. Only doc_id and text are read.
 """
 
@@ -38,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import U64, WORD_ROLLERS, chunks, materialise, mixed, signed, windows
 from .components import components
@@ -95,6 +99,10 @@ def set_hashes(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def set_ids(s1: np.ndarray, s2: np.ndarray, salt: int) -> np.ndarray:
+    return signed(mixed(s1 ^ mixed(s2 + U64(salt))))
+
+
 def parities(h: np.ndarray, at: np.ndarray) -> list[bytes]:
     """A bitmap of each set: bit p tells whether an odd number of its shingles end in p. Its bits are a power of two, two a shingle or more.
 
@@ -109,12 +117,12 @@ def parities(h: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [packed[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
 
 
-META = "doc_id long, n_shingles long, s1 long, s2 long, parity binary, part int, counts binary"
-_META = ["doc_id", "n_shingles", "s1", "s2", "parity", "part", "counts"]
+META = "doc_id long, n_shingles long, s1 long, s2 long, parity binary, part int, counts binary, node long"
+_META = ["doc_id", "n_shingles", "s1", "s2", "parity", "part", "counts", "node"]
 
 
-def meta(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, size, 128 bits and bitmap of its set (part null); and each task's shingle counts (part not null), up to 255."""
+def meta(docs: DataFrame, salt: int = 0) -> DataFrame:
+    """Per row: doc_id, size, 128 bits, bitmap and id (node) of its set (part null); and each task's shingle counts (part not null), up to 255."""
 
     def run(batches):
         counts = None
@@ -130,11 +138,11 @@ def meta(docs: DataFrame) -> DataFrame:
             if out:
                 n, s1, s2 = (np.concatenate(x) for x in zip(*out))
                 none = pa.nulls(len(n))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(parity, pa.binary()), none.cast(pa.int32()), pa.nulls(len(n), pa.binary())], _META)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(parity, pa.binary()), none.cast(pa.int32()), pa.nulls(len(n), pa.binary()), pa.array(set_ids(s1, s2, salt))], _META)
         if counts is not None:
             parts = np.minimum(counts, 255).astype(np.uint8).reshape(PARTS, -1)
             none = pa.nulls(PARTS).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], _META)
+            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), none], _META)
 
     return docs.mapInArrow(run, META)
 
@@ -177,8 +185,8 @@ PAIRS = "kind int, a long, b long, docs array<long>, sizes array<long>"
 """kind 0: a pair to check; 1: a link that needs no check; 2: a long list (a: its id)."""
 
 
-def candidates(docs: DataFrame, ranks, boundary: int, percent: int = PERCENT) -> DataFrame:
-    """Pairs to check, links, and long lists (PAIRS)."""
+def candidates(docs: DataFrame, ranks, boundary: int, percent: int = PERCENT, salt: int = 0) -> DataFrame:
+    """Pairs to check, links, and long lists (PAIRS), by ids of sets."""
     buckets = bucket_count(docs)
     heavy_from = -(-percent * (boundary + 1) // 100)
 
@@ -212,11 +220,10 @@ def candidates(docs: DataFrame, ranks, boundary: int, percent: int = PERCENT) ->
             subsets.clear()
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column("text")):
                 h, at, n = shingle_sets(chunk)
                 s1, s2 = set_hashes(h, at)
-                doc = ids[chunk.rows.start : chunk.rows.stop].astype(np.int64)
+                doc = set_ids(s1, s2, salt)
                 use = np.zeros(len(n), bool)
                 for i, k in enumerate(zip(s1.tolist(), s2.tolist())):
                     if n[i] and k not in seen:
@@ -240,6 +247,8 @@ def candidates(docs: DataFrame, ranks, boundary: int, percent: int = PERCENT) ->
     def reduce(got):
         p, pairs, lists, done = got[0], [], [], set()
         p = p[np.lexsort((p["doc"], p["n"], p["t"]))]
+        if len(p):  # several tasks may send one set
+            p = p[np.concatenate([[True], (p["t"][1:] != p["t"][:-1]) | (p["doc"][1:] != p["doc"][:-1])])]
         new = np.ones(len(p), bool)
         new[1:] = p["t"][1:] != p["t"][:-1]
         at = np.concatenate([np.flatnonzero(new), [len(p)]])
@@ -278,8 +287,8 @@ def candidates(docs: DataFrame, ranks, boundary: int, percent: int = PERCENT) ->
         else:
             sure = np.zeros((2, 0), np.int64)
         kinds = [0] * ab.shape[1] + [1] * sure.shape[1] + [2] * len(lists)
-        a = np.concatenate([ab[0], sure[0], [x[0] for x in lists]]).astype(np.int64)
-        b = np.concatenate([ab[1], sure[1], [0] * len(lists)]).astype(np.int64)
+        a = np.concatenate([ab[0], sure[0], np.array([x[0] for x in lists], np.int64)])
+        b = np.concatenate([ab[1], sure[1], np.zeros(len(lists), np.int64)])
         none, whole = [None] * (len(a) - len(lists)), pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
             [pa.array(kinds, pa.int32()), pa.array(a), pa.array(b), pa.array(none + [x[1] for x in lists], whole), pa.array(none + [x[2] for x in lists], whole)],
@@ -312,38 +321,56 @@ def marked(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the doc_ids in ids, one row each (the largest text).
-
-    Marks let most other texts go before the exchange; as they fill up, more texts are sent, and the join still decides."""
+def likely(docs: DataFrame, ids: DataFrame, salt: int | None = None) -> DataFrame:
+    """doc_id and text of the doc_ids in ids and of few others; as the marks fill up, of more others. With salt, doc_id becomes the id of the text's set."""
     marks = docs.sparkSession.sparkContext.broadcast(marked(ids))
 
     def run(batches):
         bits = marks.value
         for batch in batches:
             p = batch.column("_p").to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1)).select(["doc_id", "text"])
+            batch = batch.filter(pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1)).select(["doc_id", "text"])
+            yield batch if salt is None else pa.RecordBatch.from_arrays([pa.array(ids_of(batch.column("text"), salt)), batch.column("text")], ["doc_id", "text"])
+
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).alias("_p")).mapInArrow(run, "doc_id long, text string")
+
 
-    some = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).alias("_p")).mapInArrow(run, "doc_id long, text string")
-    return some.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the doc_ids in ids, one row each (the largest text).
 
+    Marks let most other texts go before the exchange, and the join decides."""
+    return _one_each(likely(docs, ids), ids)
 
-def possible(pairs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps of rows (META) do not rule out; no pair that links is lost.
 
-    A doc_id with several texts has no bitmap and rules nothing out."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    one = rows.where("n_shingles > 0").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.max("n_shingles").alias("n"), F.when(F.count("*") == 1, F.max("parity")).alias("p")
-    )
+def texts_of(docs: DataFrame, reps: DataFrame, sets: DataFrame, salt: int) -> DataFrame:
+    """As rows_of, by ids of sets, for those in sets (doc_id); reps: doc_ids that have them."""
+    return _one_each(likely(docs, reps, salt), sets)
+
+
+def _one_each(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    return texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+
+
+def ids_of(texts: pa.Array, salt: int) -> np.ndarray:
+    out = [np.zeros(0, np.int64)]
+    for chunk in chunks(texts):
+        h, at, _ = shingle_sets(chunk)
+        out.append(set_ids(*set_hashes(h, at), salt))
+    return np.concatenate(out)
+
+
+def possible(pairs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of sets that sizes and bitmaps of rows (META) do not rule out; no pair that links is lost.
+
+    A set's bitmap comes from the rows of its class's least doc_id."""
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    reps = classes.join(ids, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node")
+    one = rows.join(reps, ["doc_id", "node"], "left_semi").groupBy("doc_id", "node").agg(F.max("n_shingles").alias("n"), F.max("parity").alias("p")).select("node", "n", "p")
 
     def run(batches):
         for batch in batches:
             ok = []
             for na, nb, x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("pa"), batch.column("pb")):
-                if not (x.is_valid and y.is_valid):
-                    ok.append(True)
-                    continue
                 x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 apart = np.bitwise_xor.reduce(large.reshape(-1, len(small)), axis=0) ^ small
@@ -415,35 +442,58 @@ def linked_rest(group: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Da
     return blocks(outside, "left").join(blocks(some, "right"), "main").select("left", "right").mapInArrow(compare, "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    everything = materialise(meta(docs))
-    rows = everything.where("part IS NULL")
+def labelled(docs: DataFrame, percent: int, whole_documents: bool) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Rows of META; classes: node, rep (least doc_id), n; components (node, component) of linked vertices; the salt of the ids.
+
+    With whole_documents, the vertices are doc_ids, and the texts of one doc_id are one vertex; else they are sets."""
+    spark, salt = docs.sparkSession, 0
+    while True:
+        everything = materialise(meta(docs, salt))
+        rows = everything.where("part IS NULL")
+        ends = [f(c).alias(f"{name}_{c}") for c in ("s1", "s2") for name, f in (("lo", F.min), ("hi", F.max))]
+        classes = materialise(rows.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), *ends))
+        if not classes.where("lo_s1 <> hi_s1 OR lo_s2 <> hi_s2").take(1):
+            break
+        salt += 1
+    classes = classes.where("n > 0").select("node", "rep", "n")
+    vertex = classes.select("node", (F.col("rep") if whole_documents else F.col("node")).alias("at"))
+
+    def vertices(links: DataFrame) -> DataFrame:
+        if not whole_documents:
+            return links
+        return links.join(vertex.toDF("a", "x"), "a").join(vertex.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
     ranks = spark.sparkContext.broadcast(shingle_ranks(everything))
     sizes = {r["n_shingles"]: r["n"] for r in rows.where(f"n_shingles BETWEEN 1 AND {LARGEST_LIGHT}").groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
-    found = materialise(candidates(docs, ranks, light_boundary(sizes, percent), percent).distinct())
-    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    member = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes, ["s1", "s2"]).select("doc_id", "rep")
-    same = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    pairs = materialise(possible(found.where("kind = 0"), rows, percent))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).unionByName(
+    found = materialise(candidates(docs, ranks, light_boundary(sizes, percent), percent, salt).distinct())
+    pairs = materialise(possible(found.where("kind = 0"), rows, classes, percent))
+    wanted = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).unionByName(
         _members(found).select("doc_id")
-    ).distinct()
-    sets = materialise(sets_of(rows_of(docs, materialise(wanted))))
+    ).distinct())
+    reps = classes.join(wanted, classes["node"] == wanted["doc_id"], "left_semi").select(F.col("rep").alias("doc_id"))
+    sets = materialise(sets_of(texts_of(docs, reps, wanted, salt)))
     sure = found.where("kind = 1").select("a", "b")
-    links = materialise(linked(pairs, sets, percent).unionByName(sure).unionByName(same))
+    links = vertices(linked(pairs, sets, percent).unionByName(sure))
+    if whole_documents:
+        member = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes, "node").select("doc_id", "rep")
+        links = links.unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    links = materialise(links)
     label = components(links)
     if len(found.where("kind = 2").take(1)):
-        long = _members(found)
         label = materialise(label)
-        long = materialise(long.join(label, long["doc_id"] == label["node"], "left").select("list", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")))
+        long = _members(found).join(vertex.toDF("doc_id", "at"), "doc_id")
+        long = materialise(long.join(label, long["at"] == label["node"], "left").select("list", "doc_id", "n", F.coalesce("component", "at").alias("c")))
         main = long.groupBy("list", "c").agg(F.count("*").alias("k")).groupBy("list").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
         # lists of one main component are one group; its members outside that component are compared with all others, in blocks
         group = materialise(long.join(main, "list").groupBy("main", "doc_id").agg(F.max("n").alias("n"), F.max("c").alias("c")))
-        more = linked_rest(group, sets, percent)
+        more = vertices(linked_rest(group, sets, percent))
         label = components(links.unionByName(more))
+    return rows, classes, label, salt
+
+
+def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id."""
+    rows, _, label, _ = labelled(docs.select("doc_id", "text"), percent, True)
     named = rows.join(label, rows["doc_id"] == label["node"], "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -456,11 +506,19 @@ def _members(found: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest; repeated rows of it go too, and empty texts stay."""
-    first = jaccard_join(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    columns = docs.columns
-    named = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_doc"))
-    kept = named.join(first, F.col("_doc") == F.col("_first"), "left_semi").groupBy("_doc").agg(F.min("_row").alias("_row")).select("_row")
+    """One row of each component of texts, that of the least doc_id; near copies go, whatever their doc_id, and so do repeated rows. Empty texts stay, once per doc_id."""
+    rows, classes, label, salt = labelled(docs.select("doc_id", "text"), percent, False)
+    label = label.toDF("node", "component")
+    first = classes.join(label, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct("rep", "node")).alias("m")).select("m.*").toDF("_doc", "_node")
+    first = first.unionByName(rows.where("n_shingles = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node")).distinct())
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_doc"), pa.array(ids_of(batch.column("_text"), salt))], ["_row", "_doc", "_node"])
+
+    schema = StructType([*named.schema.fields[:2], StructField("_node", LongType())])
+    kept = named.where("_doc IS NOT NULL").mapInArrow(run, schema).join(first, ["_doc", "_node"], "left_semi").groupBy("_doc", "_node").agg(F.min("_row").alias("_row")).select("_row")
     return kept.unionByName(named.where("_doc IS NULL").select("_row")).select("_row.*")
 
 
