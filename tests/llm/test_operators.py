@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemill.llm import ann, dom, extraction, jaccard, mixing, packing, pii, rules, substring, suffix, suffix_dedup, weak
+from tidemill.llm import ann, components, dom, extraction, jaccard, mixing, packing, pii, rules, substring, suffix, suffix_dedup, weak
 from tidemill.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -414,6 +414,13 @@ def test_parities_rule_out_no_linked_pair():
         assert apart <= n + m - 2 * both
 
 
+def test_components_settle_or_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    assert {tuple(r) for r in components.components(chain).collect()} == {(i, 0) for i in range(31)}
+    with pytest.raises(RuntimeError):
+        components.components(chain, 2)
+
+
 @pytest.mark.parametrize("marks", [64, 1 << 25])
 def test_rows_of_full_or_sparse_marks(spark, monkeypatch, marks):
     monkeypatch.setattr(jaccard, "MARKS", marks)

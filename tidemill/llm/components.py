@@ -12,7 +12,7 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """links: a, b (long). Returns node, component: the smallest node that each node reaches.
 
     Each round links every node's larger neighbours, then its smaller ones, to the least node
-    of its neighbourhood, until nothing changes. Rounds are written out, so lineage stays short."""
+    of its neighbourhood, until nothing changes; if that takes more than most_rounds, it raises an error. Rounds are written out, so lineage stays short."""
     edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     for _ in range(most_rounds):
@@ -26,6 +26,8 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
