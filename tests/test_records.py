@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import audit, control
@@ -29,6 +30,30 @@ def test_ids_are_dense_in_order(spark):
     assert got == {i: 10001 + i for i in range(1000)}
 
 
+@pytest.mark.parametrize("parts", [8, 200])
+def test_ids_of_many_wide_rows_are_dense_when_written(spark, tmp_path, parts):
+    n = 500_000
+    wide = F.repeat(F.md5(F.col("id").cast("string")), 3).alias("title")
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("seq"), wide).repartition(13)
+    R.assign_ids(df, parts=parts).write.parquet(str(tmp_path / "ids"))
+    got = spark.read.parquet(str(tmp_path / "ids"))
+    assert got.count() == n and got.where(F.col("id") != F.col("seq") + 10001).count() == 0
+
+
+def test_history_survives_a_crash_between_two_renames(spark, tmp_path):
+    path = str(tmp_path / "table")
+    files.replace(spark.createDataFrame([(1, "a", "", "", "", "")], R.RECORD), path)
+    (tmp_path / "table").rename(tmp_path / "table.previous")
+    assert files.read_snapshot(spark, path).count() == 1
+    files.replace(files.read_snapshot(spark, path).unionByName(spark.createDataFrame([(2, "b", "", "", "", "")], R.RECORD)), path)
+    assert files.read_snapshot(spark, path).count() == 2 and not (tmp_path / "table.previous").exists()
+
+
+def test_repeated_rows_count_once(spark):
+    rows = [(1, "t", "x", "", "s", "u")] * 50 + [(1, "t", "x", "other time", "s", "u")] * 50
+    assert R.deduplicate(frame(spark, rows).repartition(5)).count() == 1
+
+
 def test_ids_of_ties_and_of_nothing(spark):
     got = R.assign_ids(spark.createDataFrame([(1, "a"), (1, "a"), (1, "b")], "seq long, title string"))
     assert sorted(r["id"] for r in got.collect()) == [10001, 10002, 10003]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_text, fingerprint, normalize_time
+from ..scratch import materialise
 
 START_ID = 10001
 FIELDS = ("id", "title", "text", "time", "source", "url")
@@ -31,27 +32,33 @@ def record_fingerprint() -> Column:
 def deduplicate(records: DataFrame, order: str = "seq") -> DataFrame:
     """Rows with a title or text, the first by `order` of each fingerprint.
 
-    An aggregate of the least row per fingerprint, so each task reduces its own rows before
-    the shuffle and a common record costs one row per task. Ties of the order are broken by
-    the row itself."""
+    Each task first keeps its own least row per fingerprint (the plan's partial group limit), so a
+    record that a third of all rows repeat costs one row per task in the shuffle. Ties of the order
+    are broken by a hash of the row."""
     alive = records.where((clean_text(F.col("title"), False) != "") | (clean_text(F.col("text"), False) != ""))
-    row = F.struct(F.col(order).alias("_order"), F.struct(*records.columns).alias("_row"))
-    return alive.groupBy(record_fingerprint().alias("_fp")).agg(F.min(row).alias("_least")).select("_least._row.*")
+    row = F.struct(*records.columns).alias("_row")
+    keyed = alive.select(row, record_fingerprint().alias("_fp"), F.col(order).alias("_order"), F.xxhash64(*records.columns).alias("_tie"))
+    first = F.row_number().over(Window.partitionBy("_fp").orderBy("_order", "_tie"))
+    return keyed.withColumn("_n", first).where("_n = 1").select("_row.*")
 
 
 def assign_ids(records: DataFrame, order: str = "seq", start: int = START_ID, parts: int | None = None) -> DataFrame:
     """Consecutive ids in order, without one task that sees all rows: rows are ranged by the order,
-    each range is numbered by itself, and begins where the counts of those before it end."""
+    each range is numbered by itself, and begins where the counts of those before it end.
+
+    The ranges are drawn from a sample, so rows and counts must come from one exchange: the ranged
+    rows are written once with the number of their range, and both are read from there. Ties of the
+    order go by a hash of the row. Null orders come first; an empty table stays empty."""
     spark = records.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    tie = F.xxhash64(*[F.col(c) for c in records.columns if c != "id"])
-    ranged = records.withColumn("_tie", tie).repartitionByRange(n, F.col(order), F.col("_tie")).sortWithinPartitions(order, "_tie")
-    placed = ranged.withColumn("_at", F.monotonically_increasing_id())
-    part, within = F.shiftrightunsigned(F.col("_at"), 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = placed.withColumn("_part", part)
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per range
-    ahead = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return placed.join(ahead, "_part").withColumn("id", (F.col("_ahead") + within + start).cast("long")).drop("_part", "_at", "_ahead", "_tie")
+    others = [c for c in records.columns if c != "id"]
+    keyed = records.select(F.struct(*others).alias("_row"), F.col(order).alias("_order"), F.xxhash64(*others).alias("_tie"))
+    ranged = keyed.repartitionByRange(n, "_order", "_tie").sortWithinPartitions("_order", "_tie").withColumn("_at", F.monotonically_increasing_id())
+    placed = materialise(ranged.select("_row", F.shiftrightunsigned("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_within")))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # one row per range, however many records there are
+    ahead = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_ahead"))
+    number = (F.col("_ahead") + F.col("_within") + start).cast("long").alias("id")
+    return placed.join(F.broadcast(ahead), "_range").select("_row.*", number)
 
 
 def merge(history: DataFrame, batch: DataFrame, start: int = START_ID, reset: bool = False) -> DataFrame:
@@ -65,6 +72,7 @@ def merge(history: DataFrame, batch: DataFrame, start: int = START_ID, reset: bo
 
 def append_new(history: DataFrame, batch: DataFrame) -> DataFrame:
     """Only the batch's new records, numbered after the history: what merge() adds when history is dense and distinct."""
-    new = batch.withColumn("_fp", record_fingerprint()).join(history.select(record_fingerprint().alias("_fp")).distinct(), "_fp", "left_anti").drop("_fp")
+    seen = history.select(record_fingerprint().alias("_fp")).distinct()
+    new = batch.select(F.struct(*batch.columns).alias("_row"), record_fingerprint().alias("_fp")).join(seen, "_fp", "left_anti").select("_row.*")
     last = history.agg(F.coalesce(F.max("id"), F.lit(START_ID - 1)).alias("m")).first()["m"]
     return assign_ids(deduplicate(new.withColumn("seq", F.col("id"))).select(*FIELDS[1:], "seq"), start=last + 1).select(*FIELDS)

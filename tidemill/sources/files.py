@@ -1,7 +1,8 @@
 """History in, snapshots out: a guarded JSON-array reader, and JSON, JSON Lines and CSV writers.
 
-Snapshots are written to a new folder and moved into place, so a crash leaves the old one.
-The single-file writers stream partitions through the driver, one at a time."""
+Snapshots are written to a new folder and moved into place; the old one stays beside it until then, and
+read_snapshot() finds it after a crash between the two moves. The single-file writers stream partitions
+through the driver, one at a time."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ import csv
 import io
 import json
 import uuid
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON array; none if the file is missing, broken, or not an array. Null texts become ''."""
+    """Records of a JSON array; none if the file is missing, broken, or not an array. Null texts become ''.
+
+    One array is one value, which one task reads: for importing a file. Snapshots that grow are
+    tables (replace, read_snapshot)."""
     empty = spark.createDataFrame([], RECORD)
     if not _exists(spark, path):
         return empty
@@ -33,28 +38,57 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in FIELDS[1:]])
 
 
+def batch_name(prefix: str, at: datetime) -> str:
+    """What the artefacts of a run that began then are called, without their ending."""
+    return f"{prefix}_{at:%Y%m%d_%H%M%S}"
+
+
 def write_table(records: DataFrame, path: str, batch_id: str) -> None:
-    """Appends a batch to the table of batches."""
-    records.withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("batch_id").parquet(path)
+    """Adds a batch to the table of batches; the same batch again replaces itself."""
+    records.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def _aside(path: str) -> str:
+    return f"{path.rstrip('/')}.previous"
 
 
 def replace(records: DataFrame, path: str) -> None:
-    """Overwrites a snapshot that `records` may itself read: written beside it, then renamed."""
+    """Overwrites a snapshot that `records` may itself read: written beside it, then renamed.
+
+    At every moment the new or the old snapshot is whole, at `path` or beside it."""
     spark = records.sparkSession
-    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}.new"
     records.write.parquet(fresh)
     jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jvm.Path(path)):
-        fs.rename(jvm.Path(path), jvm.Path(old))
-    fs.rename(jvm.Path(fresh), jvm.Path(path))
-    fs.delete(jvm.Path(old), True)
+    here, new, old = jvm.Path(path), jvm.Path(fresh), jvm.Path(_aside(path))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(here):
+        fs.delete(old, True)
+        if not fs.rename(here, old):
+            raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, here):
+        raise OSError(f"cannot move the new snapshot to {path}")
+    fs.delete(old, True)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshot at path, the one set aside where a crash left none there, or no records."""
+    for p in (path, _aside(path)):
+        if _exists(spark, p):
+            return spark.read.schema(RECORD).parquet(p)
+    return spark.createDataFrame([], RECORD)
 
 
 def write_jsonl(records: DataFrame, path: str) -> None:
     records.select(*FIELDS).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Records of JSON lines; lines that are no objects are left out, null texts become ''."""
+    rows = spark.read.schema(RECORD).option("mode", "DROPMALFORMED").json(path)
+    return rows.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in FIELDS[1:]])
+
+
 def write_csv(records: DataFrame, path: str) -> None:
     records.select(*FIELDS).write.mode("overwrite").options(header=True, escape='"', emptyValue="", lineSep="\r\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
