@@ -9,9 +9,6 @@ independent hashes (128 bits) are used.
 from __future__ import annotations
 
 import functools
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,27 +16,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import materialise, scratch_dir  # noqa: F401
+
 U64 = np.uint64
 CHUNK_BYTES = 1 << 21
 """Bytes of text that are hashed at a time; a longer text is a chunk by itself."""
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name in the shared folder that the session names; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "tidemill-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tidemill-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared scratch folder and reads it again: lineage ends there, and lost executors lose nothing."""
-    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
