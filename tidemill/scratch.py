@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -28,8 +29,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows go to Python and back in batches of so many bytes, which bounds what a task holds of long texts.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """These settings for the jobs started inside; the session's own come back afterwards."""
+    old = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """df, written to the shared scratch folder and read again: lineage ends there."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(spark, BATCHES):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
