@@ -8,18 +8,20 @@ independent hashes (128 bits) are used.
 
 from __future__ import annotations
 
+import ctypes
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..scratch import materialise, scratch_dir  # noqa: F401
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 """Bytes of text that are hashed at a time; a longer text is a chunk by itself."""
 
 
@@ -27,6 +29,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ahead(counts: DataFrame, keys: list[str], place: str, n: str = "n", per: int = 64) -> DataFrame:
+    """keys, place (whole numbers), and `ahead`: the sum of n over the smaller places of the same keys.
+
+    In two steps, places in blocks of `per` and blocks within keys, so that one key's counts do not meet in one task."""
+    counts = counts.select(*keys, place, n, F.expr(f"{place} div {per}").alias("_block"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(place)
+    blocks = counts.groupBy(*keys, "_block").agg(F.sum(n).alias("_sum"))
+    before = blocks.select(*keys, "_block", (F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_block")) - F.col("_sum")).alias("_before"))
+    within = counts.withColumn("_within", F.sum(n).over(inside) - F.col(n)).alias("w")
+    same = F.col("w._block") == F.col("b._block")
+    for k in keys:
+        same = same & F.col(f"w.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return within.join(before.alias("b"), same).select(*[F.col(f"w.{k}").alias(k) for k in keys], F.col(f"w.{place}").alias(place), (F.col("_within") + F.col("_before")).alias("ahead"))
+
+
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def tidy(run: Callable) -> Callable:
+    """run, which then gives freed memory back to the system, so that a worker that waits for its next task holds little."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+
+    return tidied
+
+
 # ---------------------------------------------------------------- hashing
 
 def _codes(seed: int, n: int) -> np.ndarray:
@@ -126,10 +165,12 @@ def chunks(texts: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Iterat
     """The texts as byte arrays, in order; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     if not len(texts):
         return
-    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    wide = pa.types.is_large_string(texts.type)
+    at = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0

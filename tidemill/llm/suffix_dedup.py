@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, BYTE_ROLLERS, U64, chunks, mixed
-from .exchange import SCHEMA, bucket_count, by_group, dealt, reduced
+from .common import BYTE_CODES, BYTE_ROLLERS, U64, chunks, materialise, mixed, tidy
+from .exchange import SCHEMA, bucket_count, by_group, dealt, packed, reduced
 from .suffix import sorted_with_prefixes
 
 LENGTH = 400
@@ -191,7 +191,7 @@ def settle(docs: DataFrame) -> DataFrame:
         asked["many"], asked["hot"] = any_many[ask], hot[ask]
         yield _rows(np.concatenate([hit, got[2]]), np.concatenate([asked, got[1]]))
 
-    sent = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(scan, SCHEMA)
+    sent = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(tidy(scan), SCHEMA)
     return reduced(sent, {0: _PLACE, 1: _PLACE, 2: _HIT}, reduce, OUT)
 
 
@@ -299,7 +299,7 @@ def compare(texts: DataFrame) -> DataFrame:
                 rows = []
                 for a, b in zip(cut[:-1], cut[1:]):
                     part = order[a:b]
-                    rows += [(int(to[part[0]]), 0, h[part].tobytes()), (int(to[part[0]]), 1, b"".join(body[j] for j in part))]
+                    rows += [(int(to[part[0]]), 0, packed(h[part])), (int(to[part[0]]), 1, packed(np.frombuffer(b"".join(body[j] for j in part), _BYTES)))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "data"])
         if windows:
             yield from send(windows)
@@ -312,7 +312,7 @@ def compare(texts: DataFrame) -> DataFrame:
             hits.append(equal_windows(r, [raw[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist())]))
         yield _rows(np.concatenate(hits), np.zeros(0, _PLACE))
 
-    sent = texts.select("doc_id", "text", "asked").mapInArrow(scan, SCHEMA)
+    sent = texts.select("doc_id", "text", "asked").mapInArrow(tidy(scan), SCHEMA)
     return reduced(sent, {0: _CONTEXT, 1: _BYTES, 2: _WINDOW, 3: _HIT}, reduce, OUT)
 
 
@@ -321,8 +321,6 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def dedup_bytes(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left)."""
-    from .common import materialise
-
     docs = docs.select("doc_id", "text")
     settled = materialise(settle(docs))
     asked = settled.where("what = 1").groupBy("doc_id").agg(F.collect_list("data").alias("asked"))
@@ -355,4 +353,4 @@ def dedup_bytes(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    return docs.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(finish, RESULT)
+    return docs.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(tidy(finish), RESULT)
