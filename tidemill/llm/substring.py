@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_ROLLERS, chunks, covered, materialise, signed, windows
+from .common import U64, WORD_ROLLERS, chunks, covered, materialise, signed, tidy, windows
 from .exchange import SCHEMA, bucket_count, by_group, dealt, reduced
 
 WINDOW = 50
@@ -38,7 +38,7 @@ PERIOD = 31
 #: A perfect difference set modulo 31.
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 """Anchors or windows that a task holds before it sends them."""
 
 
@@ -72,7 +72,7 @@ def meta(docs: DataFrame) -> DataFrame:
                 n, s1, s2 = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2))], ["doc_id", "n_words", "s1", "s2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, META)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), META)
 
 
 # anchors only name candidates, so 32 bits travel, beside the bucket's own; an accident costs work, not a result
@@ -139,7 +139,7 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
         pairs = [(d, np.unique(x).tobytes()) for d, x in by_group(docs_, hs)]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.binary())], ["doc_id", "hashes"])
 
-    sent = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(scan, SCHEMA)
+    sent = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(tidy(scan), SCHEMA)
     return reduced(sent, {0: _ANCHOR, 1: _FOUND}, reduce, CANDIDATES)
 
 
@@ -219,7 +219,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "tag", "starts"]
         )
 
-    return reduced(texts.select("doc_id", "text", "parts").mapInArrow(scan, SCHEMA), {0: _WINDOW, 1: _HIT}, reduce, HITS)
+    return reduced(texts.select("doc_id", "text", "parts").mapInArrow(tidy(scan), SCHEMA), {0: _WINDOW, 1: _HIT}, reduce, HITS)
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -229,9 +229,11 @@ def dedup_words(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space)."""
     docs = docs.select("doc_id", "text")
     rows = materialise(meta(docs))
-    first = rows.where("doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
+    first = rows.where("doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("k"))
+    # as a plain table, so that AQE can split the rows of a text that many documents have
+    several = materialise(first.where("k > 1").select("s1", "s2", "first"))
     copies = (
-        rows.where(F.col("n_words") >= WINDOW).join(first, ["s1", "s2"]).where("doc_id > first")
+        rows.where(F.col("n_words") >= WINDOW).join(several, ["s1", "s2"]).where("doc_id > first")
         .groupBy("doc_id").agg(F.collect_set("s1").alias("copy_of"))
     )
     candidates = shared_anchors(docs).groupBy("doc_id").agg(F.collect_list("hashes").alias("parts"))
@@ -267,7 +269,7 @@ def dedup_words(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "hits", "copy_of").mapInArrow(finish, OUT)
+    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "hits", "copy_of").mapInArrow(tidy(finish), OUT)
 
 
 SUBSTRING_SQL = r"""
