@@ -39,11 +39,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import U64, WORD_ROLLERS, chunks, materialise, mixed, signed, windows
+from .common import U64, WORD_ROLLERS, chunks, materialise, mixed, signed, tidy, windows
 from .components import components
 from .exchange import SCHEMA, bucket_count, dealt, reduced
 
@@ -51,11 +51,13 @@ SHINGLE = 5
 PERCENT = 75
 SLOTS, PARTS = 1 << 22, 64
 SHORT_LIST = 8
-BLOCK = 256
-LARGEST_LIGHT = 14
+BLOCK = 1 << 16
+"""Shingles of a block of whole sets (512 KB)."""
+LARGEST_LIGHT = 20
+"""The largest size for which cost may choose subsets: those of one larger set would fill a worker's memory."""
 CHECK_COST = 8.0
 """Cost of one posting of a heavy set, its list's checks included, in subsets enumerated."""
-FLUSH = 1_500_000
+FLUSH = 400_000
 MARKS = 1 << 25
 """Bits that tell which texts have pairs to check (4 MB)."""
 
@@ -144,7 +146,7 @@ def meta(docs: DataFrame, salt: int = 0) -> DataFrame:
             none = pa.nulls(PARTS).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([none] * 4 + [pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), none], _META)
 
-    return docs.mapInArrow(run, META)
+    return docs.mapInArrow(tidy(run), META)
 
 
 def shingle_ranks(rows: DataFrame) -> np.ndarray:
@@ -295,21 +297,7 @@ def candidates(docs: DataFrame, ranks, boundary: int, percent: int = PERCENT, sa
             ["kind", "a", "b", "docs", "sizes"],
         )
 
-    return reduced(docs.where("doc_id IS NOT NULL").mapInArrow(scan, SCHEMA), {0: _POSTING, 1: _SUBSET}, reduce, PAIRS)
-
-
-def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles (binary): the set of each row."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for chunk in chunks(batch.column("text")):
-                h, at, _ = shingle_sets(chunk)
-                out += [h[at[i] : at[i + 1]].tobytes() for i in range(len(chunk.rows))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "shingles"])
-
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return reduced(docs.where("doc_id IS NOT NULL").mapInArrow(tidy(scan), SCHEMA), {0: _POSTING, 1: _SUBSET}, reduce, PAIRS)
 
 
 def marked(ids: DataFrame) -> np.ndarray:
@@ -321,34 +309,30 @@ def marked(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def likely(docs: DataFrame, ids: DataFrame, salt: int | None = None) -> DataFrame:
-    """doc_id and text of the doc_ids in ids and of few others; as the marks fill up, of more others. With salt, doc_id becomes the id of the text's set."""
-    marks = docs.sparkSession.sparkContext.broadcast(marked(ids))
+def whole_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
+    """doc_id (a set's id), shingles (binary): each set in wanted (doc_id) once; reps: doc_ids that have them.
+
+    Marks of the reps let most other texts go before they are read, and the join decides."""
+    marks = docs.sparkSession.sparkContext.broadcast(marked(reps))
 
     def run(batches):
         bits = marks.value
+        seen: set[int] = set()
         for batch in batches:
             p = batch.column("_p").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1)).select(["doc_id", "text"])
-            yield batch if salt is None else pa.RecordBatch.from_arrays([pa.array(ids_of(batch.column("text"), salt)), batch.column("text")], ["doc_id", "text"])
-
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).alias("_p")).mapInArrow(run, "doc_id long, text string")
-
-
-def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the doc_ids in ids, one row each (the largest text).
-
-    Marks let most other texts go before the exchange, and the join decides."""
-    return _one_each(likely(docs, ids), ids)
-
-
-def texts_of(docs: DataFrame, reps: DataFrame, sets: DataFrame, salt: int) -> DataFrame:
-    """As rows_of, by ids of sets, for those in sets (doc_id); reps: doc_ids that have them."""
-    return _one_each(likely(docs, reps, salt), sets)
-
+            batch = batch.filter(pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1))
+            for chunk in chunks(batch.column("text")):
+                h, at, n = shingle_sets(chunk)
+                ids, out = set_ids(*set_hashes(h, at), salt), []
+                for i, node in enumerate(ids.tolist()):
+                    if n[i] and node not in seen:
+                        seen.add(node)
+                        out.append((node, h[at[i] : at[i + 1]].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["doc_id", "shingles"])
 
-def _one_each(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    return texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = docs.where("doc_id IS NOT NULL").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).alias("_p"))
+    found = rows.mapInArrow(tidy(run), "doc_id long, shingles binary").join(wanted, "doc_id", "left_semi")
+    return found.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))).where("_n = 1").drop("_n")
 
 
 def ids_of(texts: pa.Array, salt: int) -> np.ndarray:
@@ -378,7 +362,7 @@ def possible(pairs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
-    return pairs.select("a", "b").join(one.toDF("b", "nb", "pb"), "b").join(one.toDF("a", "na", "pa"), "a").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(one.toDF("b", "nb", "pb"), "b").join(one.toDF("a", "na", "pa"), "a").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(tidy(run), "a long, b long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -398,21 +382,45 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
+
+
+def joining(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Numbers of the edges (a, b) that join what those before them leave apart."""
+    at: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := at.setdefault(x, x)) != x:
+            at[x] = at.setdefault(y, y)
+            x = at[x]
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            at[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
 
 
 def linked_rest(group: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """group: main, doc_id, n, c (component). Links between a member outside component `main` and any member of another component.
+    """group: main, doc_id, n, c (component). Of the links between a member outside component `main` and any member of another
+    component, as many from each pair of blocks as join the same components.
 
-    Members are dealt by hash into blocks of about BLOCK; a task holds two blocks at a time."""
+    Members are dealt by hash into blocks of about BLOCK shingles, and the blocks of a group by the right block's
+    number; a task holds two blocks at a time."""
+    n = F.col("n")
+    parts = group.groupBy("main").agg(F.ceil(F.sum(n) / BLOCK).alias("rights"), F.ceil(F.sum(F.when(F.col("c") != F.col("main"), n)) / BLOCK).alias("lefts")).where("lefts > 0")
+    member = F.struct("doc_id", "n", "c", "shingles")
 
-    def blocks(members: DataFrame, name: str) -> DataFrame:
-        count = members.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-        dealt_ = members.join(count, "main").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).join(sets, "doc_id")
-        return dealt_.groupBy("main", "part").agg(F.collect_list(F.struct("doc_id", "n", "c", "shingles")).alias(name)).drop("part")
+    def blocks(members: DataFrame, count: str, name: str, *keep: str) -> DataFrame:
+        placed = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col(count))).join(sets, "doc_id")
+        return placed.groupBy("main", "part", *keep).agg(F.collect_list(member).alias(name))
 
-    outside = group.where("c <> main")
-    some = group.join(outside.select("main").distinct(), "main", "left_semi")
+    some = group.join(parts, "main")
+    left = blocks(some.where("c <> main"), "lefts", "left", "rights").drop("part").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights").cast("long") - 1)))
+    right = blocks(some, "rights", "right")
 
     def rows(items):
         x = items.values
@@ -424,28 +432,29 @@ def linked_rest(group: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Da
             for left, right in zip(batch.column("left"), batch.column("right")):
                 a, na, ca, sa, ha = rows(left)
                 b, nb, cb, sb, hb = rows(right)
-                token, where = np.unique(np.concatenate([ha, hb]), return_inverse=True)
+                token = np.intersect1d(ha, hb)  # only shingles of both blocks count
                 x, y = np.repeat(np.arange(len(a)), sa), np.repeat(np.arange(len(b)), sb)
+                ia, ib = np.isin(ha, token), np.isin(hb, token)
+                x, wa, y, wb = x[ia], np.searchsorted(token, ha[ia]), y[ib], np.searchsorted(token, hb[ib])
                 both = np.zeros((len(a), len(b)), np.float32)
-                for lo in range(0, len(token), 4096):  # counts of common shingles, by slices of the vocabulary
-                    wa, wb = where[: len(ha)] - lo, where[len(ha) :] - lo
-                    ia, ib = (wa >= 0) & (wa < 4096), (wb >= 0) & (wb < 4096)
-                    if ia.any() and ib.any():
-                        p, q = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
-                        p[x[ia], wa[ia]] = 1
-                        q[y[ib], wb[ib]] = 1
-                        both += p @ q.T
+                for lo in range(0, len(token), 4096):
+                    ja, jb = (wa >= lo) & (wa < lo + 4096), (wb >= lo) & (wb < lo + 4096)
+                    p, q = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
+                    p[x[ja], wa[ja] - lo] = 1
+                    q[y[jb], wb[jb] - lo] = 1
+                    both += p @ q.T
                 ok = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (ca[:, None] != cb[None, :])
                 i, j = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j])], ["a", "b"])
+                use = joining(ca[i], cb[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a[i[use]]), pa.array(b[j[use]])], ["a", "b"])
 
-    return blocks(outside, "left").join(blocks(some, "right"), "main").select("left", "right").mapInArrow(compare, "a long, b long")
+    return left.join(right, ["main", "part"]).select("left", "right").mapInArrow(tidy(compare), "a long, b long")
 
 
 def labelled(docs: DataFrame, percent: int, whole_documents: bool) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Rows of META; classes: node, rep (least doc_id), n; components (node, component) of linked vertices; the salt of the ids.
+    """Rows of META; classes: node, rep (least doc_id), n; the component of each linked node (node, component); the salt of the ids.
 
-    With whole_documents, the vertices are doc_ids, and the texts of one doc_id are one vertex; else they are sets."""
+    Classes of equal sets are the vertices, so copies take no part. With whole_documents, the classes of one doc_id are linked."""
     spark, salt = docs.sparkSession, 0
     while True:
         everything = materialise(meta(docs, salt))
@@ -456,13 +465,6 @@ def labelled(docs: DataFrame, percent: int, whole_documents: bool) -> tuple[Data
             break
         salt += 1
     classes = classes.where("n > 0").select("node", "rep", "n")
-    vertex = classes.select("node", (F.col("rep") if whole_documents else F.col("node")).alias("at"))
-
-    def vertices(links: DataFrame) -> DataFrame:
-        if not whole_documents:
-            return links
-        return links.join(vertex.toDF("a", "x"), "a").join(vertex.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-
     ranks = spark.sparkContext.broadcast(shingle_ranks(everything))
     sizes = {r["n_shingles"]: r["n"] for r in rows.where(f"n_shingles BETWEEN 1 AND {LARGEST_LIGHT}").groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     found = materialise(candidates(docs, ranks, light_boundary(sizes, percent), percent, salt).distinct())
@@ -471,31 +473,36 @@ def labelled(docs: DataFrame, percent: int, whole_documents: bool) -> tuple[Data
         _members(found).select("doc_id")
     ).distinct())
     reps = classes.join(wanted, classes["node"] == wanted["doc_id"], "left_semi").select(F.col("rep").alias("doc_id"))
-    sets = materialise(sets_of(texts_of(docs, reps, wanted, salt)))
-    sure = found.where("kind = 1").select("a", "b")
-    links = vertices(linked(pairs, sets, percent).unionByName(sure))
+    sets = materialise(whole_sets(docs, reps, wanted, salt))
+    links = linked(pairs, sets, percent).unionByName(found.where("kind = 1").select("a", "b"))
     if whole_documents:
-        member = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes, "node").select("doc_id", "rep")
-        links = links.unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+        several = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+        texts = rows.where("n_shingles > 0").select("doc_id", F.col("node").alias("b"))
+        links = links.unionByName(several.join(texts, "doc_id").where("a <> b").select("a", "b").distinct())
     links = materialise(links)
     label = components(links)
     if len(found.where("kind = 2").take(1)):
         label = materialise(label)
-        long = _members(found).join(vertex.toDF("doc_id", "at"), "doc_id")
-        long = materialise(long.join(label, long["at"] == label["node"], "left").select("list", "doc_id", "n", F.coalesce("component", "at").alias("c")))
-        main = long.groupBy("list", "c").agg(F.count("*").alias("k")).groupBy("list").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
+        long = _members(found)
+        long = materialise(long.join(label, long["doc_id"] == label["node"], "left").select("list", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")))
+        main = materialise(long.groupBy("list", "c").agg(F.count("*").alias("k")).groupBy("list").agg(F.max_by("c", F.struct("k", "c")).alias("main")))
         # lists of one main component are one group; its members outside that component are compared with all others, in blocks
         group = materialise(long.join(main, "list").groupBy("main", "doc_id").agg(F.max("n").alias("n"), F.max("c").alias("c")))
-        more = vertices(linked_rest(group, sets, percent))
-        label = components(links.unionByName(more))
+        more = linked_rest(group, sets, percent)
+        label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))  # a star for each component
     return rows, classes, label, salt
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id."""
-    rows, _, label, _ = labelled(docs.select("doc_id", "text"), percent, True)
-    named = rows.join(label, rows["doc_id"] == label["node"], "left")
-    return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows, classes, label, _ = labelled(docs.select("doc_id", "text"), percent, True)
+    named = materialise(classes.join(label, "node").select("node", "component", "rep"))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    # one row per linked class, as plain rows of a table, so that AQE can split the rows of a class that many texts belong to
+    named = materialise(named.join(least, "component").select("node", "least"))
+    alone = materialise(classes.select("node", "rep").join(named, "node", "left").select(F.col("node").alias("_node"), F.coalesce("least", "rep").alias("least")))
+    out = rows.join(alone, (rows["node"] == alone["_node"]) & (rows["n_shingles"] > 0), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("least")), F.col("doc_id")).alias("component_id"))
 
 
 def _members(found: DataFrame) -> DataFrame:
@@ -510,16 +517,27 @@ def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows, classes, label, salt = labelled(docs.select("doc_id", "text"), percent, False)
     label = label.toDF("node", "component")
     first = classes.join(label, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct("rep", "node")).alias("m")).select("m.*").toDF("_doc", "_node")
-    first = first.unionByName(rows.where("n_shingles = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node")).distinct())
-    named = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    first = materialise(first.unionByName(rows.where("n_shingles = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node")).distinct()))
+    times = materialise(rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.count("*").alias("_k")))
+    several = times.where("_k > 1").select("_doc")
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"))
+    # where a doc_id has one row, it tells the row; the rows of the others are told by their sets
+    kept = named.join(first.join(times.where("_k = 1"), "_doc").select("_doc"), "_doc", "left_semi").select("_row")
+    kept = kept.unionByName(named.where("_doc IS NULL").select("_row"))
+    if not several.take(1):
+        return kept.select("_row.*")
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_doc"), pa.array(ids_of(batch.column("_text"), salt))], ["_row", "_doc", "_node"])
-
-    schema = StructType([*named.schema.fields[:2], StructField("_node", LongType())])
-    kept = named.where("_doc IS NOT NULL").mapInArrow(run, schema).join(first, ["_doc", "_node"], "left_semi").groupBy("_doc", "_node").agg(F.min("_row").alias("_row")).select("_row")
-    return kept.unionByName(named.where("_doc IS NULL").select("_row")).select("_row.*")
+            texts = batch.column("_row").field("text")
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_doc"), pa.array(ids_of(texts, salt))], ["_row", "_doc", "_node"])
+
+    schema = StructType([*named.schema.fields, StructField("_node", LongType())])
+    told = named.join(several, "_doc", "left_semi").select("_row", "_doc").mapInArrow(tidy(run), schema)
+    # a doc_id's rows stay together, so the order in a group is by the row itself
+    order = Window.partitionBy("_doc", "_node").orderBy(F.xxhash64("_row"))
+    told = told.join(first, ["_doc", "_node"], "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row")
+    return kept.unionByName(told).select("_row.*")
 
 
 JACCARD_SQL = r"""
