@@ -7,15 +7,15 @@ source's words, and the excess goes to the others by weight until none is above
 
 Each document gets a hash-random key. Within its source the documents stand in key
 order: the key's first three hex digits cut that order into 4096 ranges of equal
-expected size, whose word counts are summed and accumulated, and a window inside
-each range continues from there. So no source, however large, meets in one task.
+expected size (a parameter sets how many), whose word counts are summed and accumulated,
+and a window inside each range continues from there. So no source, however large, meets in one task.
 A source's budget is then met exactly: whole epochs first, after which the order is
 cut at the remaining words; the document at the cut gives only its first words.
 
 Null text counts as no words; null sources are one source; repeated rows are
 separate documents; an empty table gives an empty result. Ties of the key are
 broken by doc_id and size; rows equal in these are interchangeable. Extra columns
-are ignored by `mix_plan` and kept by `mix_documents`.
+are ignored by `mix_plan` and kept by `mix_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import ahead, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -57,17 +57,15 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     )
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
+def mix_plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, range_digits: int = RANGE_DIGITS) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, taken (words, repeats counted).
+
+    A source is cut into 16 ** range_digits ranges, each of which one task accumulates."""
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)))
     sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     targets = source_targets(sized, weights, max_epochs)
-    keyed = sized.withColumn("key", key).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    along = Window.partitionBy("source").orderBy("range")
-    ranges = (
-        keyed.groupBy("source", "range").agg(F.sum("size").alias("n"))
-        .select("source", "range", (F.sum("n").over(along) - F.col("n")).alias("ahead"))
-    )
+    keyed = sized.withColumn("key", key).withColumn("range", F.conv(F.substring("key", 1, range_digits), 16, 10).cast("long"))
+    ranges = ahead(keyed.groupBy("source", "range").agg(F.sum("size").alias("n")), ["source"], "range")
     plan = ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select(
         F.col("r.source").alias("s"), F.col("range").alias("g"), "ahead", "source_size", "target"
     )
@@ -83,30 +81,33 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, see
     )
 
 
-def mix_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    gaps = F.split(text, WORD)  # the white space before each word, and after the last
+    parts = F.zip_with(F.slice(gaps, F.lit(1), n), F.slice(words, F.lit(1), n), lambda g, w: F.length(g) + F.length(w))
+    return F.substring(text, F.lit(1), F.aggregate(parts, F.lit(0), lambda a, x: a + x))
+
+
+def mix_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, range_digits: int = RANGE_DIGITS) -> DataFrame:
     """The mixed corpus, with the columns of docs: a document taken more than once is repeated, and
     the one at its source's cut keeps its first words and the white space between them."""
-    columns = docs.columns
-    plan = mix_plan(docs, weights, max_epochs, seed).where("taken > 0")
+    plan = mix_plan(docs, weights, max_epochs, seed, range_digits).where("taken > 0")
     # rows equal in doc_id, source and size are interchangeable, so they are matched by their rank
-    same = Window.partitionBy("doc_id", "source", "size")
-    plan = plan.withColumn("_n", F.row_number().over(same.orderBy("taken")))
-    rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn(
-        "_n", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text"))
-    )
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_n").alias("_m"), F.col("taken").alias("_taken"))
-    joined = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_n") == F.col("_m")))
-    whole, rest = (F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
-    first = F.array_join(F.slice(F.split(F.ltrim(F.translate(F.col("text"), "\t\n\x0b\x0c\r", "     ")), " +"), F.lit(1), F.col("_rest")), " ")
-    parts = joined.withColumn("_rest", rest).withColumn(
-        "_keep", F.concat(F.array_repeat(F.lit(True), whole), F.array_repeat(F.lit(False), F.when(F.col("_rest") > 0, 1).otherwise(0)))
-    )
-    out = parts.withColumn("_whole", F.explode("_keep"))
-    text = F.when(F.col("_whole"), F.col("text")).otherwise(first)
-    replaced = {"text": text}
-    if "n_chars" in columns:
-        replaced["n_chars"] = F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.length(first).cast("long"))
-    return out.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in columns])
+    plan = plan.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("taken"))).alias("p")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("row.text"))).alias("d")
+    same = F.lit(True)
+    for c in ("doc_id", "source", "size", "n"):
+        same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}"))
+    joined = rows.join(plan, same).select("d.row", (F.col("taken") / F.col("p.size")).cast("int").alias("whole"), (F.col("taken") % F.col("p.size")).cast("int").alias("rest"))
+    copies = F.concat(F.array_repeat(F.lit(True), F.col("whole")), F.array_repeat(F.lit(False), F.when(F.col("rest") > 0, 1).otherwise(0)))
+    out = joined.select("row", "rest", F.explode(copies).alias("whole"))
+    text = F.when(F.col("whole"), F.col("row.text")).otherwise(first_words(F.col("row.text"), F.col("rest")))
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.col("whole"), F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return out.select(row.alias("row")).select("row.*")
 
 
 MIX_SQL = r"""
