@@ -1,37 +1,63 @@
 """Format-preserving pseudonyms for personal data and secrets.
 
 Recognised: card numbers (Luhn), IBANs (mod 97), US social security numbers, telephone
-numbers, IPv4 addresses, calendar dates, e-mail addresses, and secrets (hexadecimal tokens,
-access key ids, the values of password= and similar). A number or date counts only if it is
-valid. Where a card number or IBAN that is matched fails its check, or meets what is recognised
-already, its shorter prefixes and later starts at group boundaries are tried too. Its digits become an integer below the number of values of its format; a keyed
-Feistel network permutes that range (cycle walking keeps it inside), and the result is
-written in the same format: same length and separators, check digits computed anew, dates
-valid. Equal values get equal pseudonyms in every document, whatever their separators, and
-whoever has the key can undo the permutation. (Where other groups of digits stand beside a card,
-a longer or earlier number may pass the check by chance, before or after; a new scan of the
-pseudonyms then cuts the groups otherwise than the first one did.)
+numbers, IPv4 and IPv6 addresses, calendar dates in digits or with an English month name, e-mail
+addresses, and secrets (hexadecimal tokens, access key ids, values with a digit behind password=,
+token: and the like). A number or date counts only if it is valid. Where a card number or IBAN
+that is matched fails its check, or meets what is recognised already, its shorter prefixes and
+later starts at group boundaries are tried too; a telephone number is none where the same
+separator joins it to further groups of digits. Ten digits without separators are no telephone
+number, since ids look the same.
+
+A value's digits become an integer below the number of values of its format; a keyed Feistel
+network permutes that range (cycle walking keeps it inside), and the result is written in the
+same format: same separators and, but for IP addresses and month names, the same length; check
+digits computed anew, dates valid. An IPv4 address with leading zeros counts only if all its parts
+have three digits, and stays so. Equal values get equal pseudonyms in every document, whatever
+their separators, and whoever has the key can undo the permutation. (Where other groups of digits
+stand beside a card, a longer or earlier number may pass the check by chance, before or after; a
+new scan of the pseudonyms then cuts the groups otherwise than the first one did.)
+
+The key is the text in the session's setting spark.tidemill.pii.secret. Where it is unset, the
+session gets a random one, so that nobody can undo its pseudonyms; set it to keep values linked
+across sessions.
 
 Nothing else of a text changes. Null text stays null and empty text empty; repeated rows
 are treated alike; an empty table gives an empty result; other columns are kept by
-`pseudonymise` and ignored by `pii_report`.
+`pseudonymise`, whatever their names, and ignored by `pii_report`.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
+import secrets
 from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-KEY = b"replace this key in production"
+from .common import tidy
+
+KEY_SETTING = "spark.tidemill.pii.secret"
+KEY = secrets.token_bytes(32)
+"""For Pseudonyms made without a key: another one in each process."""
 ROUNDS = 8
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names, or a random one that it keeps."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if not named:
+        named = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, named)
+    return hashlib.blake2b(named.encode(), digest_size=32).digest()
+
+
 class Feistel:
     """A keyed permutation of range(size)."""
 
@@ -131,12 +157,33 @@ class Pseudonyms:
         head, own = d[:-10] if len(d) > 10 else "", d[-10:]
         return refill(s, head + self.number("phone", own))
 
+    def walk(self, kind: str, size: int, x: int, fits) -> int:
+        """Permutes until the value fits; x itself must fit, so this permutes the values that do."""
+        while True:
+            x = self.permute(kind, size, x)
+            if fits(x):
+                return x
+
     def ip(self, s: str) -> str | None:
-        parts = [int(x) for x in s.split(".")]
-        if max(parts) > 255:
+        parts = s.split(".")
+        if max(map(int, parts)) > 255:
             return None
-        x = self.permute("ip", 1 << 32, int.from_bytes(bytes(parts), "big"))
-        return ".".join(map(str, x.to_bytes(4, "big")))
+        x = int.from_bytes(bytes(map(int, parts)), "big")
+        if any(p[0] == "0" and len(p) > 1 for p in parts):
+            if any(len(p) != 3 for p in parts):
+                return None
+            x = self.walk("ip000", 1 << 32, x, lambda v: min(v.to_bytes(4, "big")) < 100)
+            return ".".join(f"{p:03d}" for p in x.to_bytes(4, "big"))
+        return ".".join(map(str, self.permute("ip", 1 << 32, x).to_bytes(4, "big")))
+
+    def ipv6(self, s: str) -> str | None:
+        try:
+            address = ipaddress.IPv6Address(s)
+        except ValueError:
+            return None
+        new = ipaddress.IPv6Address(self.permute("ipv6", 1 << 128, int(address)))
+        text = new.exploded if len(s) == 39 else new.compressed
+        return text.upper() if s != s.lower() else text
 
     FIRST, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
@@ -153,13 +200,35 @@ class Pseudonyms:
             return None
         if not 0 <= day < self.DAYS:
             return None
-        new = datetime.date.fromordinal(self.FIRST + self.permute("date", self.DAYS, day))
-        if order == "mdy" and new.day <= 12:  # it would read as day first; keep walking until it does not
-            while new.day <= 12:
-                new = datetime.date.fromordinal(self.FIRST + self.permute("date", self.DAYS, new.toordinal() - self.FIRST))
+        # month first is read as such only where the day is above 12
+        new = self._day(day, (lambda d: d.day > 12) if order == "mdy" else lambda d: True)
         value = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
         return value[order[0]] + sep[0] + value[order[1]] + sep[1] + value[order[2]]
 
+    def _day(self, day: int, fits) -> datetime.date:
+        def at(x: int) -> datetime.date:
+            return datetime.date.fromordinal(self.FIRST + x)
+
+        return at(self.walk("date", self.DAYS, day, lambda x: fits(at(x))))
+
+    def written_date(self, s: str) -> str | None:
+        m = re.search("[A-Za-z]+", s)
+        name = next((i for i, n in enumerate(MONTHS) if m[0] in (n, n[:3])), None)
+        y, d = s[-4:], re.sub("[^0-9]", "", s[:-4])
+        try:
+            day = datetime.date(int(y), name + 1, int(d)).toordinal() - self.FIRST
+        except ValueError:
+            return None
+        if not 0 <= day < self.DAYS:
+            return None
+        short, padded = m[0] != MONTHS[name], d[0] == "0"
+        # May is read as a full name, and only days below 10 have a leading zero
+        new = self._day(day, lambda x: not (short and x.month == 5 or padded and x.day > 9))
+        month = MONTHS[new.month - 1][: 3 if short else None]
+        day_text = f"{new.day:02d}" if padded else str(new.day)
+        out = s[:-4].replace(m[0], "\0")
+        return re.sub("[0-9]+", day_text, out).replace("\0", month) + f"{new.year:04d}"
+
     def mixed(self, kind: str, s: str) -> str:
         """Digits, small and capital letters (A-Z) permuted in their places; other characters stay."""
         radix = [10 if "0" <= c <= "9" else 26 if "a" <= c.lower() <= "z" else 1 for c in s]
@@ -183,6 +252,9 @@ class Pseudonyms:
         head, tail = s.rsplit(".", 1)
         return self.mixed("email", head) + "." + tail
 
+    def named_secret(self, s: str) -> str | None:
+        return self.secret(s)
+
     def secret(self, s: str) -> str | None:
         if re.fullmatch("[0-9a-f]{16,}|[0-9A-F]{16,}", s):
             if s.isdigit() or s.isalpha():
@@ -195,26 +267,38 @@ class Pseudonyms:
         return s[:4] + self.mixed("key", s[4:])
 
 
+#: English month names.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH = "(?:" + "|".join(f"{n}|{n[:3]}" for n in MONTHS) + ")"
+
 #: What is recognised, by kind, in order of precedence. A lookbehind keeps a match from starting inside a word or number.
 PATTERNS = (
     ("email", r"[\w.%+-]{1,64}@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}"),
     ("secret", r"(?<=[=:]\s)[\"']?(?=[0-9A-Za-z]*[0-9])[0-9A-Za-z_-]{16,}|(?<=[=:])[\"']?(?=[0-9A-Za-z]*[0-9])[0-9A-Za-z_-]{16,}|(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}(?![0-9A-Za-z])"),
+    ("named_secret", r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key)[\"']?\s?[:=]\s?[\"']?(?P<v>(?=[^\s\"',;<>]*[0-9])[^\s\"',;<>]{6,64})"),
     ("key_id", r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?(?![0-9A-Za-z])"),
     ("date", r"(?<![0-9.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9])"),
+    ("written_date", rf"(?<![0-9A-Za-z])(?:[0-9]{{1,2}} {_MONTH},? [0-9]{{4}}|{_MONTH} [0-9]{{1,2}}, [0-9]{{4}})(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"),
+    ("ipv6", r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)(?:[0-9a-f]{1,4}:|:|[0-9A-F]{1,4}:){2,7}(?:[0-9a-f]{1,4}|[0-9A-F]{1,4})(?![0-9A-Za-z:.])"),
     ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
-    ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{9,15}(?![0-9])"),
+    ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?P<s>[ .-])[0-9]{3,4}(?P<t>[ .-])[0-9]{3,4}(?!(?P=t)[0-9]{3}|[0-9])|(?<![0-9A-Za-z])\+[0-9]{9,15}(?![0-9])"),
 )
-KINDS = tuple(k for k, _ in PATTERNS)
+#: Kinds that are counted as another.
+_AS = {"named_secret": "secret", "written_date": "date"}
 _COMPILED = [(k, re.compile(p)) for k, p in PATTERNS]
 #: Kinds whose matches may take in neighbours, and where a match can end early.
 _GROUPED = {"card": re.compile("[ -]"), "iban": re.compile(" ")}
+#: What a text must hold for a match of the kind.
+_NEEDS = {"email": "@", "ipv6": ":"}
 _GROUP = re.compile("[0-9A-Za-z]+")
 #: Digits in groups of four or more, the last of any size: parts of a match that count as a card before phones are looked for. Parts in other groups come after phones.
 _CARD_GROUPS = re.compile("(?:[0-9]{4,}[ -])*[0-9]+")
 _PASSES = [(k, p, k != "card") for k, p in _COMPILED] + [(k, p, True) for k, p in _COMPILED if k == "card"]
+#: Three digits up to a place.
+_DIGITS_BEFORE = re.compile("[0-9]{3}$")
 _MAY = re.compile("[0-9@]")
 
 
@@ -225,12 +309,14 @@ def rewrite(text: str, pseudonyms: Pseudonyms) -> tuple[str, Counter]:
         return text, found
     spans: list[tuple[int, int, str, str]] = []
     for kind, pattern, parts in _PASSES:
-        if kind == "email" and "@" not in text:
+        if (needed := _NEEDS.get(kind)) and needed not in text:
             continue
         at = behind = 0  # behind: the end of the last match that began behind the one before
         while m := pattern.search(text, at):
-            a, b = m.span()
+            a, b = m.span("v" if "v" in pattern.groupindex else 0)
             at = b
+            if kind == "phone" and m["s"] and a and text[a - 1] == m["s"] and _DIGITS_BEFORE.search(text, max(0, a - 4), a - 1):
+                continue
             whole = a >= behind
             behind = b if whole else behind
             while b > a and text[a] in "\"'":
@@ -247,7 +333,7 @@ def rewrite(text: str, pseudonyms: Pseudonyms) -> tuple[str, Counter]:
                 new = getattr(pseudonyms, kind)(text[a:end])
                 if new is not None:
                     spans.append((a, end, kind, new))
-                    found[kind] += 1
+                    found[_AS.get(kind, kind)] += 1
                     at = end
                     break
     if not spans:
@@ -259,15 +345,18 @@ def rewrite(text: str, pseudonyms: Pseudonyms) -> tuple[str, Counter]:
     return "".join(out) + text[at:], found
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, undo: bool = False, counts: bool = False) -> DataFrame:
-    """docs with the text's personal data replaced; with counts, also n_found and kinds ("card:1 email:2")."""
-    columns = docs.columns
-    i = columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+def pseudonymise(docs: DataFrame, key: bytes | None = None, undo: bool = False, counts: bool = False) -> DataFrame:
+    """docs with the text's personal data replaced; with counts, also n_found and kinds ("card:1 email:2"). key: the session's where None."""
+    key = session_key(docs.sparkSession) if key is None else key
+    i = docs.columns.index("text")
+    schema = docs.schema
+    if counts:
+        schema = StructType([*schema.fields, StructField("n_found", LongType()), StructField("kinds", StringType())])
+    names = schema.names
 
     def run(batches):
         p = Pseudonyms(key, undo)
-        for batch in batches:
+        for batch in (b.slice(j, 512) for b in batches for j in range(0, len(b), 512)):
             texts, n, kinds = [], [], []
             for t in batch.column(i).to_pylist():
                 new, found = (None, Counter()) if t is None else rewrite(t, p)
@@ -277,11 +366,11 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, undo: bool = False, counts:
             arrays = [pa.array(texts, pa.string()) if j == i else c for j, c in enumerate(batch.columns)]
             if counts:
                 arrays += [pa.array(n, pa.int64()), pa.array(kinds, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=columns + ["n_found", "kinds"] * counts)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(run, schema + (", n_found long, kinds string" if counts else ""))
+    return docs.mapInArrow(tidy(run), schema)
 
 
-def pii_report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pii_report(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """Per document: doc_id, text (with pseudonyms), n_found, kinds."""
     return pseudonymise(docs.select("doc_id", "text"), key, counts=True)
