@@ -7,7 +7,8 @@ often it votes what on good and on bad ones; labellers are taken as independent
 twentieth of the corpus.
 The posterior of a pattern is its documents' weak label.
 
-Posteriors of a bounded sample of documents train a linear scorer over hashed words and word
+Posteriors of a bounded sample of documents (the first in order of a hash, up to so many rows and
+characters; one task reads them, and only weights go to the driver) train a linear scorer over hashed words and word
 pairs and a few hashed counts of form, by logistic regression. The scorer runs on every
 whole text, so it also judges documents on which the labellers say little; the score is its
 log-odds added to that of the weak label, as one probability.
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_ROLLERS, chunks, mixed, windows
+from .common import U64, WORD_ROLLERS, chunks, mixed, tidy, windows
 
-SAMPLE_ROWS = 4000
-"""At most so many documents, by hash, train the scorer; patterns are counted over all."""
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 64_000_000
+"""At most so many documents, by hash, and so many characters of them train the scorer; patterns are counted over all."""
 BITS = 18
 PRIOR = 0.85
 ANCHOR = 0.05
@@ -184,7 +185,29 @@ def vote_codes(docs: DataFrame) -> DataFrame:
             out = [Measures(c).codes() for c in chunks(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else [], pa.int64())], ["code"])
 
-    return docs.select("text").mapInArrow(run, "code long")
+    return docs.select("text").mapInArrow(tidy(run), "code long")
+
+
+def fitted(docs: DataFrame, weak: np.ndarray, count: int, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
+    """The scorer's weights, trained in one task on the sample. weak: the posterior of each vote code; count: rows of docs."""
+    place = F.xxhash64("doc_id", "text")
+    share = min(1.0, 1.2 * sample_rows / count + 1e-6)  # more than are taken, so that few rows are sorted
+    by_hash = docs.where("text IS NOT NULL").select(F.col("text"), place.alias("_place")).where(F.pmod("_place", F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = by_hash.orderBy(F.pmod("_place", F.lit(1 << 30)), "_place", "text").limit(sample_rows).select("text")
+
+    def train(batches):
+        texts, size = [], 0
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                size += len(t)
+                if size <= SAMPLE_CHARS or not texts:
+                    texts.append(t)
+        target = [weak[Measures(c).codes()] for c in chunks(pa.array(texts, pa.string()))]
+        w = fit_scorer(texts, np.concatenate(target)) if texts else np.zeros((1 << BITS) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary())], ["weights"])
+
+    got = sample.repartition(1).mapInArrow(tidy(train), "weights binary").collect()  # one row of 2 ** BITS numbers
+    return np.frombuffer(got[0]["weights"], "<f4").astype(float) if got else np.zeros((1 << BITS) + 1)
 
 
 RESULT = "doc_id long, n_words long, weak_label double, score double, kept boolean"
@@ -200,12 +223,7 @@ def quality_scores(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: f
     weak = np.full(3 ** len(LABELLERS), good)
     for p, x in posterior.items():
         weak[sum((v + 1) * 3**i for i, v in enumerate(p))] = x
-    share = min(1.0, sample_rows / sum(n for _, n in counted))
-    by_hash = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = docs.select("doc_id", "text").where("text IS NOT NULL").where(by_hash).limit(sample_rows).select("text").collect()
-    texts = [r["text"] for r in sample]
-    target = [weak[Measures(c).codes()] for c in chunks(pa.array(texts, pa.string()))]
-    weights = fit_scorer(texts, np.concatenate(target)) if texts else np.zeros((1 << BITS) + 1)
+    weights = fitted(docs, weak, sum(n for _, n in counted), sample_rows)
     sent = spark.sparkContext.broadcast((weights, weak))  # 2 ** BITS numbers, whatever the input
     prior = math.log(good / (1 - good))
 
@@ -230,4 +248,4 @@ def quality_scores(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: f
                 ["doc_id", "n_words", "weak_label", "score", "kept"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), RESULT)
