@@ -241,6 +241,29 @@ def test_packing_plan_is_whole_and_tight():
     assert sum(c * n for c, n in h.items()) / (256 * sum(n for _, n in plan)) > 0.97
 
 
+def test_short_texts_fill_their_windows(spark):
+    docs = spark.createDataFrame([(i, None if i % 3 == 0 else "a few words more " * (i % 3)) for i in range(6000)], "doc_id long, text string")
+    rows = packing.pack(docs, tokenizer_path()).collect()
+    used = sum(r["length"] for r in rows)
+    assert len(rows) == 6000 and used / (4096 * len({r["sequence_id"] for r in rows})) > 0.9
+
+
+def test_known_pieces_take_bounded_memory():
+    enc = packing.Encoder(tokenizer_path())
+    enc.REMEMBERED = 1 << 16
+    r = random.Random(3)
+    for _ in range(30):
+        texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(200))]
+        assert list(enc.all(texts)) == [enc.ids(t) for t in texts]
+        assert len(enc.known) + len(enc.before) < 1000
+
+
+def test_another_tokenizer_takes_no_shortcut():
+    enc = packing.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    assert not enc.fast and list(enc.all(["the Cat sat", ""])) == [enc.ids("the Cat sat"), b""]
+    assert packing.Encoder(tokenizer_path()).fast
+
+
 def test_rules(docs):
     for r in rules.quality_rules(docs).collect():
         t = next(x[1] for x in ROWS if x[0] == r["doc_id"]) or ""
@@ -261,6 +284,44 @@ def test_rule_order_does_not_change_the_verdict(docs):
     assert a == b
 
 
+def test_rules_keep_rows_with_clashing_columns(spark, docs):
+    want = sorted(str(r["doc_id"]) for r in rules.quality_rules(docs).where("kept").collect())
+    assert sorted(str(r["doc_id"]) for r in rules.keep_documents(docs).collect()) == want
+    clash = docs.selectExpr("*", "1 AS n_words", "2 AS _row", "3 AS kept", "4 AS _m")
+    got = rules.keep_documents(clash)
+    assert got.columns == clash.columns and sorted(str(r["doc_id"]) for r in got.where("n_words = 1 AND _row = 2 AND kept = 3").collect()) == want
+
+
+def test_rule_order_follows_the_sample(spark):
+    """A rule that rejects half of the rows comes before those that reject none."""
+    line = "good words in a line that is long enough to be kept here now"
+    rows = [(i, f"{line.replace(' ', '! ') if i % 2 else line} {i} and {i + 7}") for i in range(400)]
+    order = rules.rule_order(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert order[0].name == "exclamations" and {r.name for r in order} == {r.name for r in rules.RULES}
+
+
+def test_mixed_documents_keep_columns_and_white_space(spark):
+    rows = [(i, "a\tb  c d e", "s1" if i < 8 else "s2", 777, 5, f"r{i}", True, False) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size long, n_chars long, _rest string, _whole boolean, _keep boolean")
+    got = mixing.mix_documents(docs)
+    assert got.columns == docs.columns
+    found = got.collect()
+    assert all(r["_size"] == 777 and r["_rest"] == f"r{r['doc_id']}" and r["_whole"] and not r["_keep"] and "a\tb  c d e".startswith(r["text"]) for r in found)
+    plan = {r["doc_id"]: r["taken"] for r in mixing.mix_plan(docs).collect()}
+    assert Counter({d: n for d, n in plan.items() if n}) == sum((Counter({r["doc_id"]: len(split(r["text"]))}) for r in found), Counter())
+    assert [spark.range(1).select(mixing.first_words(mixing.F.lit(t), mixing.F.lit(n))).first()[0] for t, n in (("  a\tb c", 2), ("a\tb  c d e", 3), ("x", 1))] == ["  a\tb", "a\tb  c", "x"]
+
+
+def test_mix_of_equal_and_null_rows(spark):
+    rows = [(1, "a b c", "s")] * 4 + [(None, "a b c", None)] * 3 + [(2, None, "s"), (3, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix_plan(docs).collect()
+    assert len(plan) == len(rows) and sum(r["taken"] for r in plan) in (20, 21)
+    assert sum(len(split(r["text"])) for r in mixing.mix_documents(docs).collect()) == sum(r["taken"] for r in plan)
+    few = mixing.mix_plan(docs, range_digits=1).collect()
+    assert sorted(map(str, few)) == sorted(map(str, plan))
+
+
 def test_mixing(docs):
     rows = mixing.mix_plan(docs).collect()
     assert len(rows) == len(ROWS)
@@ -303,6 +364,41 @@ def test_pii_values_beside_other_groups():
     assert pii.rewrite("ring 415-555-0132 415-555-0178", p)[1] == Counter(phone=2)
 
 
+def test_pii_forms_and_what_is_none():
+    p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    assert pii.rewrite("1234-5678-9012-3456 and 1234 5678 9012 3456", p)[1] == Counter()
+    for text in ("042.144.035.254", "password: hunter2", "PWD=s3cretword", "on 3 March 2024", "March 13, 2024", "5 Mar 2024", "05 May 1999", "2001:db8::8a2e:370:7334", "2001:0DB8:0000:0000:0000:8A2E:0370:7334"):
+        new, found = pii.rewrite(text, p)
+        assert sum(found.values()) == 1 and new != text and pii.rewrite(new, back)[0] == text, (text, new)
+    assert [len(x) for x in pii.rewrite("042.144.035.254", p)[0].split(".")] == [3] * 4
+    for text in ("password: hunter", "31 February 2024", "42.044.1.1", "at 10:20:30", "ratio 1:2:3:x", "token of thanks 2024x"):
+        assert pii.rewrite(text, p) == (text, Counter()), text
+
+
+def test_pii_links_values_across_documents(spark):
+    """Against a plain version: texts with planted values change there, by one pseudonym per value, and nowhere else."""
+    r, planted, rows = random.Random(4), ["4111111111111111", "DE89370400440532013000", "a.b1@mail.example.com", "123-45-6789", "2024-02-29", "+1 (988) 555-2485", "10.1.2.3"], []
+    for i in range(300):
+        parts = [words(r, r.randint(1, 8), 3000) for _ in range(3)]
+        rows.append((i, [*parts[:1], *[x for p in parts[1:] for x in (r.choice(planted), p)]]))
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in rows] + [(1000, None), (1001, "")], "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["text"] for x in pii.pseudonymise(docs).collect()}
+    p = pii.Pseudonyms(pii.session_key(spark))
+    of = {v: pii.rewrite(v, p)[0] for v in planted}
+    assert all(of[v] != v and len(of[v]) == len(v) or v == "10.1.2.3" for v in planted)
+    assert all(got[i] == " ".join(of.get(y, y) for y in x) for i, x in rows) and got[1000] is None and got[1001] == ""
+
+
+def test_pii_key_comes_from_the_session(spark):
+    docs = spark.createDataFrame([(1, "a.b1@mail.example.com", 3)], "doc_id long, text string, n_found long")
+    one, again = (pii.pseudonymise(docs).first() for _ in range(2))
+    assert one == again and one["n_found"] == 3
+    old = spark.conf.get(pii.KEY_SETTING)
+    spark.conf.set(pii.KEY_SETTING, "another")
+    assert pii.pseudonymise(docs).first()["text"] != one["text"]
+    spark.conf.set(pii.KEY_SETTING, old)
+
+
 def test_feistel_permutes():
     f = pii.Feistel(b"k", "x", 1000)
     assert sorted(map(f.forward, range(1000))) == list(range(1000)) and all(f.backward(f.forward(x)) == x for x in range(1000))
@@ -384,6 +480,20 @@ def test_weak_labels_find_what_is_bad(spark):
     assert sum(got[i] == (i % 10 > 1) for i, _ in rows) >= 0.97 * len(rows) and len(got) == 402
 
 
+def test_weak_labels_against_given_labels(spark):
+    """The table's labels, which nothing is fitted to."""
+    d = "/root/testdata/sf0.01"
+    got = weak.quality_scores(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("quality", "kept").collect()
+    bad, good = [r["kept"] for r in got if r["quality"] == 0], [r["kept"] for r in got if r["quality"] == 1]
+    assert len(bad) > 20 and sum(bad) <= 0.05 * len(bad) and sum(good) >= 0.97 * len(good)
+
+
+def test_fit_sample_does_not_depend_on_partitions(spark, docs):
+    code = np.linspace(0.1, 0.7, 3 ** len(weak.LABELLERS))
+    a, b = (weak.fitted(docs.repartition(n), code, len(ROWS), 20) for n in (1, 5))
+    assert a.any() and (a == b).all()
+
+
 @pytest.mark.parametrize("operator", [suffix_dedup.dedup_bytes, substring.dedup_words, jaccard.jaccard_join, rules.quality_rules, mixing.mix_plan, weak.quality_scores, lambda d: packing.pack(d, tokenizer_path())])
 def test_empty_tables(none, operator):
     assert operator(none).count() == 0
@@ -422,9 +532,35 @@ def test_components_settle_or_raise(spark):
 
 
 @pytest.mark.parametrize("marks", [64, 1 << 25])
-def test_rows_of_full_or_sparse_marks(spark, monkeypatch, marks):
+def test_whole_sets_with_full_or_sparse_marks(spark, monkeypatch, marks):
+    """Each wanted set comes once, though its doc_id has several rows, and no other set comes."""
+    import pyarrow as pa
+
     monkeypatch.setattr(jaccard, "MARKS", marks)
-    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)] + [(7, "text 70"), (None, "x"), (8, None)], "doc_id long, text string")
-    ids = spark.createDataFrame([(i,) for i in range(0, 300, 7)] + [(-5,)], "doc_id long")
-    got = sorted(map(tuple, jaccard.rows_of(docs, ids).collect()))
-    assert got == [(i, f"text {i}" if i != 7 else "text 70") for i in range(0, 300, 7)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)] + [(7, "text 70"), (7, "text 7"), (None, "x"), (8, None)], "doc_id long, text string").repartition(5)
+    reps = spark.createDataFrame([(i,) for i in range(0, 300, 7)] + [(-5,)], "doc_id long")
+    nodes = jaccard.ids_of(pa.array([f"text {i}" for i in range(0, 300, 7)]), 0).tolist()
+    wanted = spark.createDataFrame([(n,) for n in nodes], "doc_id long")
+    got = [r["doc_id"] for r in jaccard.whole_sets(docs, reps, wanted, 0).collect()]
+    assert sorted(got) == sorted(nodes)
+
+
+def test_blocks_find_what_lists_leave_open(spark, monkeypatch):
+    """One list of 5000 unrelated members and two small families in it: all links between members come back."""
+    r = np.random.default_rng(4)
+    sets, common = {}, np.array([1], np.uint64)
+    for i in range(5000):
+        sets[i] = np.unique(np.concatenate([common, r.integers(2, 1 << 62, 40).astype(np.uint64)]))
+    for a, b in ((0, 1), (7, 4000), (2500, 4999)):
+        sets[b] = np.unique(np.concatenate([sets[a][:-2], np.array([1 << 63], np.uint64)]))
+    group = spark.createDataFrame([(0, i, len(h), i) for i, h in sets.items()], "main long, doc_id long, n long, c long")
+    whole = spark.createDataFrame([(i, bytearray(h.tobytes())) for i, h in sets.items()], "doc_id long, shingles binary")
+    monkeypatch.setattr(jaccard, "BLOCK", 1 << 14)
+    got = {tuple(sorted(x)) for x in jaccard.linked_rest(group, whole).collect()}
+    assert got == {(0, 1), (7, 4000), (2500, 4999)}
+
+
+def test_many_exact_copies_are_one_component(spark):
+    copies = spark.range(100_000).selectExpr("id + 10 AS doc_id", "'one two three four five six seven' AS text")
+    got = jaccard.jaccard_join(copies).groupBy("component_id").count().collect()
+    assert [tuple(x) for x in got] == [(10, 100_000)]
