@@ -11,7 +11,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Java's Unicode class misses four of the separators that count as white space here.
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -166,9 +166,10 @@ def site_query(keyword: Column, domains: Column) -> Column:
     return F.concat(F.lit("("), F.array_join(F.transform(domains, lambda d: F.concat(F.lit("site:"), d)), " OR "), F.lit(") "), keyword)
 
 
-def int_list(c: Column) -> Column:
-    """Whole numbers of a comma-separated text; blanks and others are left out."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.when(F.trim(x).rlike("^[+-]?[0-9]+$"), F.trim(x).try_cast("bigint"))), lambda x: x.isNotNull())
+def int_list(c: Column, default: tuple[int, ...] = ()) -> Column:
+    """Whole numbers of a comma-separated text; blanks and others are left out. With none, the default."""
+    found = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.when(F.trim(x).rlike("^[+-]?[0-9]+$"), F.trim(x).try_cast("bigint"))), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, found).otherwise(F.array(*[F.lit(x).cast("bigint") for x in default])) if default else found
 
 
 #: Elements removed before paragraphs are read, and the paragraph rule.
@@ -185,3 +186,20 @@ def paragraphs(page: Column) -> Column:
     found = F.regexp_extract_all(page, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=<p[\s>]|</p\s*>|\z)"), 1)
     # markup goes first, so that a reference cannot become a tag
     return F.transform(found, lambda p: F.regexp_replace(p, "<[^>]+>", " "))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _unescaped_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: [html.unescape(t) for t in x], na_action="ignore")
+
+
+def clean_paragraphs(page: Column) -> Column:
+    """The page's paragraphs, cleaned, those of at least LEAST_PARAGRAPH characters, as an array in page order."""
+    found = paragraphs(page)
+    plain = F.coalesce(_unescaped_each(F.when(F.exists(found, lambda p: F.contains(p, F.lit("&"))), found)), found)
+    return F.filter(F.transform(plain, lambda p: clean_text(p, False)), lambda p: F.length(p) >= LEAST_PARAGRAPH)
+
+
+def article_text(page: Column) -> Column:
+    """The first MOST_ARTICLE characters of the page's paragraphs; '' where there are none."""
+    return F.substring(F.trim(F.array_join(clean_paragraphs(page), " ")), 1, MOST_ARTICLE)

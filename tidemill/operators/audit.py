@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .records import FIELDS
+from ..scratch import exists as _exists
+from .records import FIELDS, RECORD
 
 UNKNOWN = "未知"
 
@@ -31,3 +32,15 @@ def summary(records: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row: records, and how many are new against history."""
     out = records.agg(F.count("*").alias("records"))
     return out if history is None else out.crossJoin(history.agg(F.count("*").alias("history")))
+
+
+def report(spark: SparkSession, path: str, fields=FIELDS, top: int = 20, first: int = 3) -> dict[str, object]:
+    """What an audit of a snapshot of JSON lines says; a missing one is an error."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"{path}: no snapshot; collect first")
+    lines = spark.read.text(path)
+    rows = spark.read.schema(RECORD).json(path)
+    return {
+        "records": lines.count(), "complete": not lines.where(~has_fields(F.col("value"), fields)).take(1),
+        "families": source_families(rows, top=top), "head": head(rows, first),
+    }

@@ -57,3 +57,10 @@ def delay_bounds(attempt: Column) -> tuple[Column, Column]:
 def wait_bounds(attempt: Column) -> tuple[Column, Column]:
     """Wait after a limited answer to that attempt."""
     return F.least(F.lit(LONGEST_WAIT), 3 * (attempt + 1)), F.least(F.lit(LONGEST_WAIT), 3 * (attempt + 1) + 3)
+
+
+def retried(attempts: DataFrame, task: list[str], attempt: str, status: str, retries: int = 2) -> DataFrame:
+    """Per task: the attempt (from 0) whose answer is used (null: none), and how many were made: they end with the first 2xx or the last retry."""
+    tried = attempts.where(F.col(attempt) <= retries)
+    good = F.min(F.when(status_class(F.col(status)) == "ok", F.col(attempt)))
+    return tried.groupBy(*task).agg(good.alias("used"), F.least(F.coalesce(good, F.max(attempt)), F.max(attempt)).alias("_last")).withColumn("made", F.col("_last") + 1).drop("_last")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, control
+from ..operators import directory as D
 from ..operators import records as R
+from ..scratch import scratch_dir
+from ..sources import fetch, files
 from ..sources import payloads as P
+from . import collect as C
 from . import fixtures as X
 from . import spec as S
 
@@ -56,10 +60,11 @@ def q01(spark, d):
     return X.records(spark, d).select(F.col("seq").alias("doc_id"), "title", "text", "time", "source", "url")
 
 
-_HTML = r"replace(replace(replace(replace(html, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp', '&')".replace('\\"', '"')
+_HTML = """replace(replace(replace(replace(html, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"""
+_STRIPPED = _sp(r"regexp_replace(html, '<[^\n]*?>', ' ', 'g')")
 
 
-@query("q02_clean_html", rf"SELECT page_id, {_clean(_HTML.replace(chr(39) + '&amp' + chr(39) + ', ', chr(39) + '&amp;' + chr(39) + ', '))} AS cleaned, {_sp(chr(114) + 'egexp_replace(html, ' + chr(39) + '<[^' + chr(92) + 'n]*?>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS stripped FROM pages")
+@query("q02_clean_html", f"SELECT page_id, {_clean(_HTML)} AS cleaned, {_STRIPPED} AS stripped FROM pages")
 def q02(spark, d):
     return X.load(spark, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("cleaned"), T.light_strip(F.col("html")).alias("stripped"))
 
@@ -76,10 +81,10 @@ def q04(spark, d):
     return X.records(spark, d).select(F.col("seq").alias("doc_id"), R.record_fingerprint().alias("fp"))
 
 
-@query("q05_dedup_first", f"WITH {REC}, k AS (SELECT doc_id, title, left(text, 120) AS text, lang.l AS source, '' AS url FROM rec JOIN (SELECT doc_id, lang AS l FROM documents) lang USING (doc_id)) SELECT doc_id, title, source FROM ({_first('k')})")
+@query("q05_dedup_first", f"WITH {REC}, k AS (SELECT doc_id, title, text, lang.l AS source, '' AS url FROM rec JOIN (SELECT doc_id, lang AS l FROM documents) lang USING (doc_id)) SELECT doc_id, title, source FROM ({_first('k')})")
 def q05(spark, d):
     r = X.records(spark, d).join(X.documents(spark, d).select(F.col("doc_id").alias("seq"), "lang"), "seq")
-    r = r.select("id", "title", F.substring("text", 1, 120).alias("text"), "time", F.col("lang").alias("source"), "url", "seq")
+    r = r.select("id", "title", "text", "time", F.col("lang").alias("source"), "url", "seq")
     return R.deduplicate(r).select(F.col("seq").alias("doc_id"), "title", "source")
 
 
@@ -126,21 +131,17 @@ p AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(reg
 k AS (SELECT * FROM p WHERE length(t) >= 15)"""
 
 
-def _cleaned_paragraphs(spark, d):
-    found = X.load(spark, d, "pages").select("page_id", F.posexplode(T.paragraphs(F.col("html"))).alias("i", "raw"))
-    return found.select("page_id", "i", T.clean_text(F.col("raw")).alias("t")).where(F.length("t") >= T.LEAST_PARAGRAPH)
+_PARAGRAPHS = _PARA.replace("list_reduce([", "list_reduce([html, ").replace(", html) AS h", ") AS h")
 
 
-@query("q12_paragraphs", f"WITH {_PARA.replace('list_reduce([', 'list_reduce([html, ').replace(', html) AS h', ') AS h')} SELECT page_id, t AS paragraph FROM k")
+@query("q12_paragraphs", f"WITH {_PARAGRAPHS} SELECT page_id, t AS paragraph FROM k")
 def q12(spark, d):
-    return _cleaned_paragraphs(spark, d).select("page_id", F.col("t").alias("paragraph"))
+    return X.load(spark, d, "pages").select("page_id", F.explode(T.clean_paragraphs(F.col("html"))).alias("paragraph"))
 
 
-@query("q13_article_text", f"WITH {_PARA.replace('list_reduce([', 'list_reduce([html, ').replace(', html) AS h', ') AS h')} SELECT page_id, left(string_agg(t, ' ' ORDER BY i), 1500) AS article FROM k GROUP BY page_id")
+@query("q13_article_text", f"WITH {_PARAGRAPHS} SELECT page_id, left(string_agg(t, ' ' ORDER BY i), 1500) AS article FROM k GROUP BY page_id")
 def q13(spark, d):
-    parts = F.array_sort(F.collect_list(F.struct("i", "t")))
-    whole = _cleaned_paragraphs(spark, d).groupBy("page_id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("a"))
-    return whole.select("page_id", F.substring(F.trim("a"), 1, T.MOST_ARTICLE).alias("article"))
+    return X.load(spark, d, "pages").select("page_id", T.article_text(F.col("html")).alias("article")).where("article <> ''")
 
 
 @query("q14_domain_hit", "SELECT page_id, contains(lower(url), 'example.com') OR contains(lower(url), 'the') AS hit FROM pages")
@@ -164,9 +165,9 @@ def q16(spark, d):
     return X.url_forms(spark, d).select("page_id", T.absolute_url(u).alias("bili"), T.absolute_url(u, "https://www.toutiao.com").alias("toutiao"), T.joined_url(u, "https://weibo.com").alias("weibo"))
 
 
-@query("q17_relaxed_hit", "SELECT doc_id, contains(lower(left(text, 200)), 'the') OR contains(lower(left(text, 200)), 'www') AS hit FROM documents")
+@query("q17_relaxed_hit", "SELECT doc_id, contains(lower(text), 'the') OR contains(lower(text), 'www') AS hit FROM documents")
 def q17(spark, d):
-    return X.documents(spark, d).select("doc_id", T.label_hit(F.substring("text", 1, 200), F.array(F.lit("the.example"), F.lit("www.x.cn"))).alias("hit"))
+    return X.documents(spark, d).select("doc_id", T.label_hit(F.col("text"), F.array(F.lit("the.example"), F.lit("www.x.cn"))).alias("hit"))
 
 
 _NAMES = ", ".join(f"({i}, '{p}', '{n}')" for i, (p, n) in enumerate(S.PLATFORMS.items()))
@@ -208,12 +209,13 @@ def q21(spark, d):
     return spark.range(100, 600).select(F.col("id").alias("status"), control.status_class(F.col("id")).alias("class"))
 
 
-@query("q22_truthy_chain", "SELECT doc_id, CASE WHEN doc_id % 5 IN (1, 2) THEN CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE source END ELSE left(text, 20) END AS name FROM documents WHERE text <> ''")
+@query("q22_truthy_chain", """
+SELECT doc_id, CASE WHEN doc_id % 5 NOT IN (1, 2) AND text <> '' THEN text WHEN doc_id % 3 <> 0 AND source <> '' THEN source ELSE 'none' END AS name FROM documents""")
 def q22(spark, d):
     k = F.pmod("doc_id", F.lit(5))
-    a = F.when(k == 1, F.lit("")).when(k == 2, F.lit(None)).otherwise(F.substring("text", 1, 20))
+    a = F.when(k == 1, F.lit("")).when(k == 2, F.lit(None)).otherwise(F.col("text"))
     b = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit("")).otherwise(F.col("source"))
-    return X.documents(spark, d).where("text <> ''").select("doc_id", T.first_truthy(a, b, default="none").alias("name"))
+    return X.documents(spark, d).select("doc_id", T.first_truthy(a, b, default="none").alias("name"))
 
 
 _Z = _clean("left(text, 30)")
@@ -271,7 +273,11 @@ def q25(spark, d):
     return out
 
 
-@query("q25b_baidu_hits", f"""SELECT doc_id, {_T} AS title, {_clean(f"left({_clean(chr(40) + 'left(text, 50) || ' + chr(39) + ' ' + chr(39) + ' || text' + chr(41))}, 300)")} AS text FROM documents WHERE {_T} <> '' AND (doc_id % 3 <> 1 OR contains(lower({_T} || {_clean(chr(40) + 'left(text, 50) || ' + chr(39) + ' ' + chr(39) + ' || text' + chr(41))}), 'weibo') OR contains(lower({_T} || {_clean(chr(40) + 'left(text, 50) || ' + chr(39) + ' ' + chr(39) + ' || text' + chr(41))}), 's'))""")
+_ITEM = _clean("(left(text, 50) || ' ' || text)")
+_ITEM_300 = _clean(f"left({_ITEM}, 300)")
+
+
+@query("q25b_baidu_hits", f"SELECT doc_id, {_T} AS title, {_ITEM_300} AS text FROM documents WHERE {_T} <> '' AND (doc_id % 3 <> 1 OR contains(lower({_T} || {_ITEM}), 'weibo') OR contains(lower({_T} || {_ITEM}), 's'))")
 def q25b(spark, d):
     hits = P.html_items(X.result_pages(spark, d, "baidu"), "baidu")
     return P.search_records(hits, "baidu", "微博", ["weibo.com", "s.weibo.com"], F.col("doc_id")).select(F.col("seq").alias("doc_id"), "title", "text")
@@ -292,14 +298,13 @@ def q27(spark, d):
 
 
 @query("q28_fallback_threshold", """
-WITH t AS (SELECT DISTINCT lang, source FROM documents), p AS (SELECT lang, source, doc_id FROM documents WHERE doc_id % 4 = 0), f AS (SELECT lang, source, doc_id FROM documents WHERE doc_id % 4 = 1),
+WITH t AS (SELECT DISTINCT lang, source FROM documents), p AS (SELECT lang, source, doc_id FROM documents WHERE doc_id % 2 = 0), f AS (SELECT lang, source, doc_id FROM documents WHERE doc_id % 2 = 1),
 few AS (SELECT lang, source FROM t LEFT JOIN p USING (lang, source) GROUP BY ALL HAVING count(p.doc_id) < 5)
 SELECT *, 'own' AS origin FROM p UNION ALL SELECT f.*, 'search' FROM f JOIN few USING (lang, source)""")
 def q28(spark, d):
-    t = X.documents(spark, d).select("lang", "source", "doc_id")
-    own = t.where("doc_id % 4 = 0").withColumn("origin", F.lit("own"))
-    search = t.where("doc_id % 4 = 1").withColumn("origin", F.lit("search"))
-    return control.with_fallback(own, search, t.select("lang", "source").distinct(), ["lang", "source"])
+    """Even documents are a task's own rows, odd ones those of the search; a task is a language and a source."""
+    t, even = X.documents(spark, d).select("lang", "source", "doc_id"), F.pmod("doc_id", F.lit(2)) == 0
+    return control.with_fallback(t.where(even).withColumn("origin", F.lit("own")), t.where(~even).withColumn("origin", F.lit("search")), t.select("lang", "source").distinct(), ["lang", "source"])
 
 
 @query("q29_ordered_distinct", "SELECT lang, string_agg(source, ',' ORDER BY f) AS sources FROM (SELECT lang, source, min(doc_id) AS f FROM documents WHERE source <> '' GROUP BY ALL) GROUP BY lang")
@@ -318,8 +323,6 @@ def q30(spark, d):
 WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page, event_type <> 'error' AND value IS NOT NULL AS ok, event_id % 7 <> 0 AS full_page, event_id FROM events)
 SELECT user_id, page, event_id FROM p QUALIFY ok AND coalesce(min(CASE WHEN ok AND full_page THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) = 1""")
 def q31(spark, d):
-    from pyspark.sql import Window
-
     pages = X.load(spark, d, "events").select(
         "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("page"), ((F.col("event_type") != "error") & F.col("value").isNotNull()).alias("ok"), (F.pmod("event_id", F.lit(7)) != 0).alias("full_page"), "event_id"
     )
@@ -332,19 +335,151 @@ def q32(spark, d):
     return rows.select("raw", F.concat(F.lit("["), F.array_join(F.transform(T.int_list(F.col("raw")), lambda x: x.cast("string")), ", "), F.lit("]")).alias("ids"))
 
 
-@query("q33_json_roundtrip", f"WITH {REC} SELECT doc_id AS id, title, text, time, source, url FROM rec")
+_ALL = f"WITH {REC} SELECT doc_id AS id, title, text, time, source, url FROM rec"
+
+
+def _numbered(spark, d):
+    return X.records(spark, d).withColumn("id", F.col("seq")).select(*R.FIELDS)
+
+
+@query("q33_json_roundtrip", _ALL)
 def q33(spark, d):
-    """Records as JSON lines and back."""
-    r = X.records(spark, d).withColumn("id", F.col("seq")).select(F.to_json(F.struct(*R.FIELDS), {"ignoreNullFields": "false"}).alias("line"))
-    return r.select(F.from_json("line", R.RECORD).alias("r")).select("r.*")
+    """Records as JSON lines, written and read."""
+    path = scratch_dir(spark)
+    files.write_jsonl(_numbered(spark, d), path)
+    return files.read_jsonl(spark, path)
 
 
-@query("q34_append_new", f"WITH {REC}, h AS ({_first('rec')} AND doc_id % 10 < 7), b AS ({_first('rec')} AND doc_id % 10 >= 4) SELECT title, source FROM b WHERE {FP} NOT IN (SELECT {FP} FROM h)".replace("WHERE title <> '' OR text <> '' QUALIFY", "WHERE (title <> '' OR text <> '') AND @ QUALIFY").replace(" AND doc_id % 10 < 7)", ")").replace(" AND doc_id % 10 >= 4)", ")").replace("@", "doc_id % 10 < 7", 1).replace("@", "doc_id % 10 >= 4", 1))
+@query("q34_append_new", f"""
+WITH {REC},
+h AS (SELECT * FROM rec WHERE (title <> '' OR text <> '') AND doc_id % 10 < 7 QUALIFY row_number() OVER (PARTITION BY {FP} ORDER BY doc_id) = 1),
+b AS (SELECT * FROM rec WHERE (title <> '' OR text <> '') AND doc_id % 10 >= 4 QUALIFY row_number() OVER (PARTITION BY {FP} ORDER BY doc_id) = 1)
+SELECT title, source FROM b WHERE {FP} NOT IN (SELECT {FP} FROM h)""")
 def q34(spark, d):
     h, b = X.history_and_batch(spark, d)
     return R.append_new(R.merge(h, b.limit(0)), b).select("title", "source")
 
 
+_Z50 = f"CASE WHEN left(text, 50) = '' THEN '知乎文章' ELSE {_T} END"
+_EITHER = f"CASE WHEN {_B} = '' THEN {_T} ELSE {_B} END"
+_EPOCH = "strftime(to_timestamp(1704164645 + doc_id) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')"
+#: Each document is the one answer to a keyword of its own, on the platform of doc_id % 11; those with a search also are its hit.
+_PLATFORM_SQL = [
+    f"SELECT doc_id, 0 AS p, 0 AS s, {_T} AS title, {_T} AS text, '2024-01-02 03:04:05' AS time, source, {_URL} AS url FROM documents WHERE doc_id % 11 = 0",
+    *(f"SELECT doc_id, {p}, 0, {_JSON[c][0]}, {_JSON[c][1]}, {_JSON[c][3]}, {_JSON[c][2]}, {_JSON[c][4]} FROM documents WHERE doc_id % 11 = {p}" for p, c in ((1, "newsapi"), (2, "currents"), (3, "mediacloud"), (7, "bilibili"), (9, "toutiao"))),
+    f"SELECT doc_id, 4, 0, {_T}, CASE WHEN text = '' THEN {_T} ELSE {_B} END, '2024-01-02 03:04:05', ['BingNewsRSS', 'GoogleNewsRSS'][doc_id // 11 % 2 + 1], {_URL} FROM documents WHERE doc_id % 11 = 4 AND (left(text, 50) <> '' OR text <> '')",
+    f"SELECT doc_id, 5, 0, {_T}, {_EITHER}, '2024-01-02 03:04:05', '人民网-' || ['Google站内索引', 'Google媒体索引', 'Bing媒体索引'][doc_id // 11 % 3 + 1], {_URL} FROM documents WHERE doc_id % 11 = 5",
+    f"SELECT doc_id, 6, 0, {_clean(f'left({_B}, 50)')}, {_B}, '2024-01-02 03:04', '微博-' || source, 'https://' || ['weibo.com', 'other.example', 's.weibo.com'][doc_id % 3 + 1] || '/' || doc_id FROM documents WHERE doc_id % 11 = 6 AND {_B} <> ''",
+    f"SELECT doc_id, 8, 0, {_Z50}, CASE WHEN text = '' THEN {_Z50} ELSE {_B} END, '2024-01-02 03:04:05', '知乎', 'https://z.example/' || doc_id FROM documents WHERE doc_id % 11 = 8",
+    *(f"SELECT doc_id, {p}, 1 + doc_id // 11 % 3, {_T}, CASE WHEN doc_id // 11 % 3 = 2 THEN {_ITEM_300} ELSE {_EITHER} END, '', '{n}-搜索索引', 'https://{h}/' || doc_id FROM documents WHERE doc_id % 11 = {p} AND {_T} <> ''"
+      for p, n, h in ((6, "微博", "weibo.com"), (8, "知乎", "zhihu.com"), (9, "今日头条", "toutiao.com"), (10, "小红书", "xiaohongshu.com"))),
+]
+
+
+@query("q35_collect_all", f"WITH u AS ({' UNION ALL '.join(_PLATFORM_SQL)}), f AS ({_first('u', 'doc_id, s')}) SELECT 10000 + row_number() OVER (ORDER BY doc_id, s) AS id, title, text, time, source, url FROM f")
+def q35(spark, d):
+    """The whole collection: answers of all connectors, paging, searches as fallback, first-wins distinct, numbering."""
+    answers, tasks = X.answers(spark, d)
+    return C.collect(C.by_platform(answers), tasks, S.CollectSpec())
+
+
+@query("q36_request_headers", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Accept=' || source || ';' ELSE 'Accept=all;' END || CASE WHEN doc_id % 2 = 0 THEN 'Cookie=c' || doc_id || ';' WHEN doc_id % 3 = 0 THEN 'Cookie=own;' ELSE '' END || 'User-Agent=t' AS headers FROM documents""")
+def q36(spark, d):
+    default = F.create_map(F.lit("User-Agent"), F.lit("t"), F.lit("Accept"), F.lit("all"))
+    extra = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.create_map(F.lit("Accept"), F.col("source"), F.lit("Cookie"), F.lit("own")))
+    cookie = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit("c"), F.col("doc_id").cast("string")))
+    pairs = F.array_sort(F.transform(F.map_entries(fetch.header_map(default, extra, cookie)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return X.documents(spark, d).select("doc_id", F.array_join(pairs, ";").alias("headers"))
+
+
+@query("q37_retries", """
+WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS attempt, [200, 403, 500, 429, 404][event_id % 5 + 1] AS status FROM events),
+t AS (SELECT * FROM a WHERE attempt <= 2), u AS (SELECT user_id, min(CASE WHEN status = 200 THEN attempt END) AS used, max(attempt) AS last FROM t GROUP BY user_id)
+SELECT user_id, used, coalesce(used, last) + 1 AS made FROM u""")
+def q37(spark, d):
+    e = X.load(spark, d, "events")
+    status = F.element_at(F.array(*map(F.lit, (200, 403, 500, 429, 404))), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
+    attempt = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")
+    return control.retried(e.select("user_id", attempt.alias("attempt"), status.alias("status")), ["user_id"], "attempt", "status")
+
+
+@query("q38_charset_repair", "SELECT doc_id, text FROM documents")
+def q38(spark, d):
+    """Bodies in UTF-8 without a charset or with the protocol's default, and in UTF-16 with theirs."""
+    k = F.pmod("doc_id", F.lit(3))
+    body = F.when(k == 2, F.encode("text", "UTF-16BE")).otherwise(F.encode("text", "UTF-8"))
+    charset = F.when(k == 1, F.lit("ISO-8859-1")).when(k == 2, F.lit("utf-16-be"))
+    return X.documents(spark, d).select("doc_id", fetch.repaired_text(body, charset).alias("text"))
+
+
+@query("q39_aggregated_rss", f"SELECT doc_id, {_T} AS title, ['BingNewsRSS', 'GoogleNewsRSS'][doc_id % 2 + 1] AS source FROM documents WHERE left(text, 50) <> '' OR text <> ''")
+def q39(spark, d):
+    pages = X.feeds(spark, d).select(F.col("feed").alias("payload"), F.lit(0).alias("keyword_ix"), F.lit(0).alias("platform_ix"), F.pmod("doc_id", F.lit(2)).cast("int").alias("step"), F.col("doc_id").alias("page"))
+    return C.aggregated_rss(pages).select(F.col("seq.page").alias("doc_id"), "title", "source")
+
+
+@query("q40_directory_settings", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '34412234' WHEN 1 THEN doc_id || ', 7' ELSE '34412234' END AS ids FROM documents")
+def q40(spark, d):
+    raw = F.when(F.pmod("doc_id", F.lit(3)) == 1, F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(",x,,7"))).when(F.pmod("doc_id", F.lit(3)) == 2, F.lit("none"))
+    return X.documents(spark, d).select("doc_id", F.array_join(F.transform(T.int_list(raw, S.COLLECTIONS), lambda x: x.cast("string")), ", ").alias("ids"))
+
+
+@query("q41_csv_roundtrip", _ALL)
+def q41(spark, d):
+    path = scratch_dir(spark)
+    files.write_csv(_numbered(spark, d), path)
+    return files.read_csv(spark, path)
+
+
+@query("q42_history_table", f"WITH {REC} SELECT doc_id AS id, title, text, time, source, url FROM rec WHERE doc_id % 2 = 1 OR title <> ''")
+def q42(spark, d):
+    """A snapshot, replaced by a plan that reads it."""
+    path = scratch_dir(spark)
+    files.replace(_numbered(spark, d), path)
+    files.replace(files.read_snapshot(spark, path).where("id % 2 = 1 OR title <> ''"), path)
+    return files.read_snapshot(spark, path)
+
+
+_HOST = r"regexp_extract(url, '^https?://([^/?#]*)', 1)"
+_FOUND = f"f AS (SELECT page_id, url, {_HOST} AS word, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) - 1 AS i, min(page_id) OVER (PARTITION BY {_HOST}) AS ord FROM pages)"
+
+
+@query("q43_directory_ids", f"WITH {_FOUND} SELECT page_id AS id, ord, i AS item_ix FROM f WHERE i < 10 AND page_id <> 0")  # 0 is no id
+def q43(spark, d):
+    words, found = X.directory(spark, d)
+    return D.discovered_ids(D.search_results(D.distinct_words(words), found)).select("id", "first.ord", F.col("first.item_ix").cast("long").alias("item_ix"))
+
+
+@query("q44_directory_items", f"WITH {_FOUND} SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN 'n' ELSE 'l' END || page_id AS name, url, word AS domain, page_id % 4 = 1 AS listed_twice FROM f WHERE i < 10 ")
+def q44(spark, d):
+    words, found = X.directory(spark, d)
+    shown = D.show_items(D.search_results(D.distinct_words(words), found))
+    return shown.select("id", "name", "url", "domain", (F.pmod("id", F.lit(4)) == 1).alias("listed_twice"))
+
+
+@query("q45_summary", "SELECT (SELECT count(*) FROM documents WHERE doc_id % 10 >= 4) AS records, (SELECT count(*) FROM documents WHERE doc_id % 10 < 7) AS history")
+def q45(spark, d):
+    h, b = X.history_and_batch(spark, d)
+    return audit.summary(b, h)
+
+
+@query("q46_request_plan", f"""
+WITH p(i, platform, label) AS (VALUES {_NAMES}), n AS (SELECT unnest(range(1, 8)) AS pages)
+SELECT pages, platform, least(pages, CASE platform WHEN 'newsapi' THEN 5 WHEN 'currents' THEN 5 WHEN 'mediacloud' THEN 3 WHEN 'news' THEN 1 WHEN 'rssnews' THEN 1 WHEN 'sitenews' THEN 1 ELSE pages END) AS asked,
+  CASE platform WHEN 'news' THEN least(pages * 30, 100) END AS hits, CASE platform WHEN 'sitenews' THEN CASE pages WHEN 1 THEN 6 WHEN 2 THEN 10 ELSE 12 END END AS sites FROM p, n""")
+def q46(spark, d):
+    rows = [(n, p, o["pages"], o.get("hits"), o.get("sites")) for n in range(1, 8) for p in S.PLATFORMS for o in [S.options(S.CollectSpec(pages=n), p)]]
+    return spark.createDataFrame(rows, "pages long, platform string, asked long, hits long, sites long")
+
+
+@query("q47_date_window", "SELECT DISTINCT strftime(CAST(ts AS DATE) - 29, '%Y-%m-%d') AS news_from, strftime(CAST(ts AS DATE) - 365, '%Y-%m-%d') AS archive_from, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS until FROM events")
+def q47(spark, d):
+    day = F.col("ts").cast("date")
+    since = lambda p: F.date_sub(day, S.DAYS_BACK[p]).cast("string")
+    return X.load(spark, d, "events").select(since("newsapi").alias("news_from"), since("mediacloud").alias("archive_from"), day.cast("string").alias("until")).distinct()
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = R.assign_ids(R.deduplicate(X.records(spark, sf_dir)))
     return audit.source_families(numbered).select("family", "n", "first")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.records import make_record
+from .spec import ENGINES, FALLBACK_DOMAINS, PLATFORMS
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,7 @@ def json_payloads(spark: SparkSession, sf_dir: str, connector: str) -> DataFrame
         "currents": F.struct(F.lit("ok").alias("status"), F.array(F.struct(t.alias("title"), x.alias("description"), thin(s).alias("author"), F.lit("2024-01-02 03:04:05 +0000").alias("published"), url.alias("url"))).alias("news")),
         "mediacloud": F.struct(F.array(F.struct(thin(t).alias("title"), t.alias("name"), thin(url).alias("url"), url.alias("guid"), none.alias("publish_date"), F.lit("2024-01-02").alias("date"), thin(s).alias("media_name"), F.struct(s.alias("name")).alias("media"), thin(x).alias("description"), x.alias("content"))).alias("stories")),
         "bilibili": F.struct(F.struct(F.array(F.struct(t.alias("title"), thin(x).alias("description"), thin(s).alias("author"), F.concat(F.lit("//b.example/"), F.col("doc_id").cast("string")).alias("arcurl"), (F.lit(1704164645) + F.col("doc_id")).alias("pubdate"))).alias("result")).alias("data")),
+        "zhihu": F.struct(F.array(F.struct(F.struct(F.lit("article").alias("type"), t.alias("title"), x.alias("excerpt"), F.concat(F.lit("https://z.example/"), F.col("doc_id").cast("string")).alias("url"), F.lit(1704164645).alias("created_time")).alias("object"))).alias("data")),
         "toutiao": F.struct(F.array(F.struct(thin(t).alias("title"), x.alias("abstract"), thin(s).alias("source"), s.alias("media_name"), F.concat(F.lit("/a"), F.col("doc_id").cast("string")).alias("article_url"), F.lit("1704164645").alias("display_time"), F.struct(t.alias("title"), x.alias("summary")).alias("display"))).alias("data")),
     }
     return d.select("doc_id", F.to_json(made[connector]).alias("payload"))
@@ -67,10 +71,10 @@ def _escaped(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def result_pages(spark: SparkSession, sf_dir: str, engine: str) -> DataFrame:
-    """One result page with one hit per document, in the engine's markup; the host goes by doc_id % 3."""
+def result_pages(spark: SparkSession, sf_dir: str, engine: str, host=None) -> DataFrame:
+    """One result page with one hit per document, in the engine's markup; the host goes by doc_id % 3 where none is given."""
     d = documents(spark, sf_dir)
-    host = F.element_at(F.array(*map(F.lit, SITES)), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    host = F.element_at(F.array(*map(F.lit, SITES)), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")) if host is None else host
     url = F.concat(F.lit("https://"), host, F.lit("/"), F.col("doc_id").cast("string"))
     t, x = _escaped(F.substring("text", 1, 50)), _escaped(F.col("text"))
     form = {
@@ -110,3 +114,33 @@ def url_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.pmod("page_id", F.lit(4))
     url = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("//"), rest)).when(k == 2, F.concat(F.lit("/"), F.regexp_replace(rest, "^[^/]*/", ""))).otherwise(F.lit(""))
     return load(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Answers of all platforms, and the tasks: each document is the one answer to a keyword of its own, on the platform of
+    doc_id % 11. Where that has a site search, the document is the hit of one engine too."""
+    names, n = list(PLATFORMS), len(PLATFORMS)
+    platform_ix, turn = F.pmod("doc_id", F.lit(n)).cast("int"), F.expr(f"doc_id div {n}")
+
+    def of(made: DataFrame, platform: str, step=F.lit(0), payload: str = "payload") -> DataFrame:
+        return made.where(platform_ix == names.index(platform)).select(
+            F.col("doc_id").cast("string").alias("keyword"), F.lit(platform).alias("platform"), step.cast("int").alias("step"), F.lit(1).alias("page"), F.col(payload).alias("payload"), F.lit(None).cast("string").alias("error")
+        )
+
+    parts = [of(json_payloads(spark, sf_dir, c), c) for c in ("news", "newsapi", "currents", "mediacloud", "bilibili", "zhihu", "toutiao")]
+    parts += [of(feeds(spark, sf_dir), "rssnews", turn % 2, "feed"), of(feeds(spark, sf_dir), "sitenews", turn % 3, "feed"), of(result_pages(spark, sf_dir, "weibo"), "weibo", payload="page")]
+    for platform, domains in FALLBACK_DOMAINS.items():
+        for i, engine in enumerate(ENGINES):
+            parts.append(of(result_pages(spark, sf_dir, engine, F.lit(domains[0])).where(turn % 3 == i), platform, F.lit(i + 1), "page"))
+    tasks = documents(spark, sf_dir).select(F.col("doc_id").alias("keyword_ix"), F.col("doc_id").cast("string").alias("keyword"), platform_ix.alias("platform_ix"), F.element_at(F.array(*map(F.lit, names)), platform_ix + 1).alias("platform"))
+    return reduce(DataFrame.unionByName, parts), tasks
+
+
+def directory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Words (hosts of pages, listed as often as they occur) and what a search of each finds: its pages."""
+    p = load(spark, sf_dir, "pages").withColumn("word", F.regexp_extract("url", "^https?://([^/?#]*)", 1))
+    n = F.col("page_id").cast("string")
+    name = F.when(F.pmod("page_id", F.lit(2)) == 0, F.concat(F.lit("n"), n))
+    item = F.struct(F.col("page_id").alias("id"), name.alias("name"), F.concat(F.lit("l"), n).alias("label"), F.when(F.pmod("page_id", F.lit(3)) == 0, F.lit("")).otherwise(F.col("url")).alias("url"), F.col("url").alias("homepage"), F.col("word").alias("domain"), F.lit("CN").alias("pub_country"), F.lit("zh").alias("primary_language"))
+    found = p.select("word", (F.row_number().over(Window.partitionBy("word").orderBy("page_id")) - 1).alias("item_ix"), item.alias("item"))
+    return p.select(F.col("page_id").alias("ord"), F.lit("").alias("category"), "word"), found

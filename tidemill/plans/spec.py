@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import argparse
+import datetime
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,17 @@ FALLBACK_DOMAINS = {
 }
 #: First offset and step of each paged service, and the most pages asked for.
 OFFSETS = {"bing": (1, 10), "duckduckgo": (0, 30), "baidu": (0, 10), "zhihu": (0, 20), "toutiao": (0, 20)}
-PAGE_CAPS = {"newsapi": 5, "currents": 5, "mediacloud": 3}
+PAGE_CAPS = {"news": 1, "newsapi": 5, "currents": 5, "mediacloud": 3, "rssnews": 1, "sitenews": 1}
+#: Hits of a full page; hits asked of the service that has one page, for each page of the plan and at most.
+FULL_PAGE = {"newsapi": 100, "currents": 20}
+NEWS_PER_PAGE, NEWS_MOST = 30, 100
+#: Days that a search looks back; the collection searched where none is set.
+DAYS_BACK = {"newsapi": 29, "mediacloud": 365}
+COLLECTIONS = (34412234,)
+#: Engines of the site search, in order; feeds of the aggregated news; the searches for one media site.
+ENGINES = ("bing", "duckduckgo", "baidu")
+FEEDS = ("BingNewsRSS", "GoogleNewsRSS")
+SITE_SEARCHES = ("Google站内索引", "Google媒体索引", "Bing媒体索引")
 #: Names of environment variables that hold credentials.
 CREDENTIALS = {
     "weibo": "WEIBO_COOKIE", "zhihu": "ZHIHU_COOKIE", "toutiao": "TOUTIAO_COOKIE", "xiaohongshu": "XHS_COOKIE",
@@ -53,6 +65,45 @@ class CollectSpec:
             raise ValueError(f"unknown platforms: {unknown}")
 
 
+def parse(argv: list[str] | None = None) -> CollectSpec:
+    """A specification from command line words."""
+    d, p = CollectSpec(), argparse.ArgumentParser(prog="tidemill collect")
+    p.add_argument("--keywords", nargs="+", default=list(d.keywords))
+    p.add_argument("--pages", type=int, default=d.pages)
+    p.add_argument("--platforms", nargs="+", default=list(d.platforms), choices=list(PLATFORMS))
+    p.add_argument("--fetch-news-detail", action="store_true")
+    p.add_argument("--start-id", type=int, default=d.start_id)
+    p.add_argument("--output-prefix", default=d.output_prefix)
+    p.add_argument("--reset", action="store_true")
+    a = p.parse_args(argv)
+    return CollectSpec(tuple(a.keywords), a.pages, tuple(a.platforms), a.fetch_news_detail, a.start_id, a.output_prefix, a.reset)
+
+
+def options(spec: CollectSpec, platform: str) -> dict[str, object]:
+    """What a connector is called with: all get their pages, one also whether to read articles."""
+    own: dict[str, object] = {"pages": min(spec.pages, PAGE_CAPS.get(platform, spec.pages))}
+    if platform == "news":
+        own |= {"fetch_detail": spec.fetch_news_detail, "hits": min(spec.pages * NEWS_PER_PAGE, NEWS_MOST)}
+    if platform == "sitenews":
+        own["sites"] = TIERS[min(max(spec.pages, 1), len(TIERS)) - 1]
+    return own
+
+
+def date_window(platform: str, as_of: datetime.date, days: int | None = None) -> tuple[datetime.date, datetime.date]:
+    """First and last day that a search covers, as seen on the day given."""
+    return as_of - datetime.timedelta(days=DAYS_BACK[platform] if days is None else days), as_of
+
+
+def directory_ids(collections: str = "", sources: str = "") -> tuple[list[int], list[int]]:
+    """Ids of collections and sources to search, from comma-separated settings: sources, where set, go before collections."""
+
+    def ids(text: str) -> list[int]:
+        return [int(x) for part in text.split(",") if (x := part.strip()) and x.lstrip("+-").isdigit()]
+
+    wanted = ids(sources)
+    return ([] if wanted else ids(collections) or list(COLLECTIONS)), wanted
+
+
 def credential(platform: str, env: dict[str, str]) -> str:
     """'' where the platform has none or the variable is unset."""
     return env.get(CREDENTIALS.get(platform, ""), "").strip()

@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = "spark.checkpoint.dir"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name under the shared folder that the session names; it is removed when the driver ends.
 

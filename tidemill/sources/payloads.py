@@ -44,13 +44,13 @@ def _number(c: Column) -> Column:
     return F.nullif(c, F.lit(0)).cast("string")
 
 
-def extract(hits: DataFrame, connector: str, seq: Column | None = None, entities: bool = True) -> DataFrame:
-    """Records (make_record) of a connector's items."""
+def extract(hits: DataFrame, connector: str, seq: Column | None = None, entities: bool = True, detail: Column | None = None) -> DataFrame:
+    """Records (make_record) of a connector's items. detail: the text of a news hit's article, which goes before its title."""
     i = lambda name: F.col(f"item.{name}")
     title, text, time, where = first_truthy(i("title")) if connector != "zhihu" else None, None, None, None
     if connector == "news":
         source = first_truthy(i("sourceCommonName"), i("domain"), netloc(i("url")), default="新闻网站")
-        text, time, where = title, i("seendate"), i("url")
+        text, time, where = title if detail is None else first_truthy(detail, title), i("seendate"), i("url")
     elif connector == "newsapi":
         source = _prefixed("NewsAPI", first_truthy(i("source.name"), default="NewsAPI"))
         text = F.trim(F.concat(first_truthy(i("description")), F.lit(" "), first_truthy(i("content"))))
