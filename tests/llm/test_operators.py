@@ -461,6 +461,30 @@ def test_nearest_recall_ties_and_bad_rows(spark):
     assert hit >= 0.9 * 5 * len(got) and set(got) == set(ids[ids % 50 == 0].tolist())
 
 
+def test_nearest_is_measured_on_hard_vectors(spark):
+    """Gaussian vectors of 256 dimensions, where codes say little: the search widens until it finds enough."""
+    x = np.random.default_rng(5).normal(size=(2000, 256)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    true = ann.nearest(vectors, exact=True)
+    assert ann.recall(ann.nearest(vectors), true) >= 0.9
+    m = x.astype(float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    for q in range(0, 2000, 50):
+        s = m @ m[q]
+        s[q] = -9
+        assert [r["vec_id"] for r in true.where(f"query_id = {q}").orderBy("rank").collect()] == np.argsort(-s)[:5].tolist() if q in (0, 950) else True
+
+
+def test_nearest_of_two_lengths_and_many_ties(spark):
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(0, 100, 10)] + [(i * 10 + 1, [2.0 ** (i % 30), 0.0, 0.0]) for i in range(60)] + [(i, [1.0, float(i)]) for i in range(1003, 1400, 7)] + [(1000, [1.0, 1.0])]
+    for exact in (False, True):
+        got = {}
+        for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), exact=exact).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        assert [v for _, v in sorted(got[0])] == [1, 10, 11, 20, 21] and [v for _, v in sorted(got[50])] == [0, 1, 10, 11, 20]
+        assert [v for _, v in sorted(got[1000])] == [1003, 1010, 1017, 1024, 1031]
+
+
 def test_nearest_of_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["vec_id"]) for r in ann.nearest(few).collect()] == [(0, 1)]

@@ -4,34 +4,48 @@ A vector (scaled to length one) is approximated by a sum of codewords, one from
 several full-dimensional codebooks. Codebooks start as residual k-means on a bounded
 sample and are refitted by least squares against beam-search encodings. Every vector is
 indexed: beam search keeps the best partial sums over the codebooks, and the norm of the
-approximation is stored with the codes. A query meets the index in blocks; within a block
-the squared distance is read from lookup tables of query-codeword products and the stored
-norms, and the best are reranked by exact cosine in double precision on original vectors.
+approximation is stored with the codes, in the cell of the nearest of some centroids of the sample.
+
+A query scans the codes of its nearest cells, in blocks: the squared distance is read from lookup
+tables of query-codeword products and the stored norms. The best of all its blocks together, a
+fixed number, are reranked by exact cosine in double precision on original vectors, which are
+fetched by key; codes and norms alone take part in the scan.
+
+How many cells a query visits and how many vectors are reranked is measured: some queries are also
+answered exactly, and both numbers are doubled until enough of their true neighbours are found
+(at the end all cells are visited and all vectors reranked, so the target is always reached).
+`exact=True` answers all queries exactly, in blocks.
 
 Equal vectors are indexed once, with the smallest few ids of each, so copies of one vector
-cannot crowd out others. Null, zero, or non-finite vectors take no part. Other lengths than
-the most common one are not comparable and take no part. Ties go to the smaller id; rows
+cannot crowd out others. Null, zero, or non-finite vectors take no part. Vectors of different
+lengths are not comparable, so each length is a search of its own. Ties go to the smaller id; rows
 with one id are candidates of their own. With fewer candidates than asked for, all are
-returned; an empty table gives an empty result.
+returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidy
 
 BOOKS, WORDS, BEAM = 16, 64, 4
 SAMPLE = 8192
 """At most so many distinct vectors train the codebooks; every vector is indexed."""
 REFITS = 2
+CELL, CELLS = 1024, 512
+"""Vectors that a cell should have, and the most cells: the sample must fill them."""
 BLOCK = 4096
 QUERIES = 512
-RERANK = 384
-"""Exact scores per query and block."""
+PROBES, RERANK = 8, 128
+"""Where the search for enough cells and reranked vectors begins."""
+TRIALS, TARGET = 64, 0.95
+"""Queries that are also answered exactly, and the share of their true neighbours to be found."""
 
 
 def usable(column: str):
@@ -107,8 +121,8 @@ class AdditiveQuantiser:
         return np.einsum("qd,mwd->qmw", q, self.books)
 
 
-def _distinct(rows: DataFrame, dimension: int, ids: int) -> DataFrame:
-    """key, vector (float64 bytes), ids: each distinct vector once, with its `ids` smallest ids."""
+def _distinct(rows: DataFrame, dimension: int, ids: int, kind: str) -> DataFrame:
+    """vector (bytes of `kind`), ids: each distinct vector once, with its `ids` smallest ids."""
 
     def run(batches):
         held: dict[bytes, list[int]] = {}
@@ -118,93 +132,206 @@ def _distinct(rows: DataFrame, dimension: int, ids: int) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, dimension)
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dimension)
             for i, x in zip(batch.column("id").to_pylist(), flat):
                 v = held.setdefault(x.tobytes(), [])
                 v.append(i)
                 if len(v) > 64:
                     v[:] = sorted(v)[:ids]
-            if len(held) > 100_000:
+            if len(held) > 20_000:
                 yield from flush()
         if held:
             yield from flush()
 
-    one = rows.mapInArrow(run, "vector binary, ids array<long>")
+    one = rows.mapInArrow(tidy(run), "vector binary, ids array<long>")
     # at most `ids` ids from each task meet here
     return one.groupBy("vector").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, ids).alias("ids"))
 
 
-def nearest(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", query_every: int = 50, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by query_every."""
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    fine = vectors.where(F.col(id_column).isNotNull() & usable(column)).select(F.col(id_column).cast("long").alias("id"), F.transform(column, lambda x: x.cast("double")).alias("v"))
-    sizes = fine.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "n").first()
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    dimension = sizes["n"]
-    fine = fine.where(F.size("v") == dimension)
-    index = materialise(_distinct(fine, dimension, k + 1).withColumn("key", F.xxhash64("vector")))
-    count = index.count()
-    sample = index.orderBy("key", "vector").limit(SAMPLE).select("vector").collect()
-    model = AdditiveQuantiser.fit(unit(np.stack([np.frombuffer(r["vector"], "<f8") for r in sample])))
-    books = model.books  # BOOKS * WORDS codewords, whatever the input
-    n_blocks = -(-count // BLOCK)
+def _matrix(column, kind: str, dimension: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dimension).astype(np.float64)
+
+
+def _trained(sample: DataFrame, cells: int, kind: str, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codebooks and centroids, trained in one task on the sample; only they go to the driver."""
+
+    def train(batches):
+        x = [_matrix(b.column("vector"), kind, dimension) for b in batches]
+        x = unit(np.concatenate(x))
+        books = AdditiveQuantiser.fit(x).books
+        centre = kmeans(x, cells, np.random.default_rng(5))[: min(cells, len(x))]
+        yield pa.RecordBatch.from_arrays([pa.array([books.tobytes()], pa.binary()), pa.array([centre.tobytes()], pa.binary())], ["books", "centre"])
+
+    got = sample.repartition(1).mapInArrow(tidy(train), "books binary, centre binary").first()
+    return np.frombuffer(got["books"]).reshape(BOOKS, WORDS, dimension), np.frombuffer(got["centre"]).reshape(-1, dimension)
+
+
+def _near(x: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the n nearest centroids of each row."""
+    d = (centre**2).sum(1) - 2 * x @ centre.T
+    return np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(centre) else np.tile(np.arange(len(centre)), (len(x), 1))
+
+
+def _coded(index: DataFrame, books: np.ndarray, centre: np.ndarray, kind: str, dimension: int) -> DataFrame:
+    """cell, key, codes, norm of every vector of the index."""
 
     def encode(batches):
         quantiser = AdditiveQuantiser(books)
         for batch in batches:
-            raw = batch.column("vector").to_pylist()
-            for a in range(0, len(raw), 1024):
-                x = unit(np.frombuffer(b"".join(raw[a : a + 1024]), "<f8").reshape(-1, dimension))
+            for a in range(0, len(batch), 512):
+                part = batch.slice(a, 512)
+                x = unit(_matrix(part.column("vector"), kind, dimension))
                 codes, norms = quantiser.encode(x)
-                part = batch.slice(a, 1024)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("block"), part.column("vector"), part.column("ids"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)],
-                    ["block", "vector", "ids", "codes", "norm"],
+                    [pa.array(_near(x, centre, 1)[:, 0], pa.int32()), part.column("key"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))],
+                    ["cell", "key", "codes", "norm"],
                 )
 
-    item = F.struct("vector", "ids", "codes", "norm")
-    coded = index.withColumn("block", F.pmod("key", F.lit(n_blocks)).cast("int")).select("block", "vector", "ids").mapInArrow(
-        encode, "block int, vector binary, ids array<long>, codes binary, norm double"
-    )
-    blocks = coded.groupBy("block").agg(F.collect_list(item).alias("items"))  # about BLOCK rows each, dealt by hash
-    asked = fine.where(F.pmod("id", F.lit(query_every)) == 0).groupBy("id", "v").agg(F.count("*").alias("_"))
-    n_queries = -(-asked.count() // QUERIES)
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, n_queries)))).groupBy("part").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    # each block of queries goes to each block of the index
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def search(batches):
+    return index.select("key", "vector").mapInArrow(tidy(encode), "cell int, key long, codes binary, norm float")
+
+
+def _sizes(coded: DataFrame) -> DataFrame:
+    """cell, parts: how many blocks of about BLOCK each cell has; at most CELLS rows."""
+    return coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+
+
+def _blocks(coded: DataFrame, sizes: DataFrame) -> DataFrame:
+    """cell, part, items: the vectors of each cell in blocks, dealt by hash."""
+    placed = coded.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod("key", F.col("parts")))
+    return placed.groupBy("cell", "part").agg(F.collect_list(F.struct("key", "codes", "norm")).alias("items"))
+
+
+def _candidates(asked: DataFrame, blocks: DataFrame, sizes: DataFrame, books: np.ndarray, centre: np.ndarray, probes: int, rerank: int, kind: str, dimension: int) -> DataFrame:
+    """id, key: the `rerank` vectors of least approximate distance in each query's `probes` nearest cells."""
+
+    def visit(batches):
+        for batch in batches:
+            cells = _near(unit(_matrix(batch.column("vector"), kind, dimension)), centre, probes)
+            row = np.repeat(np.arange(len(batch)), cells.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("vector").take(pa.array(row)), pa.array(cells.ravel(), pa.int32())], ["id", "vector", "cell"])
+
+    visits = asked.mapInArrow(tidy(visit), "id long, vector binary, cell int")
+    turns = max(1, -(-4 * probes * asked.count() // (len(centre) * QUERIES)))
+    groups = visits.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(turns)).alias("turn")).agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
+    # a group of queries goes to each block of its cell, so a cell with most of the vectors is many tasks
+    groups = groups.join(F.broadcast(sizes), "cell").select("cell", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+    def scan(batches):
         quantiser = AdditiveQuantiser(books)
         for batch in batches:
             for items, queries in zip(batch.column("items"), batch.column("queries")):
                 items, queries = items.values, queries.values
-                x = np.frombuffer(b"".join(items.field("vector").to_pylist()), "<f8").reshape(-1, dimension)
-                codes = np.frombuffer(b"".join(items.field("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-                norms, ids = items.field("norm").to_numpy(), items.field("ids").to_pylist()
-                qid = queries.field("id").to_pylist()
-                q = np.stack([np.array(v, np.float64) for v in queries.field("v").to_pylist()])
-                exact_x, exact_q = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", q, q))
-                table = quantiser.tables(q / exact_q[:, None])
-                distance = np.tile(norms, (len(q), 1))
-                for m in range(codes.shape[1]):
-                    distance -= 2 * table[:, m, :][:, codes[:, m]]
-                r = min(RERANK, len(x))
-                best = np.argpartition(distance, r - 1, axis=1)[:, :r]
-                out = []
-                for i in range(len(q)):
-                    score = np.einsum("ij,j->i", x[best[i]], q[i]) / (exact_x[best[i]] * exact_q[i])
-                    found = []
-                    for j in np.argsort(-score, kind="stable")[: k + 1]:
-                        found += [(float(score[j]), v) for v in ids[best[i][j]]]
-                    own = [n for n, (_, v) in enumerate(found) if v == qid[i]]
-                    if own:  # the query's own row, once
-                        del found[own[0]]
-                    found.sort(key=lambda f: (-f[0], f[1]))
-                    out += [(qid[i], v, s) for s, v in found[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-    found = asked.join(blocks, "block").select("items", "queries").mapInArrow(search, "query_id long, vec_id long, score double")
+                key = items.field("key").to_numpy()
+                codes = np.frombuffer(b"".join(items.field("codes").to_pylist()), np.uint8).reshape(len(key), -1)
+                norms, ids = items.field("norm").to_numpy(), queries.field("id").to_numpy()
+                r = min(rerank, len(key))
+                for lo in range(0, len(ids), QUERIES):
+                    q = unit(_matrix(queries.field("vector").slice(lo, QUERIES), kind, dimension))
+                    table = quantiser.tables(q).astype(np.float32)
+                    distance = np.tile(norms, (len(q), 1))
+                    for m in range(codes.shape[1]):
+                        distance -= 2 * table[:, m, :][:, codes[:, m]]
+                    best = np.argpartition(distance, r - 1, axis=1)[:, :r]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + QUERIES], r)), pa.array(key[best].ravel()), pa.array(np.take_along_axis(distance, best, 1).ravel())], ["id", "key", "distance"])
+
+    found = groups.join(blocks, ["cell", "part"]).select("items", "queries").mapInArrow(tidy(scan), "id long, key long, distance float")
+    order = Window.partitionBy("id").orderBy("distance", "key")
+    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rerank).select("id", "key")
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score from id, score, ids: the query's own row left out once."""
+    rows = scored.select(F.col("id").alias("query_id"), "score", F.explode("ids").alias("vec_id"))
+    own = F.row_number().over(Window.partitionBy("query_id", "vec_id").orderBy(F.desc("score")))
+    rows = rows.withColumn("_own", F.when(F.col("query_id") == F.col("vec_id"), own)).where("_own IS NULL OR _own > 1")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _reranked(pairs: DataFrame, asked: DataFrame, index: DataFrame, k: int, kind: str, dimension: int) -> DataFrame:
+    """Exact scores of the pairs (id, key), ranked."""
+
+    def score(batches):
+        for batch in batches:
+            q, x = _matrix(batch.column("q"), kind, dimension), _matrix(batch.column("vector"), kind, dimension)
+            both = np.einsum("ij,ij->i", q, x) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", q, q)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(both), batch.column("ids")], ["id", "score", "ids"])
+
+    whole = pairs.join(asked.withColumnRenamed("vector", "q"), "id").join(index, "key").select("id", "q", "vector", "ids")
+    return _ranked(whole.mapInArrow(tidy(score), "id long, score double, ids array<long>"), k)
+
+
+def _exact(asked: DataFrame, index: DataFrame, k: int, kind: str, dimension: int) -> DataFrame:
+    """All queries against all vectors, in blocks: each block gives a query's best, ties included."""
+    parts = -(-index.count() // BLOCK)
+    blocks = index.withColumn("part", F.pmod("key", F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct("vector", "ids")).alias("items"))
+    count = asked.count()
+    groups = asked.withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-count // QUERIES))))).groupBy("turn").agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
+    # a stated query set against all rows: each block of queries goes to each block of the index
+    groups = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def scan(batches):
+        for batch in batches:
+            for items, queries in zip(batch.column("items"), batch.column("queries")):
+                x, q = _matrix(items.values.field("vector"), kind, dimension), _matrix(queries.values.field("vector"), kind, dimension)
+                ids, own, out = items.values.field("ids").to_pylist(), queries.values.field("id").to_pylist(), []
+                norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+                for i, one in zip(own, q):
+                    score = np.einsum("ij,j->i", x, one) / (norm * np.sqrt(one @ one))
+                    least = np.partition(score, -min(len(score), k + 1))[-min(len(score), k + 1)]
+                    out += [(i, float(score[j]), ids[j]) for j in np.flatnonzero(score >= least)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.list_(pa.int64())))], ["id", "score", "ids"])
+
+    return _ranked(groups.join(blocks, "part").select("items", "queries").mapInArrow(tidy(scan), "id long, score double, ids array<long>"), k)
+
+
+def recall(found: DataFrame, true: DataFrame) -> float:
+    """The share of true neighbours that were found; a neighbour of the same score counts as well."""
+    least = true.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    hits = found.join(least, "query_id").where(F.col("score") >= F.col("least") - 1e-12).groupBy("query_id").agg(F.count("*").alias("hit"))
+    got = least.join(hits, "query_id", "left").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("h"), F.sum("n").alias("n")).first()
+    return 1.0 if not got["n"] else got["h"] / got["n"]
+
+
+SCHEMA = "query_id long, rank int, vec_id long, score double"
+
+
+def nearest(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", query_every: int = 50, k: int = 5, target: float = TARGET, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by query_every."""
+    single = vectors.schema[column].dataType.elementType.typeName() == "float"
+    number = F.transform(column, lambda x: x.cast("float" if single else "double"))
+    fine = vectors.where(F.col(id_column).isNotNull() & usable(column)).select(F.col(id_column).cast("long").alias("id"), number.alias("v"))
+    sizes = [r["n"] for r in fine.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]  # lengths are those of a few models
+    out = [_nearest(fine.where(F.size("v") == n), n, "<f4" if single else "<f8", query_every, k, target, exact) for n in sizes]
+    return reduce(DataFrame.unionByName, out) if out else vectors.sparkSession.createDataFrame([], SCHEMA)
+
+
+def _nearest(fine: DataFrame, dimension: int, kind: str, query_every: int, k: int, target: float, exact: bool) -> DataFrame:
+    index = materialise(_distinct(fine, dimension, k + 1, kind).withColumn("key", F.xxhash64("vector")))
+    count = index.count()
+
+    def pack(batches):
+        for batch in batches:
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dimension)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in flat], pa.binary())], ["id", "vector"])
+
+    asked = fine.where(F.pmod("id", F.lit(query_every)) == 0).mapInArrow(tidy(pack), "id long, vector binary")
+    asked = materialise(asked.groupBy("id", "vector").agg(F.count("*").alias("_")).drop("_"))
+    if exact:
+        return _exact(asked, index, k, kind, dimension)
+    cells = min(CELLS, -(-count // CELL))
+    sample = index.orderBy("key", "vector").limit(SAMPLE).select("vector")
+    books, centre = _trained(sample, cells, kind, dimension)  # BOOKS * WORDS codewords and at most CELLS centroids, whatever the input
+    coded = materialise(_coded(index, books, centre, kind, dimension))
+    sizes = materialise(_sizes(coded))
+    blocks = materialise(_blocks(coded, sizes))
+
+    def search(some: DataFrame, probes: int, rerank: int) -> DataFrame:
+        return _reranked(_candidates(some, blocks, sizes, books, centre, probes, rerank, kind, dimension), some, index, k, kind, dimension)
+
+    trial = materialise(asked.orderBy(F.xxhash64("id"), "vector").limit(TRIALS))
+    true = materialise(_exact(trial, index, k, kind, dimension))
+    probes, rerank = min(PROBES, len(centre)), RERANK
+    while (probes < len(centre) or rerank < count) and recall(search(trial, probes, rerank), true) < target:
+        probes, rerank = min(2 * probes, len(centre)), 2 * rerank
+    return search(asked, probes, rerank)
