@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -22,6 +22,15 @@ def _unescaped(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+def kept(df: DataFrame, keep) -> DataFrame:
+    """Rows for which keep(row) holds; keep takes a struct of the columns.
+
+    A plain filter on computed columns is pushed below them, and they are computed a second time for it, Python
+    functions included. Here the row is made first and then kept or left out."""
+    row = F.struct(*df.columns)
+    return df.select(F.explode(F.filter(F.array(row), keep)).alias("_row")).select("_row.*")
+
+
 def unescape(c: Column) -> Column:
     return F.coalesce(_unescaped(F.when(F.contains(c, F.lit("&")), c)), c)
 
@@ -190,14 +199,13 @@ def paragraphs(page: Column) -> Column:
 
 @F.pandas_udf(ArrayType(StringType()))
 def _unescaped_each(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: [html.unescape(t) for t in x], na_action="ignore")
+    return texts.map(lambda x: [html.unescape(t) if "&" in t else t for t in x], na_action="ignore")
 
 
 def clean_paragraphs(page: Column) -> Column:
     """The page's paragraphs, cleaned, those of at least LEAST_PARAGRAPH characters, as an array in page order."""
-    found = paragraphs(page)
-    plain = F.coalesce(_unescaped_each(F.when(F.exists(found, lambda p: F.contains(p, F.lit("&"))), found)), found)
-    return F.filter(F.transform(plain, lambda p: clean_text(p, False)), lambda p: F.length(p) >= LEAST_PARAGRAPH)
+    # all arrays pass the UDF: to leave some out, the paragraphs would be searched for twice
+    return F.filter(F.transform(_unescaped_each(paragraphs(page)), lambda p: clean_text(p, False)), lambda p: F.length(p) >= LEAST_PARAGRAPH)
 
 
 def article_text(page: Column) -> Column:

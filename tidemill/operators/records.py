@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_text, fingerprint, normalize_time
+from ..functions.text import clean_text, fingerprint, kept, normalize_time
 from ..scratch import materialise
 
 START_ID = 10001
@@ -25,6 +25,11 @@ def make_record(df: DataFrame, title: Column, text: Column, source: Column, time
     return df.select(*fields, *([] if seq is None else [seq.alias("seq")]))
 
 
+def with_content(records: DataFrame) -> DataFrame:
+    """Records that have a title or a text."""
+    return kept(records, lambda r: (r["title"] != "") | (r["text"] != ""))
+
+
 def record_fingerprint() -> Column:
     return fingerprint(F.col("title"), F.col("text"), F.col("source"), F.col("url"))
 
@@ -35,7 +40,7 @@ def deduplicate(records: DataFrame, order: str = "seq") -> DataFrame:
     Each task first keeps its own least row per fingerprint (the plan's partial group limit), so a
     record that a third of all rows repeat costs one row per task in the shuffle. Ties of the order
     are broken by a hash of the row."""
-    alive = records.where((clean_text(F.col("title"), False) != "") | (clean_text(F.col("text"), False) != ""))
+    alive = kept(records, lambda r: (clean_text(r["title"], False) != "") | (clean_text(r["text"], False) != ""))
     row = F.struct(*records.columns).alias("_row")
     keyed = alive.select(row, record_fingerprint().alias("_fp"), F.col(order).alias("_order"), F.xxhash64(*records.columns).alias("_tie"))
     first = F.row_number().over(Window.partitionBy("_fp").orderBy("_order", "_tie"))

@@ -141,7 +141,7 @@ def q12(spark, d):
 
 @query("q13_article_text", f"WITH {_PARAGRAPHS} SELECT page_id, left(string_agg(t, ' ' ORDER BY i), 1500) AS article FROM k GROUP BY page_id")
 def q13(spark, d):
-    return X.load(spark, d, "pages").select("page_id", T.article_text(F.col("html")).alias("article")).where("article <> ''")
+    return T.kept(X.load(spark, d, "pages").select("page_id", T.article_text(F.col("html")).alias("article")), lambda r: r["article"] != "")
 
 
 @query("q14_domain_hit", "SELECT page_id, contains(lower(url), 'example.com') OR contains(lower(url), 'the') AS hit FROM pages")
@@ -286,7 +286,7 @@ def q25b(spark, d):
 @query("q26_rss_items", f"SELECT doc_id, {_T} AS title, CASE WHEN {_B} = '' THEN {_T} ELSE {_B} END AS text, source, '2024-01-02 03:04:05' AS time, {_URL} AS url FROM documents WHERE {_T} <> '' OR {_B} <> ''")
 def q26(spark, d):
     hits = P.rss_items(X.feeds(spark, d))
-    return P.rss_records(hits, F.col("feed_source"), True, F.col("doc_id")).where("title <> '' OR text <> ''").select(F.col("seq").alias("doc_id"), "title", "text", "source", "time", "url")
+    return R.with_content(P.rss_records(hits, F.col("feed_source"), True, F.col("doc_id"))).select(F.col("seq").alias("doc_id"), "title", "text", "source", "time", "url")
 
 
 @query("q27_cascade", """

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import absolute_url, clean_text, domain_hit, first_truthy, joined_url, label_hit, light_strip, netloc
-from ..operators.records import make_record
+from ..operators.records import make_record, with_content
 
 #: The shapes of the services' answers.
 SCHEMAS = {
@@ -100,7 +100,7 @@ def extract(hits: DataFrame, connector: str, seq: Column | None = None, entities
     else:
         raise ValueError(f"unknown connector: {connector}")
     out = make_record(hits, title, text, source, time, where, seq, entities)
-    return out.where("title <> '' OR text <> ''") if connector in ("zhihu", "toutiao") else out
+    return with_content(out) if connector in ("zhihu", "toutiao") else out
 
 
 # ------------------------------------------------------------------- HTML
@@ -156,5 +156,6 @@ def rss_records(hits: DataFrame, source: Column, light: bool = False, seq: Colum
     text = first_truthy(i("summary"), i("description"), title)
     if light:
         title, text = light_strip(title), light_strip(text)
-    kept = hits.where((title != "") | (text != ""))
-    return make_record(kept, title, text, source, first_truthy(i("published"), i("pubDate"), i("updated")), first_truthy(i("link")), seq, entities)
+    own = F.struct(title.alias("title"), text.alias("text"))
+    some = hits.withColumn("_own", F.explode(F.filter(F.array(own), lambda x: (x["title"] != "") | (x["text"] != ""))))
+    return make_record(some, F.col("_own.title"), F.col("_own.text"), source, first_truthy(i("published"), i("pubDate"), i("updated")), first_truthy(i("link")), seq, entities)
