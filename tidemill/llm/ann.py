@@ -7,13 +7,14 @@ indexed: beam search keeps the best partial sums over the codebooks, and the nor
 approximation is stored with the codes, in the cell of the nearest of some centroids of the sample.
 
 A query scans the codes of its nearest cells, in blocks: the squared distance is read from lookup
-tables of query-codeword products and the stored norms. The best of all its blocks together, a
-fixed number, are reranked by exact cosine in double precision on original vectors, which are
+tables of query-codeword products and the stored norms. Each block gives twice its even share of
+the number that is reranked, and the best of all its blocks together, that number, are reranked by exact cosine in double precision on original vectors, which are
 fetched by key; codes and norms alone take part in the scan.
 
 How many cells a query visits and how many vectors are reranked is measured: some queries are also
-answered exactly, and both numbers are doubled until enough of their true neighbours are found
-(at the end all cells are visited and all vectors reranked, so the target is always reached).
+answered exactly. So many cells are visited as hold nearly all of their true neighbours, and the
+number of reranked vectors is doubled until enough of these are found (at the end all vectors of
+all cells are reranked, so the target is always reached).
 `exact=True` answers all queries exactly, in blocks.
 
 Equal vectors are indexed once, with the smallest few ids of each, so copies of one vector
@@ -34,16 +35,16 @@ from pyspark.sql import functions as F
 
 from .common import materialise, tidy
 
-BOOKS, WORDS, BEAM = 16, 64, 4
+BOOKS, WORDS, BEAM = 32, 64, 4
 SAMPLE = 8192
 """At most so many distinct vectors train the codebooks; every vector is indexed."""
-REFITS = 2
+REFITS = 1
 CELL, CELLS = 1024, 512
 """Vectors that a cell should have, and the most cells: the sample must fill them."""
 BLOCK = 4096
 QUERIES = 512
-PROBES, RERANK = 8, 128
-"""Where the search for enough cells and reranked vectors begins."""
+RERANK = 128
+"""Where the search for enough reranked vectors begins."""
 TRIALS, TARGET = 64, 0.95
 """Queries that are also answered exactly, and the share of their true neighbours to be found."""
 
@@ -201,8 +202,8 @@ def _blocks(coded: DataFrame, sizes: DataFrame) -> DataFrame:
     return placed.groupBy("cell", "part").agg(F.collect_list(F.struct("key", "codes", "norm")).alias("items"))
 
 
-def _candidates(asked: DataFrame, blocks: DataFrame, sizes: DataFrame, books: np.ndarray, centre: np.ndarray, probes: int, rerank: int, kind: str, dimension: int) -> DataFrame:
-    """id, key: the `rerank` vectors of least approximate distance in each query's `probes` nearest cells."""
+def _candidates(asked: DataFrame, blocks: DataFrame, sizes: DataFrame, books: np.ndarray, centre: np.ndarray, probes: int, rerank: int, quota: int, kind: str, dimension: int) -> DataFrame:
+    """id, key: the `rerank` vectors of least approximate distance in each query's `probes` nearest cells, at most `quota` of each block."""
 
     def visit(batches):
         for batch in batches:
@@ -224,7 +225,7 @@ def _candidates(asked: DataFrame, blocks: DataFrame, sizes: DataFrame, books: np
                 key = items.field("key").to_numpy()
                 codes = np.frombuffer(b"".join(items.field("codes").to_pylist()), np.uint8).reshape(len(key), -1)
                 norms, ids = items.field("norm").to_numpy(), queries.field("id").to_numpy()
-                r = min(rerank, len(key))
+                r = min(quota, len(key))
                 for lo in range(0, len(ids), QUERIES):
                     q = unit(_matrix(queries.field("vector").slice(lo, QUERIES), kind, dimension))
                     table = quantiser.tables(q).astype(np.float32)
@@ -239,13 +240,13 @@ def _candidates(asked: DataFrame, blocks: DataFrame, sizes: DataFrame, books: np
     return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rerank).select("id", "key")
 
 
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score from id, score, ids: the query's own row left out once."""
-    rows = scored.select(F.col("id").alias("query_id"), "score", F.explode("ids").alias("vec_id"))
+def _ranked(scored: DataFrame, k: int, *more: str) -> DataFrame:
+    """query_id, rank, vec_id, score (and more columns) from id, score, ids: the query's own row left out once."""
+    rows = scored.select(F.col("id").alias("query_id"), "score", F.explode("ids").alias("vec_id"), *more)
     own = F.row_number().over(Window.partitionBy("query_id", "vec_id").orderBy(F.desc("score")))
     rows = rows.withColumn("_own", F.when(F.col("query_id") == F.col("vec_id"), own)).where("_own IS NULL OR _own > 1")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", *more)
 
 
 def _reranked(pairs: DataFrame, asked: DataFrame, index: DataFrame, k: int, kind: str, dimension: int) -> DataFrame:
@@ -261,8 +262,9 @@ def _reranked(pairs: DataFrame, asked: DataFrame, index: DataFrame, k: int, kind
     return _ranked(whole.mapInArrow(tidy(score), "id long, score double, ids array<long>"), k)
 
 
-def _exact(asked: DataFrame, index: DataFrame, k: int, kind: str, dimension: int) -> DataFrame:
-    """All queries against all vectors, in blocks: each block gives a query's best, ties included."""
+def _exact(asked: DataFrame, index: DataFrame, k: int, kind: str, dimension: int, centre: np.ndarray | None = None) -> DataFrame:
+    """All queries against all vectors, in blocks: each block gives a query's best, ties included. With centroids, also
+    `place`: how many cells are nearer to the query than the neighbour's own."""
     parts = -(-index.count() // BLOCK)
     blocks = index.withColumn("part", F.pmod("key", F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct("vector", "ids")).alias("items"))
     count = asked.count()
@@ -276,13 +278,16 @@ def _exact(asked: DataFrame, index: DataFrame, k: int, kind: str, dimension: int
                 x, q = _matrix(items.values.field("vector"), kind, dimension), _matrix(queries.values.field("vector"), kind, dimension)
                 ids, own, out = items.values.field("ids").to_pylist(), queries.values.field("id").to_pylist(), []
                 norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+                cell = np.zeros(len(x), np.int64) if centre is None else _near(x / norm[:, None], centre, 1)[:, 0]
                 for i, one in zip(own, q):
+                    far = None if centre is None else (centre**2).sum(1) - 2 * centre @ (one / np.sqrt(one @ one))
                     score = np.einsum("ij,j->i", x, one) / (norm * np.sqrt(one @ one))
                     least = np.partition(score, -min(len(score), k + 1))[-min(len(score), k + 1)]
-                    out += [(i, float(score[j]), ids[j]) for j in np.flatnonzero(score >= least)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.list_(pa.int64())))], ["id", "score", "ids"])
+                    out += [(i, float(score[j]), ids[j], 0 if far is None else int((far < far[cell[j]]).sum())) for j in np.flatnonzero(score >= least)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int32()))], ["id", "score", "ids", "place"])
 
-    return _ranked(groups.join(blocks, "part").select("items", "queries").mapInArrow(tidy(scan), "id long, score double, ids array<long>"), k)
+    found = groups.join(blocks, "part").select("items", "queries").mapInArrow(tidy(scan), "id long, score double, ids array<long>, place int")
+    return _ranked(found, k, *(["place"] if centre is not None else []))
 
 
 def recall(found: DataFrame, true: DataFrame) -> float:
@@ -327,11 +332,14 @@ def _nearest(fine: DataFrame, dimension: int, kind: str, query_every: int, k: in
     blocks = materialise(_blocks(coded, sizes))
 
     def search(some: DataFrame, probes: int, rerank: int) -> DataFrame:
-        return _reranked(_candidates(some, blocks, sizes, books, centre, probes, rerank, kind, dimension), some, index, k, kind, dimension)
+        quota = count if rerank >= count else min(rerank, 2 * rerank // probes + 4)
+        return _reranked(_candidates(some, blocks, sizes, books, centre, probes, rerank, quota, kind, dimension), some, index, k, kind, dimension)
 
     trial = materialise(asked.orderBy(F.xxhash64("id"), "vector").limit(TRIALS))
-    true = materialise(_exact(trial, index, k, kind, dimension))
-    probes, rerank = min(PROBES, len(centre)), RERANK
+    true = materialise(_exact(trial, index, k, kind, dimension, centre))
+    places = sorted(r["place"] for r in true.select("place").collect())  # at most TRIALS * k rows
+    probes = places[min(len(places) - 1, int(len(places) * (1 + target) / 2))] + 1 if places else 1
+    rerank = RERANK
     while (probes < len(centre) or rerank < count) and recall(search(trial, probes, rerank), true) < target:
-        probes, rerank = min(2 * probes, len(centre)), 2 * rerank
+        probes, rerank = probes if rerank < count else len(centre), 2 * rerank
     return search(asked, probes, rerank)
