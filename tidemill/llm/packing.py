@@ -56,7 +56,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes."""
 
-    REMEMBERED = 32 << 20
+    REMEMBERED = 160 << 20
     """Bytes of memory, about, that known pieces may take."""
 
     def __init__(self, path: str) -> None:
