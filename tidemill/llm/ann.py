@@ -43,10 +43,10 @@ CELL, CELLS = 1024, 512
 """Vectors that a cell should have, and the most cells: the sample must fill them."""
 BLOCK = 4096
 QUERIES = 512
-RERANK = 128
+RERANK = 192
 """Where the search for enough reranked vectors begins."""
-TRIALS, TARGET = 64, 0.95
-"""Queries that are also answered exactly, and the share of their true neighbours to be found."""
+TRIALS, TARGET, REACH = 64, 0.95, 0.99
+"""Queries that are also answered exactly, the share of their true neighbours to be found, and the share that visited cells must hold."""
 
 
 def usable(column: str):
@@ -159,6 +159,7 @@ def _trained(sample: DataFrame, cells: int, kind: str, dimension: int) -> tuple[
     def train(batches):
         x = [_matrix(b.column("vector"), kind, dimension) for b in batches]
         x = unit(np.concatenate(x))
+        x = x[np.lexsort(x.T)]  # whatever the order of arrival, so that reruns agree
         books = AdditiveQuantiser.fit(x).books
         centre = kmeans(x, cells, np.random.default_rng(5))[: min(cells, len(x))]
         yield pa.RecordBatch.from_arrays([pa.array([books.tobytes()], pa.binary()), pa.array([centre.tobytes()], pa.binary())], ["books", "centre"])
@@ -338,7 +339,7 @@ def _nearest(fine: DataFrame, dimension: int, kind: str, query_every: int, k: in
     trial = materialise(asked.orderBy(F.xxhash64("id"), "vector").limit(TRIALS))
     true = materialise(_exact(trial, index, k, kind, dimension, centre))
     places = sorted(r["place"] for r in true.select("place").collect())  # at most TRIALS * k rows
-    probes = places[min(len(places) - 1, int(len(places) * (1 + target) / 2))] + 1 if places else 1
+    probes = places[min(len(places) - 1, int(len(places) * REACH))] + 1 if places else 1
     rerank = RERANK
     while (probes < len(centre) or rerank < count) and recall(search(trial, probes, rerank), true) < target:
         probes, rerank = probes if rerank < count else len(centre), 2 * rerank
