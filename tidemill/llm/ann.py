@@ -1,15 +1,18 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector (scaled to length one) is approximated by a sum of codewords, one from each of
-several full-dimensional codebooks. Codebooks start as residual k-means on a bounded
-sample and are refitted by least squares against beam-search encodings. Every vector is
-indexed: beam search keeps the best partial sums over the codebooks, and the norm of the
-approximation is stored with the codes, in the cell of the nearest of some centroids of the sample.
+A vector (scaled to length one) lies in the cell of the nearest of some centroids of a bounded
+sample. Its difference from the centroid, scaled to length one again, is approximated by a sum of
+codewords, one from each of several full-dimensional codebooks, so the error shrinks with the
+difference and nearly equal vectors stay apart. Codebooks start as residual k-means on the sample
+and are refitted by least squares against beam-search encodings. Every vector is indexed: beam
+search keeps the best partial sums over the codebooks; the scale and the norm of the approximated
+difference are stored with the codes.
 
 A query scans the codes of its nearest cells, in blocks: the squared distance is read from lookup
-tables of query-codeword products and the stored norms. Each block gives twice its even share of
-the number that is reranked, and the best of all its blocks together, that number, are reranked by exact cosine in double precision on original vectors, which are
-fetched by key; codes and norms alone take part in the scan.
+tables of products of codewords and the query's own difference from the centroid, and from the
+stored scales and norms. Each block gives twice its even share of the number that is reranked, and
+the best of all its blocks together, that number, are reranked by exact cosine in double precision
+on original vectors, which are fetched by key; codes, scales and norms alone take part in the scan.
 
 How many cells a query visits and how many vectors are reranked is measured: some queries are also
 answered exactly. So many cells are visited as hold nearly all of their true neighbours, and the
@@ -160,8 +163,8 @@ def _trained(sample: DataFrame, cells: int, kind: str, dimension: int) -> tuple[
         x = [_matrix(b.column("vector"), kind, dimension) for b in batches]
         x = unit(np.concatenate(x))
         x = x[np.lexsort(x.T)]  # whatever the order of arrival, so that reruns agree
-        books = AdditiveQuantiser.fit(x).books
         centre = kmeans(x, cells, np.random.default_rng(5))[: min(cells, len(x))]
+        books = AdditiveQuantiser.fit(_differences(x, centre)[1]).books
         yield pa.RecordBatch.from_arrays([pa.array([books.tobytes()], pa.binary()), pa.array([centre.tobytes()], pa.binary())], ["books", "centre"])
 
     got = sample.repartition(1).mapInArrow(tidy(train), "books binary, centre binary").first()
@@ -174,22 +177,30 @@ def _near(x: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
     return np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(centre) else np.tile(np.arange(len(centre)), (len(x), 1))
 
 
+def _differences(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cell of each row, its difference from the centroid scaled to length one (zero if equal), and the scale."""
+    cell = _near(x, centre, 1)[:, 0]
+    rest = x - centre[cell]
+    scale = np.sqrt(np.einsum("ij,ij->i", rest, rest))
+    return cell, rest / np.where(scale > 0, scale, 1)[:, None], scale
+
+
 def _coded(index: DataFrame, books: np.ndarray, centre: np.ndarray, kind: str, dimension: int) -> DataFrame:
-    """cell, key, codes, norm of every vector of the index."""
+    """cell, key, codes, scale, norm of every vector of the index."""
 
     def encode(batches):
         quantiser = AdditiveQuantiser(books)
         for batch in batches:
             for a in range(0, len(batch), 512):
                 part = batch.slice(a, 512)
-                x = unit(_matrix(part.column("vector"), kind, dimension))
-                codes, norms = quantiser.encode(x)
+                cell, rest, scale = _differences(unit(_matrix(part.column("vector"), kind, dimension)), centre)
+                codes, norms = quantiser.encode(rest)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_near(x, centre, 1)[:, 0], pa.int32()), part.column("key"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))],
-                    ["cell", "key", "codes", "norm"],
+                    [pa.array(cell, pa.int32()), part.column("key"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale.astype(np.float32)), pa.array((scale**2 * norms).astype(np.float32))],
+                    ["cell", "key", "codes", "scale", "norm"],
                 )
 
-    return index.select("key", "vector").mapInArrow(tidy(encode), "cell int, key long, codes binary, norm float")
+    return index.select("key", "vector").mapInArrow(tidy(encode), "cell int, key long, codes binary, scale float, norm float")
 
 
 def _sizes(coded: DataFrame) -> DataFrame:
@@ -200,7 +211,7 @@ def _sizes(coded: DataFrame) -> DataFrame:
 def _blocks(coded: DataFrame, sizes: DataFrame) -> DataFrame:
     """cell, part, items: the vectors of each cell in blocks, dealt by hash."""
     placed = coded.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod("key", F.col("parts")))
-    return placed.groupBy("cell", "part").agg(F.collect_list(F.struct("key", "codes", "norm")).alias("items"))
+    return placed.groupBy("cell", "part").agg(F.collect_list(F.struct("key", "codes", "scale", "norm")).alias("items"))
 
 
 def _candidates(asked: DataFrame, blocks: DataFrame, sizes: DataFrame, books: np.ndarray, centre: np.ndarray, probes: int, rerank: int, quota: int, kind: str, dimension: int) -> DataFrame:
@@ -221,22 +232,24 @@ def _candidates(asked: DataFrame, blocks: DataFrame, sizes: DataFrame, books: np
     def scan(batches):
         quantiser = AdditiveQuantiser(books)
         for batch in batches:
-            for items, queries in zip(batch.column("items"), batch.column("queries")):
+            for cell, items, queries in zip(batch.column("cell").to_pylist(), batch.column("items"), batch.column("queries")):
                 items, queries = items.values, queries.values
                 key = items.field("key").to_numpy()
                 codes = np.frombuffer(b"".join(items.field("codes").to_pylist()), np.uint8).reshape(len(key), -1)
-                norms, ids = items.field("norm").to_numpy(), queries.field("id").to_numpy()
+                scale, norms, ids = items.field("scale").to_numpy(), items.field("norm").to_numpy(), queries.field("id").to_numpy()
                 r = min(quota, len(key))
                 for lo in range(0, len(ids), QUERIES):
-                    q = unit(_matrix(queries.field("vector").slice(lo, QUERIES), kind, dimension))
-                    table = quantiser.tables(q).astype(np.float32)
-                    distance = np.tile(norms, (len(q), 1))
+                    away = unit(_matrix(queries.field("vector").slice(lo, QUERIES), kind, dimension)) - centre[cell]
+                    table = quantiser.tables(away).astype(np.float32)
+                    product = np.zeros((len(away), len(key)), np.float32)
                     for m in range(codes.shape[1]):
-                        distance -= 2 * table[:, m, :][:, codes[:, m]]
-                    best = np.argpartition(distance, r - 1, axis=1)[:, :r]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + QUERIES], r)), pa.array(key[best].ravel()), pa.array(np.take_along_axis(distance, best, 1).ravel())], ["id", "key", "distance"])
+                        product += table[:, m, :][:, codes[:, m]]
+                    inside = norms - 2 * scale * product
+                    best = np.argpartition(inside, r - 1, axis=1)[:, :r]
+                    distance = (away**2).sum(1)[:, None] + np.take_along_axis(inside, best, 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + QUERIES], r)), pa.array(key[best].ravel()), pa.array(distance.ravel())], ["id", "key", "distance"])
 
-    found = groups.join(blocks, ["cell", "part"]).select("items", "queries").mapInArrow(tidy(scan), "id long, key long, distance float")
+    found = groups.join(blocks, ["cell", "part"]).select("cell", "items", "queries").mapInArrow(tidy(scan), "id long, key long, distance double")
     order = Window.partitionBy("id").orderBy("distance", "key")
     return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rerank).select("id", "key")
 
