@@ -475,6 +475,25 @@ def test_nearest_is_measured_on_hard_vectors(spark):
         assert [r["vec_id"] for r in true.where(f"query_id = {q}").orderBy("rank").collect()] == np.argsort(-s)[:5].tolist() if q in (0, 950) else True
 
 
+def test_codes_tell_nearly_equal_vectors_apart():
+    rng = np.random.default_rng(4)
+    x = ann.unit(np.concatenate([rng.normal(size=32) + 0.01 * rng.normal(size=(1500, 32)), rng.normal(size=(1000, 32))]))
+    centre = ann.kmeans(x, 4, rng)
+    cell, rest, scale = ann._differences(x, centre)
+    model = ann.AdditiveQuantiser.fit(rest)
+    codes, _ = model.encode(rest)
+    close = centre[cell] + scale[:, None] * sum(model.books[m][codes[:, m]] for m in range(len(model.books)))
+    for q in range(0, 1500, 50):
+        order = np.argsort(((close - x[q]) ** 2).sum(1))[:100]
+        assert len(np.intersect1d(order, np.argsort(-(x @ x[q]))[1:6])) >= 4
+
+
+def test_difference_of_a_vector_from_itself_is_zero():
+    x = np.eye(3)
+    cell, rest, scale = ann._differences(x, x)
+    assert cell.tolist() == [0, 1, 2] and not rest.any() and not scale.any()
+
+
 def test_nearest_of_two_lengths_and_many_ties(spark):
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(0, 100, 10)] + [(i * 10 + 1, [2.0 ** (i % 30), 0.0, 0.0]) for i in range(60)] + [(i, [1.0, float(i)]) for i in range(1003, 1400, 7)] + [(1000, [1.0, 1.0])]
     for exact in (False, True):
