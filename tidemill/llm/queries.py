@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, extraction, jaccard, mixing, packing, pii, rules, substring, suffix_dedup, weak
+from . import ann, extraction, fill_middle, jaccard, mixing, packing, pii, rules, substring, suffix_dedup, weak
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -58,10 +58,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_pii, op3_packing, op4_html_extraction, op5_nearest_neighbours, op6_quality_classifier, op7_jaccard_join, op8_quality_rules, op9_mixing, op10_substring_dedup)
+    found = (op1_suffix_dedup, op2_pii, op3_packing, op4_html_extraction, op5_nearest_neighbours, op6_quality_classifier, op7_jaccard_join, op8_quality_rules, op9_mixing, op10_substring_dedup, op12_fill_in_middle)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard_join": jaccard.JACCARD_SQL, "op8_quality_rules": rules.RULES_SQL, "op9_mixing": mixing.MIX_SQL, "op10_substring_dedup": substring.SUBSTRING_SQL}
+    return {"op7_jaccard_join": jaccard.JACCARD_SQL, "op8_quality_rules": rules.RULES_SQL, "op9_mixing": mixing.MIX_SQL, "op10_substring_dedup": substring.SUBSTRING_SQL, "op12_fill_in_middle": fill_middle.FILL_SQL}
