@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, extraction, fill_middle, jaccard, mixing, packing, pii, rules, substring, suffix_dedup, weak
+from . import ann, extraction, fill_middle, jaccard, mixing, packing, pii, rules, sharding, substring, suffix_dedup, weak
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -62,8 +62,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_plan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_pii, op3_packing, op4_html_extraction, op5_nearest_neighbours, op6_quality_classifier, op7_jaccard_join, op8_quality_rules, op9_mixing, op10_substring_dedup, op12_fill_in_middle)
+    found = (op1_suffix_dedup, op2_pii, op3_packing, op4_html_extraction, op5_nearest_neighbours, op6_quality_classifier, op7_jaccard_join, op8_quality_rules, op9_mixing, op10_substring_dedup, op12_fill_in_middle, op13_sharding)
     return {f.__name__: f for f in found}
 
 
