@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, extraction, fill_middle, jaccard, mixing, packing, pii, rules, sharding, substring, suffix_dedup, weak
+from . import ann, divergence, extraction, fill_middle, jaccard, mixing, packing, pii, rules, sharding, substring, suffix_dedup, weak
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -58,6 +58,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
@@ -67,9 +71,9 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_pii, op3_packing, op4_html_extraction, op5_nearest_neighbours, op6_quality_classifier, op7_jaccard_join, op8_quality_rules, op9_mixing, op10_substring_dedup, op12_fill_in_middle, op13_sharding)
+    found = (op1_suffix_dedup, op2_pii, op3_packing, op4_html_extraction, op5_nearest_neighbours, op6_quality_classifier, op7_jaccard_join, op8_quality_rules, op9_mixing, op10_substring_dedup, op11_source_divergence, op12_fill_in_middle, op13_sharding)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard_join": jaccard.JACCARD_SQL, "op8_quality_rules": rules.RULES_SQL, "op9_mixing": mixing.MIX_SQL, "op10_substring_dedup": substring.SUBSTRING_SQL, "op12_fill_in_middle": fill_middle.FILL_SQL}
+    return {"op7_jaccard_join": jaccard.JACCARD_SQL, "op8_quality_rules": rules.RULES_SQL, "op9_mixing": mixing.MIX_SQL, "op10_substring_dedup": substring.SUBSTRING_SQL, "op11_source_divergence": divergence.DIVERGENCE_SQL, "op12_fill_in_middle": fill_middle.FILL_SQL}
