@@ -227,39 +227,51 @@ _PARTS = "lang string, source string, part string, item string, value long"
 _PARTS_ARROW = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
 
+class _Best:
+    """What a task knows of a language: sums by pair of its sources, and each source's best terms so far."""
+
+    def __init__(self, sources: list[str], top: int) -> None:
+        self.sources, self.top = sources, top
+        self.pair = np.zeros((len(sources), len(sources)), np.int64)
+        self.best: list[list[tuple[int, str]]] = [[] for _ in sources]
+
+    def take(self, p: np.ndarray, q: np.ndarray, occurs: np.ndarray, terms: list[str]) -> None:
+        """Shares of sources (rows) and language in some terms, in order."""
+        for j in range(len(self.sources)):
+            self.pair[:, j] += excess(p, p[j]).sum(1)
+        over = np.where(occurs & (p > q), excess(p, q), -1)
+        for i in range(len(self.sources)):
+            at = np.flatnonzero(over[i] >= 0)
+            at = at[np.argsort(-over[i][at], kind="stable")[: self.top]]  # equal values: the smaller id, which is the smaller term
+            both = [*self.best[i], *zip(over[i][at].tolist(), [terms[k] for k in at.tolist()])]
+            self.best[i] = sorted(both, key=lambda x: (-x[0], x[1]))[: self.top]
+
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
+        for i, s in enumerate(self.sources):
+            others = [j for j in range(len(self.sources)) if j != i]
+            values = self.pair[i, others].tolist() + [v for v, _ in self.best[i]]
+            items = [self.sources[j] for j in others] + [t for _, t in self.best[i]]
+            parts = ["pair"] * len(others) + ["term"] * len(self.best[i])
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(values), "source": [s] * len(values), "part": parts, "item": items, "value": values}, schema=_PARTS_ARROW)
+
+
 def _valued(top: int, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks beside their language's sources, totals and number of kept terms: sums by pair, and each source's best terms."""
+        """Chunks beside their language's sources, totals and number of kept terms: sums by pair, and each source's best terms, of all chunks of the task."""
+        known: dict[str, _Best] = {}
         for batch in batches:
             for r in batch.to_pylist():
                 every, totals, kept, terms = r["every"], np.array(r["totals"], np.int64), r["kept"], r["terms"]
+                best = known.setdefault(r["lang"], _Best(every, top))
                 place = {s: i for i, s in enumerate(every)}
                 found = np.frombuffer(r["counts"], np.int64).reshape(len(r["sources"]), -1)
-                rows = np.array([place[s] for s in r["sources"]])
-                pair = np.zeros((len(every), len(every)), np.int64)
-                step = max(1, cells // len(every))
-                best: list[list[tuple[int, int]]] = [[] for _ in every]
+                rows, step = np.array([place[s] for s in r["sources"]]), max(1, cells // len(every))
                 for a in range(0, len(terms), step):
                     dense = np.zeros((len(every), min(step, len(terms) - a)), np.int64)
                     dense[rows] = found[:, a : a + step]
-                    p, q = share(dense, totals[:, None], kept), share(dense.sum(0), totals.sum(), kept)
-                    for j in range(len(every)):
-                        pair[:, j] += excess(p, p[j]).sum(1)
-                    over = np.where((dense > 0) & (p > q), excess(p, q), -1)
-                    for i in range(len(every)):
-                        at = np.flatnonzero(over[i] >= 0)
-                        at = at[np.argsort(-over[i][at], kind="stable")[:top]]  # equal values: the smaller id, which is the smaller term
-                        best[i] += zip(over[i][at].tolist(), (at + a).tolist())
-                out: dict[str, list] = {k: [] for k in _PARTS_ARROW.names}
-                for i, s in enumerate(every):
-                    own = sorted(best[i], key=lambda x: (-x[0], x[1]))[:top]
-                    others = [j for j in range(len(every)) if j != i]
-                    out["source"] += [s] * (len(own) + len(others))
-                    out["part"] += ["pair"] * len(others) + ["term"] * len(own)
-                    out["item"] += [every[j] for j in others] + [terms[k] for _, k in own]
-                    out["value"] += pair[i, others].tolist() + [v for v, _ in own]
-                out["lang"] = [r["lang"]] * len(out["value"])
-                yield pa.RecordBatch.from_pydict(out, schema=_PARTS_ARROW)
+                    best.take(share(dense, totals[:, None], kept), share(dense.sum(0), totals.sum(), kept), dense > 0, terms[a : a + step])
+        for lang, best in known.items():
+            yield from best.rows(lang)
 
     return run
 
