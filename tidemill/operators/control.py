@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 FALLBACK_BELOW, CASCADE_AT = 5, 10
 
 
-def page_stop(pages: DataFrame, task: list[str], page: str, ok: str, full: str) -> DataFrame:
-    """A page is kept if it succeeded and all pages before it succeeded and were full; a short page is the last."""
-    before = Window.partitionBy(*task).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    go = F.coalesce(F.min((F.col(ok) & F.col(full)).cast("int")).over(before), F.lit(1)) == 1
-    return pages.withColumn("_go", go & F.col(ok)).where("_go").drop("_go")
+def asked_pages(pages: DataFrame, task: list[str], page: str, full: Column, first: int = 1) -> DataFrame:
+    """The pages that are asked for at all: all pages from `first` up to them are there, succeeded and were full.
+
+    A page without a row counts as failed, so nothing behind a gap is asked for. full: whether a page
+    succeeded and was full (null: no). Rows of the same page are asked for together."""
+    order = Window.partitionBy(*task).orderBy(page)
+    before = order.rangeBetween(Window.unboundedPreceding, -1)
+    go = F.coalesce(F.min(F.coalesce(full, F.lit(False)).cast("int")).over(before), F.lit(1)) == 1
+    return pages.withColumn("_go", go & (F.dense_rank().over(order) == F.col(page) - (first - 1))).where("_go").drop("_go")
+
+
+def page_stop(pages: DataFrame, task: list[str], page: str, ok: str, full: str, first: int = 1) -> DataFrame:
+    """A page is kept if it succeeded and all pages before it are there, succeeded and were full; a short page is the last."""
+    return asked_pages(pages, task, page, F.col(ok) & F.col(full), first).where(ok)
 
 
 def cascade(steps: DataFrame, task: list[str], step: str, n: str, enough: int = CASCADE_AT) -> DataFrame:
@@ -21,11 +30,15 @@ def cascade(steps: DataFrame, task: list[str], step: str, n: str, enough: int =
     return steps.withColumn("_before", F.coalesce(F.sum(n).over(before), F.lit(0))).where(F.col("_before") < enough).drop("_before")
 
 
+def few(rows: DataFrame, tasks: DataFrame, task: list[str], below: int = FALLBACK_BELOW) -> DataFrame:
+    """The tasks that have fewer than `below` rows, none included."""
+    counts = tasks.select(*task).join(rows.groupBy(*task).agg(F.count("*").alias("_n")), task, "left")
+    return counts.where(F.coalesce("_n", F.lit(0)) < below).select(*task)
+
+
 def with_fallback(primary: DataFrame, fallback: DataFrame, tasks: DataFrame, task: list[str], below: int = FALLBACK_BELOW) -> DataFrame:
     """Primary rows, and the fallback rows of each task that has fewer than `below` of them, none included."""
-    counts = tasks.select(*task).join(primary.groupBy(*task).agg(F.count("*").alias("_n")), task, "left")
-    few = counts.where(F.coalesce("_n", F.lit(0)) < below).select(*task)
-    return primary.unionByName(fallback.join(few, task, "left_semi"))
+    return primary.unionByName(fallback.join(few(primary, tasks, task, below), task, "left_semi"))
 
 
 def ordered_distinct(df: DataFrame, value: str, order: str) -> DataFrame:

@@ -14,15 +14,21 @@ FIELDS = ("id", "title", "text", "time", "source", "url")
 RECORD = T.StructType([T.StructField("id", T.LongType()), *[T.StructField(f, T.StringType()) for f in FIELDS[1:]]])
 
 
+def raw_fields(df: DataFrame, title: Column, text: Column, source: Column, time: Column | None = None, url: Column | None = None, seq: Column | None = None, entities: bool = True) -> DataFrame:
+    """The five fields as they came, and seq, the place in the order of collection."""
+    fields = {"title": title, "text": text, "time": F.lit("") if time is None else time.cast("string"), "source": source, "url": F.lit("") if url is None else url}
+    return df.select(*[c.alias(n) for n, c in fields.items()], *([] if seq is None else [seq.alias("seq")]))
+
+
+def cleaned(raw: DataFrame, entities: bool = True) -> DataFrame:
+    """Records of raw_fields(): id (null), the five fields cleaned, and seq where there is one."""
+    fields = [clean_text(F.col(c), entities).alias(c) if c != "time" else normalize_time(F.col(c)).alias(c) for c in FIELDS[1:]]
+    return raw.select(F.lit(None).cast("long").alias("id"), *fields, *[c for c in raw.columns if c not in FIELDS])
+
+
 def make_record(df: DataFrame, title: Column, text: Column, source: Column, time: Column | None = None, url: Column | None = None, seq: Column | None = None, entities: bool = True) -> DataFrame:
     """id (null), the five fields, and seq, the place in the order of collection."""
-    time, url = F.lit("") if time is None else time, F.lit("") if url is None else url
-    fields = [
-        F.lit(None).cast("long").alias("id"),
-        clean_text(title, entities).alias("title"), clean_text(text, entities).alias("text"), normalize_time(time).alias("time"),
-        clean_text(source, entities).alias("source"), clean_text(url, entities).alias("url"),
-    ]
-    return df.select(*fields, *([] if seq is None else [seq.alias("seq")]))
+    return cleaned(raw_fields(df, title, text, source, time, url, seq), entities)
 
 
 def with_content(records: DataFrame) -> DataFrame:

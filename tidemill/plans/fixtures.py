@@ -144,3 +144,74 @@ def directory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     item = F.struct(F.col("page_id").alias("id"), name.alias("name"), F.concat(F.lit("l"), n).alias("label"), F.when(F.pmod("page_id", F.lit(3)) == 0, F.lit("")).otherwise(F.col("url")).alias("url"), F.col("url").alias("homepage"), F.col("word").alias("domain"), F.lit("CN").alias("pub_country"), F.lit("zh").alias("primary_language"))
     found = p.select("word", (F.row_number().over(Window.partitionBy("word").orderBy("page_id")) - 1).alias("item_ix"), item.alias("item"))
     return p.select(F.col("page_id").alias("ord"), F.lit("").alias("category"), "word"), found
+
+
+#: States of a page in paged_answers(), by (7 * doc_id + task) modulo 23; those from 7 on are full.
+FAILED, MISSING, BROKEN, REFUSED, EMPTY, NULL, SHORT, STATES, PAGES_OF_TASK = 0, 1, 2, 3, 4, 5, 6, 23, 5
+PAGED = ("newsapi", "currents", "mediacloud")
+
+
+def paged_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Answers of the services that are paged, and the tasks: five documents are the pages of a task, whose number goes by platforms in turn.
+
+    A page has as many hits as the service gives; the first has the document's whole text. Some pages failed, are missing, are no JSON,
+    are refused, are empty, have null for their hits, or are short."""
+    d = documents(spark, sf_dir).withColumn("task", F.expr(f"doc_id div {PAGES_OF_TASK}")).withColumn("state", F.pmod(7 * F.col("doc_id") + F.col("task"), F.lit(STATES)))
+    platform_ix = F.pmod("task", F.lit(len(PAGED))).cast("int")
+    platform = F.element_at(F.array(*map(F.lit, PAGED)), platform_ix + 1)
+    t, s, state = F.substring("text", 1, 50), F.col("source"), F.col("state")
+    size = F.element_at(F.array(F.lit(100), F.lit(20), F.lit(3)), platform_ix + 1)
+    n = F.when(state == EMPTY, 0).when(state == SHORT, 1 + F.pmod("doc_id", F.lit(3))).otherwise(size).cast("int")
+
+    def hit(i):
+        number = i.cast("string")
+        title, body = F.concat(t, F.lit(" #"), number), F.when(i == 1, F.col("text")).otherwise(F.concat(F.lit("hit "), number))
+        url = F.concat(F.lit("https://p.example/"), F.col("doc_id").cast("string"), F.lit("/"), number)
+        return F.struct(title.alias("title"), body.alias("description"), url.alias("url"), s.alias("author"), s.alias("media_name"), F.struct(s.alias("name")).alias("source"))
+
+    hits = F.to_json(F.slice(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), hit), F.lit(1), n))
+    hits = F.when(state == NULL, "null").otherwise(hits)
+    name = F.element_at(F.array(F.lit("articles"), F.lit("news"), F.lit("stories")), platform_ix + 1)
+    status, token = F.when(state == REFUSED, "error").otherwise("ok"), F.when(state == SHORT, "").otherwise("next")
+    whole = F.format_string('{"status": "%s", "pagination_token": "%s", "%s": %s}', status, token, name, hits)
+    none = (state == FAILED) | ((state == REFUSED) & (platform == "mediacloud"))
+    payload = F.when(none, F.lit(None).cast("string")).when(state == BROKEN, F.substring(whole, 1, 30)).otherwise(whole)
+    made = d.where(state != MISSING).select(
+        F.col("task").cast("string").alias("keyword"), platform.alias("platform"), F.lit(0).alias("step"), (F.pmod("doc_id", F.lit(PAGES_OF_TASK)) + 1).cast("int").alias("page"), payload.alias("payload"), F.when(none, "TimeoutError").alias("error")
+    )
+    tasks = d.select(F.col("task").alias("keyword_ix"), F.col("task").cast("string").alias("keyword"), platform_ix.alias("platform_ix"), platform.alias("platform")).distinct()
+    return made, tasks
+
+
+GROUPED, IN_GROUP = ("zhihu", "toutiao", "weibo", "sitenews"), 18
+
+
+def grouped_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Answers and tasks on both sides of the thresholds: 18 documents are a task, its platform one of four in turn.
+
+    The first 0 to 8 of them are a platform's own hits, the rest those of the first two engines in turn; of a media site's
+    three searches the first finds 5 to 13, the second the next three, the last the rest."""
+    d = documents(spark, sf_dir).select("doc_id", F.expr(f"doc_id div {IN_GROUP}").alias("task"), F.pmod("doc_id", F.lit(IN_GROUP)).alias("at"))
+    which, some = F.pmod("task", F.lit(len(GROUPED))).cast("int"), F.pmod(F.expr(f"task div {len(GROUPED)}"), F.lit(9))
+    d = d.withColumn("which", which).withColumn("some", some)
+    own = F.col("at") < F.col("some")
+
+    def pages(made: DataFrame, platform: str, keep, step, piece, frame: tuple[str, str], between: str = "") -> DataFrame:
+        rows = d.where(F.col("which") == GROUPED.index(platform)).where(keep).join(made, "doc_id").select("task", step.cast("int").alias("step"), F.struct("at", piece.alias("piece")).alias("p"))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["piece"]), between)
+        return rows.groupBy("task", "step").agg(F.concat(F.lit(frame[0]), joined, F.lit(frame[1])).alias("payload")).select(
+            F.col("task").cast("string").alias("keyword"), F.lit(platform).alias("platform"), "step", F.lit(1).alias("page"), "payload", F.lit(None).cast("string").alias("error")
+        )
+
+    one = F.lit(0)
+    parts = [pages(json_payloads(spark, sf_dir, p), p, own, one, F.get_json_object("payload", "$.data[0]"), ('{"data": [', "]}"), ",") for p in ("zhihu", "toutiao")]
+    parts.append(pages(result_pages(spark, sf_dir, "weibo"), "weibo", own, one, F.col("page"), ("", "")))
+    for platform in GROUPED[:3]:
+        for i, engine in enumerate(ENGINES[:2]):
+            found = result_pages(spark, sf_dir, engine, F.lit(FALLBACK_DOMAINS[platform][0]))
+            parts.append(pages(found, platform, ~own & (F.pmod("at", F.lit(2)) == i), F.lit(i + 1), F.col("page"), ("", "")))
+    entry = F.regexp_extract("feed", "(?s)<channel>(.*)</channel>", 1)
+    search = F.when(F.col("at") < F.col("some") + 5, 0).when(F.col("at") < F.col("some") + 8, 1).otherwise(2)
+    parts.append(pages(feeds(spark, sf_dir), "sitenews", F.lit(True), search, entry, ("<rss><channel>", "</channel></rss>")))
+    names = F.element_at(F.array(*map(F.lit, GROUPED)), F.col("which") + 1)
+    return reduce(DataFrame.unionByName, parts), d.select(F.col("task").alias("keyword_ix"), F.col("task").cast("string").alias("keyword"), F.col("which").alias("platform_ix"), names.alias("platform")).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import absolute_url, clean_text, domain_hit, first_truthy, joined_url, label_hit, light_strip, netloc
-from ..operators.records import make_record, with_content
+from ..operators.records import make_record, raw_fields, with_content
 
 #: The shapes of the services' answers.
 SCHEMAS = {
@@ -44,8 +44,8 @@ def _number(c: Column) -> Column:
     return F.nullif(c, F.lit(0)).cast("string")
 
 
-def extract(hits: DataFrame, connector: str, seq: Column | None = None, entities: bool = True, detail: Column | None = None) -> DataFrame:
-    """Records (make_record) of a connector's items. detail: the text of a news hit's article, which goes before its title."""
+def extract(hits: DataFrame, connector: str, seq: Column | None = None, entities: bool = True, detail: Column | None = None, make=make_record) -> DataFrame:
+    """Records (make: make_record, or raw_fields for later) of a connector's items. detail: the text of a news hit's article, which goes before its title."""
     i = lambda name: F.col(f"item.{name}")
     title, text, time, where = first_truthy(i("title")) if connector != "zhihu" else None, None, None, None
     if connector == "news":
@@ -99,7 +99,7 @@ def extract(hits: DataFrame, connector: str, seq: Column | None = None, entities
         title, text = first_truthy(title, F.substring(body, 1, 50)), first_truthy(body, title)
     else:
         raise ValueError(f"unknown connector: {connector}")
-    out = make_record(hits, title, text, source, time, where, seq, entities)
+    out = make(hits, title, text, source, time, where, seq, entities)
     return with_content(out) if connector in ("zhihu", "toutiao") else out
 
 
@@ -120,7 +120,7 @@ def html_items(pages: DataFrame, engine: str, page: str = "page") -> DataFrame:
     return pages.select(*keep, F.posexplode(read(F.col(page))).alias("item_ix", "item"))
 
 
-def search_records(hits: DataFrame, engine: str, platform: str, domains: list[str], seq: Column | None = None) -> DataFrame:
+def search_records(hits: DataFrame, engine: str, platform: str, domains: list[str], seq: Column | None = None, make=make_record) -> DataFrame:
     """Records of a search engine's hits that have a title and a wanted domain; the third engine also takes a domain's label in the text."""
     title, where = clean_text(F.col("item.title")), F.coalesce(F.col("item.url"), F.lit(""))
     snippet = first_truthy(clean_text(F.col("item.snippet")), title)
@@ -129,13 +129,13 @@ def search_records(hits: DataFrame, engine: str, platform: str, domains: list[st
         wanted = wanted | label_hit(F.concat(title, snippet), domains)
         snippet = first_truthy(F.substring(snippet, 1, 300), title)
     kept = hits.where((title != "") & wanted)
-    return make_record(kept, title, snippet, F.lit(f"{platform}-搜索索引"), F.lit(""), where, seq)
+    return make(kept, title, snippet, F.lit(f"{platform}-搜索索引"), F.lit(""), where, seq)
 
 
-def weibo_records(hits: DataFrame, seq: Column | None = None) -> DataFrame:
+def weibo_records(hits: DataFrame, seq: Column | None = None, make=make_record) -> DataFrame:
     text, name = clean_text(F.col("item.snippet")), clean_text(F.col("item.name"))
     kept = hits.where(text != "")
-    return make_record(kept, F.substring(text, 1, 50), text, F.when(name == "", "微博").otherwise(F.concat(F.lit("微博-"), name)), clean_text(F.col("item.time")), joined_url(F.col("item.url"), "https://weibo.com"), seq)
+    return make(kept, F.substring(text, 1, 50), text, F.when(name == "", "微博").otherwise(F.concat(F.lit("微博-"), name)), clean_text(F.col("item.time")), joined_url(F.col("item.url"), "https://weibo.com"), seq)
 
 
 # -------------------------------------------------------------------- RSS
@@ -149,7 +149,7 @@ def rss_items(feeds: DataFrame, feed: str = "feed") -> DataFrame:
     return feeds.withColumn("_f", F.from_xml(F.col(feed), RSS)).select(*keep, F.posexplode("_f.channel.item").alias("item_ix", "item"))
 
 
-def rss_records(hits: DataFrame, source: Column, light: bool = False, seq: Column | None = None, entities: bool = True) -> DataFrame:
+def rss_records(hits: DataFrame, source: Column, light: bool = False, seq: Column | None = None, entities: bool = True, make=make_record) -> DataFrame:
     """Records of feed entries; `light` strips markup first, as the site search does."""
     i = lambda name: F.col(f"item.{name}")
     title = first_truthy(i("title"))
@@ -158,4 +158,4 @@ def rss_records(hits: DataFrame, source: Column, light: bool = False, seq: Colum
         title, text = light_strip(title), light_strip(text)
     own = F.struct(title.alias("title"), text.alias("text"))
     some = hits.withColumn("_own", F.explode(F.filter(F.array(own), lambda x: (x["title"] != "") | (x["text"] != ""))))
-    return make_record(some, F.col("_own.title"), F.col("_own.text"), source, first_truthy(i("published"), i("pubDate"), i("updated")), first_truthy(i("link")), seq, entities)
+    return make(some, F.col("_own.title"), F.col("_own.text"), source, first_truthy(i("published"), i("pubDate"), i("updated")), first_truthy(i("link")), seq, entities)
