@@ -175,3 +175,46 @@ def test_directory(spark):
     assert results.count() == 12 and directory.id_setting(results).first()["ids"] == "7,6,5,4,3,2,1"
     assert tuple(directory.show_items(results, 1).orderBy("ord").first())[3:7] == (7, "L", "L", "h")
     assert directory.collection_words(spark).count() == 5
+
+
+def _paged(platform, n, status="ok", token="t"):
+    key = {"newsapi": "articles", "currents": "news", "mediacloud": "stories"}[platform]
+    hits = n if n is None else [{"title": f"t{i}", "description": "d", "media_name": "M"} for i in range(n)]
+    return {"status": status, "pagination_token": token, key: hits}
+
+
+@pytest.mark.parametrize("platform, full", [("newsapi", 100), ("currents", 20), ("mediacloud", 3)])
+def test_nothing_behind_a_page_that_failed_is_missing_or_broken(spark, platform, full):
+    page = lambda n, **more: _paged(platform, n, **more)
+    last = page(2, token=None)
+    cases = {
+        "all": ([page(full), page(full), last], 2 * full + 2), "failed first": ([None, page(full), page(full)], 0), "failed second": ([page(full), None, page(full)], full),
+        "broken": ([page(full), '{"status": "ok", ', page(full)], full), "missing first": (["missing", page(full)], 0), "missing second": ([page(full), "missing", page(full)], full),
+        "empty": ([page(full), page(0), page(full)], full), "short": ([last, page(full)], 2), "null": ([page(full), page(None)], 0), "null behind the stop": ([last, page(None)], 2),
+        "no object": ([page(full), "[1]"], 0), "text for hits": ([page(full), page(full) | dict.fromkeys(("articles", "news", "stories"), "x")], 0), "a hit that is no object": ([page(full) | dict.fromkeys(("articles", "news", "stories"), [3])], 0),
+    }
+    if platform != "mediacloud":
+        cases["refused"] = ([page(full), page(full, status="error"), page(full)], full)
+        cases["refused with null"] = ([page(full), page(None, status="error")], full)
+    rows = [answer(name, platform, 0, i, p) for name, (pages, _) in cases.items() for i, p in enumerate(pages, 1) if p != "missing"]
+    wanted = spec.CollectSpec(tuple(cases), 3, (platform,))
+    got = collect.platform_records(spark.createDataFrame(rows, collect.ANSWERS), spec.tasks(spark, wanted), wanted).groupBy("seq.keyword_ix").count().collect()
+    counts = {tuple(cases)[r[0]]: r[1] for r in got}
+    assert {k: counts.get(k, 0) for k in cases} == {k: n for k, (_, n) in cases.items()}
+
+
+def test_hits_that_make_a_connector_raise(spark):
+    rows = [
+        answer("k", "mediacloud", 0, 1, {"stories": [{"title": "a", "media": None}]}), answer("m", "mediacloud", 0, 1, {"stories": [{"title": "b", "media_name": "M", "media": None}, {"title": "c"}]}),
+        answer("k", "toutiao", 0, 1, {"data": [{"title": "a", "abstract": "x", "display": None}]}), answer("m", "toutiao", 0, 1, {"data": [{"title": "a", "display": None}, {"title": "b"}]}),
+        answer("k", "bilibili", 0, 1, {"data": {"result": None}}), answer("k", "bilibili", 0, 2, {"data": {"result": [{"title": "d"}]}}), answer("m", "bilibili", 0, 1, {"data": {"result": ["x"]}}),
+        answer("k", "zhihu", 0, 1, {"data": None}), answer("m", "zhihu", 0, 1, {"data": [{"object": None}, {"object": {"title": "z"}}]}),
+    ]
+    got = sorted((r["seq"]["keyword_ix"], r["title"]) for r in records(spark, rows))
+    assert got == [(0, "a"), (0, "d"), (1, "b"), (1, "c"), (1, "z"), (1, "知乎内容")]
+
+
+def test_page_stop_with_gaps_and_twins(spark):
+    rows = [("a", 1, True, True), ("a", 3, True, True), ("b", 2, True, True), ("c", 1, True, True), ("c", 1, True, True), ("c", 2, True, False), ("c", 3, True, True), ("d", 1, None, None), ("d", 2, True, True)]
+    got = control.page_stop(spark.createDataFrame(rows, "t string, p int, ok boolean, full boolean"), ["t"], "p", "ok", "full").collect()
+    assert sorted((r["t"], r["p"]) for r in got) == [("a", 1), ("c", 1), ("c", 1), ("c", 2)]

@@ -69,7 +69,6 @@ def extract(hits: DataFrame, connector: str, seq: Column | None = None, entities
         time, where = i("pubdate").cast("string"), absolute_url(i("arcurl"))
     elif connector == "zhihu":
         o = lambda name: F.col(f"item.object.{name}")
-        hits = hits.where(o("type").isNotNull() | F.col("item.object").isNotNull())
         kind = F.coalesce(o("type"), F.lit(""))
         asked = first_truthy(o("question.name"), o("question.title"), default="知乎回答")
         title = (
