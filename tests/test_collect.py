@@ -97,6 +97,14 @@ def test_run_from_files_to_snapshot(spark, tmp_path):
     assert tuple(collect.run(spark, wanted, again, out, AT + datetime.timedelta(days=1)).first()) == (2, 4)
     total = files.read_snapshot(spark, f"{out}/raw_snapshot").orderBy("id").collect()
     assert [(r["id"], r["title"]) for r in total] == [(10001, "a"), (10002, "b"), (10003, "标题"), (10004, "c")]
+    for name in ("raw_20260701_103000.json", "raw.json", "raw_snapshot", "raw_batches"):
+        found = audit.report(spark, f"{out}/{name}")
+        n = {"raw_20260701_103000.json": 3, "raw_batches": 5}.get(name, 4)
+        assert (found["records"], found["complete"]) == (n, True) and sum(r["n"] for r in found["families"].collect()) == n
+        assert name == "raw_batches" or [r["id"] for r in found["head"].collect()] == [10001, 10002, 10003]
+    assert json.loads((tmp_path / "out" / "raw.json").read_text()) == [r.asDict() for r in total]
+    assert (tmp_path / "out" / "raw.json").read_text() == json.dumps([r.asDict() for r in total], ensure_ascii=False, indent=2)
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.endswith((".parts", ".new", ".crc"))]
     for name in ("raw_20260701_103000.json", "raw_20260701_103000.jsonl", "raw_20260701_103000.csv", "raw.json", "raw.csv"):
         assert (tmp_path / "out" / name).exists()
     assert [r["title"] for r in files.read_history(spark, f"{out}/raw.json").orderBy("id").collect()] == ["a", "b", "标题", "c"]
@@ -110,6 +118,44 @@ def test_audit_of_nothing_fails(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         audit.report(spark, str(tmp_path / "none.jsonl"))
     assert command.main(["audit"]) == 2
+    (tmp_path / "broken.json").write_text('[{"id": 1}')
+    (tmp_path / "text.json").write_text("hello")
+    for name in ("broken.json", "text.json"):
+        with pytest.raises(ValueError):
+            audit.report(spark, str(tmp_path / name))
+    (tmp_path / "few.json").write_text('[{"id": 1, "source": "b-x"}, {"source": null}, {"id": 3, "source": "b-y", "title": "", "text": "", "time": "", "url": ""}]')
+    found = audit.report(spark, str(tmp_path / "few.json"))
+    assert (found["records"], found["complete"]) == (3, False) and [(r["family"], r["n"]) for r in found["families"].collect()] == [("b", 2), ("未知", 1)]
+
+
+def test_commands(spark, tmp_path, capsys):
+    (tmp_path / "answers/k/news").mkdir(parents=True)
+    (tmp_path / "answers/_articles").mkdir()
+    (tmp_path / "answers/k/news/0-1.json").write_text(json.dumps(news("a", "b")))
+    (tmp_path / "answers/_articles/a.jsonl").write_text(json.dumps({"url": "https://h/a", "html": "<p>An article that is long enough.</p>"}) + "\n")
+    out = str(tmp_path / "out")
+    assert command.main(["collect", str(tmp_path / "answers"), out, "--keywords", "k", "--platforms", "news", "--fetch-news-detail", "--output-prefix", "x"]) == 0
+    assert [r["text"] for r in json.loads((tmp_path / "out/x.json").read_text())] == ["An article that is long enough.", "b"]
+    assert command.main(["audit", f"{out}/x.json"]) == 0 and command.main(["audit", f"{out}/x_snapshot"]) == 0 and command.main(["audit", f"{out}/none"]) == 1
+    (tmp_path / "words.txt").write_text('# one\n"a.cn",\n"b.cn",\n"a.cn",\n')
+    (tmp_path / "found.jsonl").write_text("\n".join(json.dumps({"word": "a.cn", "item_ix": i, "item": {"id": 7 - i, "name": "n"}}) for i in range(3)))
+    capsys.readouterr()
+    assert command.main(["directory", str(tmp_path / "words.txt"), str(tmp_path / "found.jsonl")]) == 0
+    assert capsys.readouterr().out.strip().endswith("7,6,5")
+
+
+def test_exports_of_nothing_and_of_awkward_texts(spark, tmp_path):
+    rows = [(2, 'q"uote', "line\nbreak\t\x01\\", "", "中😀", None), (1, "", "comma, \r\n", "t", "s", "u"), (None, None, None, None, None, None)]
+    fields = "id long, title string, text string, time string, source string, url string"
+    files.export(spark.createDataFrame(rows, fields).repartition(3), str(tmp_path / "a"))
+    want = [dict(zip(files.FIELDS, r)) for r in sorted(rows, key=lambda r: r[0] or 0)]
+    assert json.loads((tmp_path / "a.json").read_text()) == want and [json.loads(x) for x in (tmp_path / "a.jsonl").read_text().split("\n")[:-1]] == want
+    import csv
+
+    with (tmp_path / "a.csv").open(encoding="utf-8-sig", newline="") as f:
+        assert [list(r.values()) for r in csv.DictReader(f)] == [["" if v is None else str(v) for v in r.values()] for r in want]
+    files.export(spark.createDataFrame([], fields), str(tmp_path / "a"))
+    assert (tmp_path / "a.json").read_text() == "[]" and (tmp_path / "a.jsonl").read_text() == "" and len((tmp_path / "a.csv").read_text(encoding="utf-8-sig").splitlines()) == 1
 
 
 def test_failures_by_task(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import exists as _exists
+from ..sources.json_array import array_objects
 from .records import FIELDS, RECORD
 
 UNKNOWN = "未知"
@@ -34,13 +35,57 @@ def summary(records: DataFrame, history: DataFrame | None = None) -> DataFrame:
     return out if history is None else out.crossJoin(history.agg(F.count("*").alias("history")))
 
 
+def _form(spark: SparkSession, path: str) -> str:
+    """What a run's artefact is: table (Parquet), array or lines (JSON), by its files' names or their first character."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    here = jvm.Path(path)
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    names, folders = [], [here]
+    if fs.getFileStatus(here).isDirectory():
+        while folders and not names:
+            for s in fs.listStatus(folders.pop(0)):
+                if s.isDirectory():
+                    folders.append(s.getPath())
+                elif s.getLen() and not s.getPath().getName().startswith(("_", ".")):
+                    names.append(s.getPath())
+    else:
+        names = [here]
+    if any(p.getName().endswith(".parquet") for p in names) or not names:
+        return "table"
+    stream = fs.open(names[0])
+    try:
+        first = stream.read()
+        while first in (0x20, 0x09, 0x0A, 0x0D):
+            first = stream.read()
+    finally:
+        stream.close()
+    return {0x5B: "array", 0x7B: "lines"}.get(first, "other")
+
+
 def report(spark: SparkSession, path: str, fields=FIELDS, top: int = 20, first: int = 3) -> dict[str, object]:
-    """What an audit of a snapshot of JSON lines says; a missing one is an error."""
+    """What an audit says of any artefact of a run: the JSON array, JSON lines (a file or a folder), the table of the snapshot or of batches.
+
+    A missing one is an error (FileNotFoundError), and so is one that is none of these, or an array that is broken (ValueError).
+    Rows stand in the order of the file, those of tables in that of their ids."""
     if not _exists(spark, path):
         raise FileNotFoundError(f"{path}: no snapshot; collect first")
-    lines = spark.read.text(path)
-    rows = spark.read.schema(RECORD).json(path)
-    return {
-        "records": lines.count(), "complete": not lines.where(~has_fields(F.col("value"), fields)).take(1),
-        "families": source_families(rows, top=top), "head": head(rows, first),
-    }
+    form, order = _form(spark, path), "id"
+    if form == "table":
+        rows = spark.read.parquet(path)
+        complete = set(fields) <= set(rows.columns)
+        records = rows.count()
+    elif form == "array":
+        objects, files = array_objects(spark, path)
+        if files.where("NOT whole").take(1):
+            raise ValueError(f"{path}: no array of records to its end")
+        order = "seq"
+        rows = objects.select(F.from_json("value", RECORD).alias("r"), F.struct("file", "begin", "at").alias("seq"), "value").select("r.*", "seq", "value")
+        records, complete = objects.count(), not objects.where(~has_fields(F.col("value"), fields)).take(1)
+    elif form == "lines":
+        lines = spark.read.text(path).where("trim(value) <> ''")
+        rows = lines.select(F.from_json("value", RECORD).alias("r"), F.monotonically_increasing_id().alias("seq")).select("r.*", "seq")
+        order = "seq"
+        records, complete = lines.count(), not lines.where(~has_fields(F.col("value"), fields)).take(1)
+    else:
+        raise ValueError(f"{path}: neither a table nor JSON records")
+    return {"records": records, "complete": complete, "families": source_families(rows, order, top), "head": head(rows, first, order).select(*[c for c in FIELDS if c in rows.columns])}

@@ -23,6 +23,20 @@ def parse_words(lines: DataFrame, line: str = "value", order: str = "ord") -> Da
     return named.where((F.col("word") != "") & ~F.col("word").startswith("#")).select("ord", F.coalesce("category", F.lit("")).alias("category"), "word")
 
 
+#: The fields of a directory's item that are looked at.
+ITEM = "struct<id: long, name: string, label: string, url: string, homepage: string, domain: string, pub_country: string, primary_language: string>"
+
+
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """parse_words() of a text file; its lines are numbered in the order in which they are read."""
+    return parse_words(spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()))
+
+
+def read_found(spark: SparkSession, path: str) -> DataFrame:
+    """word, item_ix, item: what was found, from JSON lines."""
+    return spark.read.schema(f"word string, item_ix int, item {ITEM}").json(path)
+
+
 def distinct_words(words: DataFrame) -> DataFrame:
     """Each word once, where it came first, and how often it is listed: a repeated word needs no second search."""
     return words.groupBy("word").agg(F.min("ord").alias("ord"), F.min_by("category", "ord").alias("category"), F.count("*").alias("times"))

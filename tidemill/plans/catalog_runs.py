@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import audit
+from ..scratch import scratch_dir
+from ..sources import files
 from . import collect as C
 from . import fixtures as X
 from . import spec as S
-from .catalog import _B, _EITHER, _T, _Z50, _clean, query
+from .catalog import _ALL, _B, _EITHER, _T, _Z50, _clean, _numbered, query
 
 
 @query("q48_paging", f"""
@@ -40,3 +46,26 @@ def q49(spark, d):
     answers, tasks = X.grouped_answers(spark, d)
     got = C.platform_records(answers, tasks, S.CollectSpec(platforms=X.GROUPED))
     return got.select(F.col("seq.keyword_ix").alias("task"), F.col("seq.step").alias("step"), "title", "text", "source")
+
+
+@query("q50_json_array", _ALL)
+def q50(spark, d):
+    """Records as one JSON array in a single file, written in parts side by side and read by byte ranges."""
+    prefix = f"{scratch_dir(spark)}/raw"
+    files.export(_numbered(spark, d), prefix, ("json",))
+    return files.read_history(spark, f"{prefix}.json")
+
+
+@query("q51_audit", """
+SELECT form, split_part(coalesce(nullif(source, ''), '未知'), '-', 1) AS family, count(*) AS n, (SELECT count(*) FROM documents) AS records, true AS complete
+FROM documents, (VALUES ('json'), ('jsonl'), ('table')) f(form) GROUP BY ALL""")
+def q51(spark, d):
+    """The audit of the same records as a JSON array, as JSON lines and as the snapshot's table: all families."""
+    prefix = f"{scratch_dir(spark)}/raw"
+    files.export(_numbered(spark, d), prefix, ("json", "jsonl"))
+    files.replace(_numbered(spark, d), f"{prefix}_snapshot")
+    out = []
+    for form, path in (("json", f"{prefix}.json"), ("jsonl", f"{prefix}.jsonl"), ("table", f"{prefix}_snapshot")):
+        found = audit.report(spark, path, top=1 << 30)
+        out.append(found["families"].select(F.lit(form).alias("form"), "family", "n", F.lit(found["records"]).alias("records"), F.lit(found["complete"]).alias("complete")))
+    return reduce(DataFrame.unionByName, out)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import article_text
 from ..operators import audit, control
 from ..operators.records import FIELDS, assign_ids, cleaned, deduplicate, make_record, merge, raw_fields
-from ..scratch import scratch_dir
+from ..scratch import exists, scratch_dir
 from ..sources import files
 from ..sources import payloads as P
 from ..sources.fetch import repaired_text
@@ -38,6 +38,12 @@ def read_answers(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def read_details(spark: SparkSession, root: str) -> DataFrame:
+    """url, html: articles stored beside the answers, as JSON lines in _articles/; none where there is no such folder."""
+    path, schema = f"{root.rstrip('/')}/_articles", "url string, html string"
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def by_platform(answers: DataFrame) -> DataFrame:
     """answers written once in a folder per platform, so that each connector reads its own."""
     spark = answers.sparkSession
