@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import article_text
 from ..operators import audit, control
 from ..operators.records import FIELDS, assign_ids, cleaned, deduplicate, make_record, merge, raw_fields
-from ..scratch import exists, scratch_dir
+from ..scratch import exists, materialise, scratch_dir
 from ..sources import files
 from ..sources import payloads as P
 from ..sources.fetch import repaired_text
@@ -204,8 +204,11 @@ def site_search(pages: DataFrame, label: str, domains: list[str]) -> DataFrame:
 
 
 def collect(answers: DataFrame, tasks: DataFrame, spec: S.CollectSpec, details: DataFrame | None = None) -> DataFrame:
-    """The numbered batch: id, the five fields."""
-    return assign_ids(deduplicate(platform_records(answers, tasks, spec, details)), start=spec.start_id).select(*FIELDS)
+    """The numbered batch: id, the five fields.
+
+    Records are written before they are numbered: the numbering ranges them by a sample first, which would read all answers twice."""
+    found = materialise(platform_records(answers, tasks, spec, details))
+    return assign_ids(deduplicate(found), start=spec.start_id).select(*FIELDS)
 
 
 def run(spark: SparkSession, spec: S.CollectSpec, answers: DataFrame, out: str, at: datetime.datetime, details: DataFrame | None = None, exports: bool = True) -> DataFrame:
