@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import exists as _exists
 from ..sources.json_array import array_objects
+from ..sources.store import Store, is_store
 from .records import FIELDS, RECORD
 
 UNKNOWN = "未知"
@@ -69,9 +70,9 @@ def report(spark: SparkSession, path: str, fields=FIELDS, top: int = 20, first:
     Rows stand in the order of the file, those of tables in that of their ids."""
     if not _exists(spark, path):
         raise FileNotFoundError(f"{path}: no snapshot; collect first")
-    form, order = _form(spark, path), "id"
+    form, order = "table" if is_store(spark, path) else _form(spark, path), "id"
     if form == "table":
-        rows = spark.read.parquet(path)
+        rows = Store(spark, path).records() if is_store(spark, path) else spark.read.parquet(path)
         complete = set(fields) <= set(rows.columns)
         records = rows.count()
     elif form == "array":

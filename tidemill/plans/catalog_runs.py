@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..operators import audit
 from ..scratch import scratch_dir
 from ..sources import files
+from ..sources.store import Store
 from . import collect as C
 from . import fixtures as X
 from . import spec as S
-from .catalog import _ALL, _B, _EITHER, _T, _Z50, _clean, _numbered, query
+from .catalog import _ALL, _B, _EITHER, _MERGED, _T, _Z50, _clean, _numbered, query
 
 
 @query("q48_paging", f"""
@@ -69,3 +70,12 @@ def q51(spark, d):
         found = audit.report(spark, path, top=1 << 30)
         out.append(found["families"].select(F.lit(form).alias("form"), "family", "n", F.lit(found["records"]).alias("records"), F.lit(found["complete"]).alias("complete")))
     return reduce(DataFrame.unionByName, out)
+
+
+@query("q52_store_merge", _MERGED)
+def q52(spark, d):
+    """History and batch one after the other into a snapshot that grows; the second merge reads the first one's keys only."""
+    store = Store(spark, scratch_dir(spark))
+    for part in X.history_and_batch(spark, d):
+        store.merge(part.withColumn("seq", F.col("id")))
+    return store.records()

@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import article_text
-from ..operators import audit, control
-from ..operators.records import FIELDS, assign_ids, cleaned, deduplicate, make_record, merge, raw_fields
-from ..scratch import exists, materialise, scratch_dir
+from ..operators import control
+from ..operators.records import FIELDS, RECORD, assign_ids, cleaned, deduplicate, make_record, raw_fields
+from ..scratch import aside, exists, materialise, scratch_dir
 from ..sources import files
 from ..sources import payloads as P
 from ..sources.fetch import repaired_text
+from ..sources.store import Store, is_store, restart
 from . import spec as S
 
 ANSWERS = "keyword string, platform string, step int, page int, payload string, error string"
@@ -48,7 +49,7 @@ def by_platform(answers: DataFrame) -> DataFrame:
     """answers written once in a folder per platform, so that each connector reads its own."""
     spark = answers.sparkSession
     path = scratch_dir(spark)
-    answers.write.partitionBy("platform").parquet(path)
+    answers.write.partitionBy("platform").option("compression", "zstd").parquet(path)
     return spark.read.schema(answers.schema).parquet(path)
 
 
@@ -113,17 +114,19 @@ def _stopped(pages: DataFrame, platform: str) -> DataFrame:
     """The hits (item_ix, item) of pages up to the first that is missing, failed or was empty, and none behind a page that was not full.
 
     A task gives nothing if a page that is asked for makes its connector raise."""
-    items = F.from_json("payload", P.SCHEMAS[platform])[P.ITEMS[platform]]
+    size = F.size(F.from_json("payload", P.SCHEMAS[platform])[P.ITEMS[platform]])
     read = F.try_parse_json("payload").isNotNull()
     if platform == "mediacloud":
-        more = F.coalesce(F.get_json_object("payload", "$.pagination_token"), F.lit("")) != ""
+        more, void = F.coalesce(F.get_json_object("payload", "$.pagination_token"), F.lit("")) != "", read & raises(platform)
     else:
-        read, more = read & (F.coalesce(F.get_json_object("payload", "$.status"), F.lit("")) == "ok"), F.size("_items") >= S.FULL_PAGE[platform]
-    marked = pages.withColumn("_items", items).withColumn("_raises", read & raises(platform) if platform == "mediacloud" else raises(platform) & (read | ~_kind(F.try_parse_json("payload")).startswith("OBJECT")))
-    marked = marked.withColumn("_ok", F.coalesce(read & (F.coalesce(F.size("_items"), F.lit(0)) > 0), F.lit(False))).withColumn("_full", F.col("_ok") & F.coalesce(more, F.lit(False)))
-    asked = control.asked_pages(marked.select(*SEQ[:4], "_items", "_ok", "_full", "_raises"), [*TASK, "step"], "page", F.col("_full"))
+        other = ~_kind(F.try_parse_json("payload")).startswith("OBJECT")
+        read = read & (F.coalesce(F.get_json_object("payload", "$.status"), F.lit("")) == "ok")
+        more, void = F.col("_size") >= S.FULL_PAGE[platform], raises(platform) & (read | other)
+    marked = pages.withColumn("_size", F.coalesce(size, F.lit(0))).withColumn("_raises", void)
+    marked = marked.withColumn("_ok", F.coalesce(read & (F.col("_size") > 0), F.lit(False))).withColumn("_full", F.col("_ok") & F.coalesce(more, F.lit(False)))
+    asked = control.asked_pages(marked.select(*SEQ[:4], "payload", "_ok", "_full", "_raises"), [*TASK, "step"], "page", F.col("_full"))
     whole = asked.withColumn("_void", F.max("_raises").over(Window.partitionBy(*TASK, "step"))).where("_ok AND NOT _void")
-    return whole.select(*SEQ[:4], F.posexplode("_items").alias("item_ix", "item"))
+    return P.items(whole.select(*SEQ[:4], "payload"), platform)
 
 
 def prepared(answers: DataFrame, tasks: DataFrame, spec: S.CollectSpec) -> DataFrame:
@@ -218,11 +221,24 @@ def run(spark: SparkSession, spec: S.CollectSpec, answers: DataFrame, out: str,
     prefix = f"{out.rstrip('/')}/{spec.output_prefix}"
     name = files.batch_name(prefix, at)
     files.write_table(collect(answers, S.tasks(spark, spec), spec, details), f"{prefix}_batches", f"{at:%Y%m%d_%H%M%S}")
-    batch = spark.read.parquet(f"{prefix}_batches/batch_id={at:%Y%m%d_%H%M%S}")
-    history = files.read_snapshot(spark, f"{prefix}_snapshot")
-    files.replace(merge(history, batch, spec.start_id, spec.reset), f"{prefix}_snapshot")
-    merged = files.read_snapshot(spark, f"{prefix}_snapshot")
+    batch = spark.read.schema(RECORD).parquet(f"{prefix}_batches/batch_id={at:%Y%m%d_%H%M%S}")
+    total = add_to_snapshot(spark, batch, f"{prefix}_snapshot", spec)
     if exports:
         files.export(batch, name)
-        files.export(merged, prefix, ("json", "csv"))
-    return audit.summary(batch, merged).select(F.col("records").alias("collected"), F.col("history").alias("total"))
+        files.export(files.read_snapshot(spark, f"{prefix}_snapshot"), prefix, ("json", "csv"))
+    return batch.agg(F.count("*").alias("collected")).withColumn("total", F.lit(total).cast("long"))
+
+
+def add_to_snapshot(spark: SparkSession, batch: DataFrame, path: str, spec: S.CollectSpec) -> int:
+    """Adds a batch to the store at path, or starts it anew (reset); returns how many records it then has.
+
+    A snapshot that is a plain table, or was set aside by a run that died, becomes a store first."""
+    ordered = batch.withColumn("seq", F.col("id"))
+    if spec.reset:
+        return restart(spark, path, ordered, spec.start_id)
+    if not is_store(spark, path) and (exists(spark, path) or exists(spark, aside(path))):
+        old = files.read_snapshot(spark, path)
+        restart(spark, path, old.withColumn("seq", F.col("id")), spec.start_id)
+    store = Store(spark, path, spec.start_id)
+    store.merge(ordered)
+    return store.manifest()["records"]

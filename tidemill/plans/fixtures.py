@@ -191,13 +191,12 @@ def grouped_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
     The first 0 to 8 of them are a platform's own hits, the rest those of the first two engines in turn; of a media site's
     three searches the first finds 5 to 13, the second the next three, the last the rest."""
-    d = documents(spark, sf_dir).select("doc_id", F.expr(f"doc_id div {IN_GROUP}").alias("task"), F.pmod("doc_id", F.lit(IN_GROUP)).alias("at"))
-    which, some = F.pmod("task", F.lit(len(GROUPED))).cast("int"), F.pmod(F.expr(f"task div {len(GROUPED)}"), F.lit(9))
-    d = d.withColumn("which", which).withColumn("some", some)
-    own = F.col("at") < F.col("some")
+    task, at = F.expr(f"doc_id div {IN_GROUP}"), F.pmod("doc_id", F.lit(IN_GROUP))
+    which, some = F.pmod(task, F.lit(len(GROUPED))).cast("int"), F.pmod(F.expr(f"doc_id div {IN_GROUP * len(GROUPED)}"), F.lit(9))
+    own = at < some
 
     def pages(made: DataFrame, platform: str, keep, step, piece, frame: tuple[str, str], between: str = "") -> DataFrame:
-        rows = d.where(F.col("which") == GROUPED.index(platform)).where(keep).join(made, "doc_id").select("task", step.cast("int").alias("step"), F.struct("at", piece.alias("piece")).alias("p"))
+        rows = made.where((which == GROUPED.index(platform)) & keep).select(task.alias("task"), step.cast("int").alias("step"), F.struct(at.alias("at"), piece.alias("piece")).alias("p"))
         joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["piece"]), between)
         return rows.groupBy("task", "step").agg(F.concat(F.lit(frame[0]), joined, F.lit(frame[1])).alias("payload")).select(
             F.col("task").cast("string").alias("keyword"), F.lit(platform).alias("platform"), "step", F.lit(1).alias("page"), "payload", F.lit(None).cast("string").alias("error")
@@ -209,9 +208,10 @@ def grouped_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     for platform in GROUPED[:3]:
         for i, engine in enumerate(ENGINES[:2]):
             found = result_pages(spark, sf_dir, engine, F.lit(FALLBACK_DOMAINS[platform][0]))
-            parts.append(pages(found, platform, ~own & (F.pmod("at", F.lit(2)) == i), F.lit(i + 1), F.col("page"), ("", "")))
+            parts.append(pages(found, platform, ~own & (F.pmod(at, F.lit(2)) == i), F.lit(i + 1), F.col("page"), ("", "")))
     entry = F.regexp_extract("feed", "(?s)<channel>(.*)</channel>", 1)
-    search = F.when(F.col("at") < F.col("some") + 5, 0).when(F.col("at") < F.col("some") + 8, 1).otherwise(2)
+    search = F.when(at < some + 5, 0).when(at < some + 8, 1).otherwise(2)
     parts.append(pages(feeds(spark, sf_dir), "sitenews", F.lit(True), search, entry, ("<rss><channel>", "</channel></rss>")))
-    names = F.element_at(F.array(*map(F.lit, GROUPED)), F.col("which") + 1)
-    return reduce(DataFrame.unionByName, parts), d.select(F.col("task").alias("keyword_ix"), F.col("task").cast("string").alias("keyword"), F.col("which").alias("platform_ix"), names.alias("platform")).distinct()
+    names = F.element_at(F.array(*map(F.lit, GROUPED)), which + 1)
+    tasks = documents(spark, sf_dir).select(task.alias("keyword_ix"), task.cast("string").alias("keyword"), which.alias("platform_ix"), names.alias("platform"))
+    return reduce(DataFrame.unionByName, parts), tasks.distinct()

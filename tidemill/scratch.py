@@ -17,6 +17,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def aside(path: str) -> str:
+    """Where the old state of a folder stands while a new one takes its place."""
+    return f"{path.rstrip('/')}.previous"
+
+
+def move_into_place(spark: SparkSession, fresh: str, path: str) -> None:
+    """Renames the folder fresh to path; what was there is moved aside first and removed at last, so that one of both is whole at every moment."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    here, new, old = jvm.Path(path), jvm.Path(fresh), jvm.Path(aside(path))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(here):
+        fs.delete(old, True)
+        if not fs.rename(here, old):
+            raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, here):
+        raise OSError(f"cannot move the new snapshot to {path}")
+    fs.delete(old, True)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name under the shared folder that the session names; it is removed when the driver ends.
 

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.records import FIELDS, RECORD
+from ..scratch import aside, move_into_place
 from ..scratch import exists as _exists
 from .json_array import array_objects
+from .store import Store, is_store
 
 
 def array_records(spark: SparkSession, path: str) -> DataFrame:
@@ -44,32 +46,20 @@ def write_table(records: DataFrame, path: str, batch_id: str) -> None:
     records.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _aside(path: str) -> str:
-    return f"{path.rstrip('/')}.previous"
-
-
 def replace(records: DataFrame, path: str) -> None:
     """Overwrites a snapshot that `records` may itself read: written beside it, then renamed.
 
     At every moment the new or the old snapshot is whole, at `path` or beside it."""
-    spark = records.sparkSession
     fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}.new"
     records.write.parquet(fresh)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    here, new, old = jvm.Path(path), jvm.Path(fresh), jvm.Path(_aside(path))
-    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(here):
-        fs.delete(old, True)
-        if not fs.rename(here, old):
-            raise OSError(f"cannot move {path} aside")
-    if not fs.rename(new, here):
-        raise OSError(f"cannot move the new snapshot to {path}")
-    fs.delete(old, True)
+    move_into_place(records.sparkSession, fresh, path)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot at path, the one set aside where a crash left none there, or no records."""
-    for p in (path, _aside(path)):
+    """The snapshot at path (a table, or a store that grows), the one set aside where a crash left none there, or no records."""
+    for p in (path, aside(path)):
+        if is_store(spark, p):
+            return Store(spark, p).records()
         if _exists(spark, p):
             return spark.read.schema(RECORD).parquet(p)
     return spark.createDataFrame([], RECORD)
