@@ -28,14 +28,26 @@ OWN = ("weibo", "zhihu", "toutiao", "xiaohongshu")
 SEQ = ("keyword_ix", "platform_ix", "step", "page", "item_ix")
 
 
-def read_answers(spark: SparkSession, root: str) -> DataFrame:
-    """Answers of a folder in any store that Spark reads: <keyword>/<platform>/<step>-<page>.<ext>, bytes in any charset."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+#: A larger answer is not read, and counts as failed.
+MOST_BYTES = 1 << 30
+
+
+def read_answers(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Answers of a folder in any store that Spark reads: <keyword>/<platform>/<step>-<page>.<ext>, bytes in any charset.
+
+    Files are listed first and then read, each by itself: one that cannot be opened, breaks off, or is longer than
+    most_bytes gives a row with its error. Other files and tasks do not notice. One that is gone by then, or is
+    empty, is no answer."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     at = r"([^/]+)/([^/]+)/([0-9]+)-([0-9]+)\.[^/]*$"
-    parts = [F.regexp_extract("path", at, i) for i in range(1, 5)]
+    listed = found.load(root).select("path", "length").where(F.col("path").rlike(at))  # of these columns no file is opened
+    content = found.load(root).where(F.col("length") <= most_bytes).select("path", F.col("content"))
     text = repaired_text(F.col("content"), F.lit(None).cast("string"))
-    return found.where(F.col("path").rlike(at)).select(
-        parts[0].alias("keyword"), parts[1].alias("platform"), parts[2].cast("int").alias("step"), parts[3].cast("int").alias("page"), text.alias("payload"), F.lit(None).cast("string").alias("error")
+    read = content.where(F.col("path").rlike(at)).select("path", text.alias("payload"), F.lit(True).alias("_read"))
+    parts = [F.regexp_extract("path", at, i) for i in range(1, 5)]
+    error = F.when(F.col("_read").isNull() & (F.col("length") > most_bytes), "too long").when(F.col("_read").isNull(), "unreadable")
+    return listed.join(read, "path", "left").select(
+        parts[0].alias("keyword"), parts[1].alias("platform"), parts[2].cast("int").alias("step"), parts[3].cast("int").alias("page"), "payload", error.alias("error")
     )
 
 
