@@ -43,7 +43,7 @@ def read_answers(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -
     listed = found.load(root).select("path", "length").where(F.col("path").rlike(at))  # of these columns no file is opened
     content = found.load(root).where(F.col("length") <= most_bytes).select("path", F.col("content"))
     text = repaired_text(F.col("content"), F.lit(None).cast("string"))
-    read = content.where(F.col("path").rlike(at)).select("path", text.alias("payload"), F.lit(True).alias("_read"))
+    read = content.where(F.col("path").rlike(at)).select("path", text.alias("payload"), F.col("content").isNotNull().alias("_read"))  # so that files are read even where only errors are asked for
     parts = [F.regexp_extract("path", at, i) for i in range(1, 5)]
     error = F.when(F.col("_read").isNull() & (F.col("length") > most_bytes), "too long").when(F.col("_read").isNull(), "unreadable")
     return listed.join(read, "path", "left").select(
