@@ -11,6 +11,7 @@ from ..operators import audit
 from ..scratch import scratch_dir
 from ..sources import files
 from ..sources.store import Store
+from ..streaming import keyed
 from . import collect as C
 from . import fixtures as X
 from . import spec as S
@@ -79,3 +80,14 @@ def q52(spark, d):
     for part in X.history_and_batch(spark, d):
         store.merge(part.withColumn("seq", F.col("id")))
     return store.records()
+
+
+@query("q53_keyed_stream", _MERGED)
+def q53(spark, d):
+    """History and batch as a stream in two runs; what was seen is a state by fingerprint."""
+    path = scratch_dir(spark)
+    for part in X.history_and_batch(spark, d):
+        part.withColumn("seq", F.col("id")).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("id long, title string, text string, time string, source string, url string, seq long").parquet(f"{path}/in")
+        keyed.start(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return Store(spark, f"{path}/out").records()

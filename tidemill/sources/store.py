@@ -94,16 +94,25 @@ class Store:
 
     def merge(self, batch: DataFrame) -> int:
         """Adds a batch (five fields, and seq, its order); returns how many records were new."""
+        return self._add(materialise(self._new(batch)), None)
+
+    def append(self, new: DataFrame, token: str) -> int:
+        """Adds records (five fields and seq) that are known to be new and different from each other, once for each token
+        that names a batch: if the last version has the token, the batch was added before."""
+        if self.manifest().get("token") == token:
+            return 0
+        return self._add(materialise(new.select(F.struct(*FIELDS[1:], "seq").alias("row"), *[F.col(c) for c in FIELDS[1:]]).select("row", F.unhex(record_fingerprint()).alias("fp"))), token)
+
+    def _add(self, new: DataFrame, token: str | None) -> int:
         found = self.manifest()
         version = found["version"] + 1
         self._delete(f"data/version={version}")
         self._delete(f"keys/version={version}")
-        new = materialise(self._new(batch))
         numbered = assign_ids(new.select("row.*"), start=found["last_id"] + 1)
         numbered.select(*FIELDS).write.parquet(f"{self.path}/data/version={version}")
         self._write_keys(new.select("fp", F.lit(version).alias("version")))
         n = new.count()
-        self._commit({"version": version, "records": found["records"] + n, "last_id": found["last_id"] + n, "buckets": self.buckets})
+        self._commit({"version": version, "records": found["records"] + n, "last_id": found["last_id"] + n, "buckets": self.buckets, "token": token})
         return n
 
     def _write_keys(self, keys: DataFrame) -> None:
