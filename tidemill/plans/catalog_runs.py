@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit
 from ..scratch import scratch_dir
-from ..sources import files
+from ..sources import fetch, files
 from ..sources.store import Store
 from ..streaming import keyed
 from . import collect as C
@@ -91,3 +91,12 @@ def q53(spark, d):
         stream = spark.readStream.schema("id long, title string, text string, time string, source string, url string, seq long").parquet(f"{path}/in")
         keyed.start(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return Store(spark, f"{path}/out").records()
+
+
+@query("q54_charset_detection", """
+SELECT ['utf-8', 'utf-16-le', 'utf-16-be', 'cp1252', 'mac_roman', 'cp850', 'gb18030', 'iso8859_15'][doc_id % 8 + 1] AS codec, count(text) AS documents, true AS at_least_95_percent FROM documents GROUP BY ALL""")
+def q54(spark, d):
+    """Bodies in eight codecs without a charset: whether at least 95 of 100 of each come back as they were."""
+    found = X.encoded(spark, d).select("codec", "text", fetch.repaired_text(F.col("body"), F.lit(None).cast("string")).alias("back"))
+    right = F.count(F.when(F.col("text") == F.col("back"), 1))
+    return found.groupBy("codec").agg(F.count("text").alias("documents"), (right * 100 >= F.count("text") * 95).alias("at_least_95_percent"))

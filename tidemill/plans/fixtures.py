@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -215,3 +216,24 @@ def grouped_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     names = F.element_at(F.array(*map(F.lit, GROUPED)), which + 1)
     tasks = documents(spark, sf_dir).select(task.alias("keyword_ix"), task.cast("string").alias("keyword"), which.alias("platform_ix"), names.alias("platform"))
     return reduce(DataFrame.unionByName, parts), tasks.distinct()
+
+
+CODECS = ("utf-8", "utf-16-le", "utf-16-be", "cp1252", "mac_roman", "cp850", "gb18030", "iso8859_15")
+
+
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, codec, body: each document in one of eight codecs in turn, in UTF-8 where the codec lacks a character of it."""
+
+    @F.pandas_udf("binary")
+    def encode(text: pd.Series, codec: pd.Series) -> pd.Series:
+        def one(t, c):
+            try:
+                return t.encode(c)
+            except UnicodeEncodeError:
+                return t.encode("utf-8")
+
+        return pd.Series([None if t is None else one(t, c) for t, c in zip(text, codec)])
+
+    codec = F.element_at(F.array(*map(F.lit, CODECS)), (F.pmod("doc_id", F.lit(len(CODECS))) + 1).cast("int"))
+    d = documents(spark, sf_dir).select("doc_id", "text", codec.alias("codec"))
+    return d.select("*", encode("text", "codec").alias("body"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..operators.control import LEAST_DELAY, LIMITED, LONGEST_WAIT, MOST_DELAY
+from .charset import detected
 
 #: Seconds allowed for a request, by what is asked for; attempts after the first.
 TIMEOUTS = {"default": 15, "article": 10, "newsapi": 20, "currents": 20, "site_rss": 15}
@@ -88,14 +89,14 @@ def safe_get(get: Callable[..., Answer], url: str, limiter: Limiter, headers: di
 
 
 def repaired(body: bytes, charset: str | None) -> str:
-    """Decoded by its charset; where that is missing, unknown or only the protocol's default, by the first that fits."""
+    """Decoded by its charset; where that is missing, unknown, wrong or only the protocol's default, by the likeliest (charset.py)."""
     named = (charset or "").strip().lower()
-    for c in ([named] if named and named != "iso-8859-1" else []) + ["utf-8", "gb18030"]:
+    if named and named != "iso-8859-1":
         try:
-            return body.decode(c)
+            return body.decode(named)
         except (LookupError, UnicodeDecodeError):
-            continue
-    return body.decode("iso-8859-1")
+            pass
+    return detected(body)[1]
 
 
 @F.pandas_udf(StringType())
@@ -104,6 +105,7 @@ def _repaired(body: pd.Series, charset: pd.Series) -> pd.Series:
 
 
 def repaired_text(body: Column, charset: Column) -> Column:
-    """repaired() of a binary column. UTF-8 without a charset of its own stays in the JVM; null stays null."""
-    plain = F.is_valid_utf8(body.cast("string")) & F.lower(F.coalesce(charset, F.lit(""))).isin("", "iso-8859-1", "utf-8", "utf8")
+    """repaired() of a binary column. UTF-8 without a charset of its own, zero bytes and a mark stays in the JVM; null stays null."""
+    text = body.cast("string")
+    plain = F.is_valid_utf8(text) & ~F.contains(text, F.lit("\x00")) & ~F.startswith(text, F.lit("\ufeff")) & F.lower(F.coalesce(charset, F.lit(""))).isin("", "iso-8859-1", "utf-8", "utf8")
     return F.coalesce(F.when(plain, body.cast("string")), _repaired(F.when(~plain, body), charset))
