@@ -264,3 +264,13 @@ def test_page_stop_with_gaps_and_twins(spark):
     rows = [("a", 1, True, True), ("a", 3, True, True), ("b", 2, True, True), ("c", 1, True, True), ("c", 1, True, True), ("c", 2, True, False), ("c", 3, True, True), ("d", 1, None, None), ("d", 2, True, True)]
     got = control.page_stop(spark.createDataFrame(rows, "t string, p int, ok boolean, full boolean"), ["t"], "p", "ok", "full").collect()
     assert sorted((r["t"], r["p"]) for r in got) == [("a", 1), ("c", 1), ("c", 1), ("c", 2)]
+
+
+def test_options_as_columns_equal_options(spark):
+    rows = [(n, p) for n in range(1, 12) for p in spec.PLATFORMS]
+    got = spark.createDataFrame(rows, "n long, p string").select("n", "p", *[c.alias(k) for k, c in spec.option_columns(F.col("n"), F.col("p")).items()]).collect()
+    for r in got:
+        want = spec.options(spec.CollectSpec(pages=r["n"]), r["p"])
+        assert (r["asked"], r["hits"], r["sites"]) == (want["pages"], want.get("hits"), want.get("sites"))
+    first = spark.createDataFrame([("bing", 3), ("baidu", 1), ("other", 2)], "s string, p int").select(spec.page_offset(F.col("s"), F.col("p")).alias("x")).collect()
+    assert [r["x"] for r in first] == [21, 0, None]

@@ -174,39 +174,41 @@ _NAMES = ", ".join(f"({i}, '{p}', '{n}')" for i, (p, n) in enumerate(S.PLATFORMS
 
 
 @query("q18_plan_queries", f"""
-WITH k(keyword) AS (VALUES ('校园舆情'), ('a b/c')), p(i, platform, label) AS (VALUES {_NAMES}), q(platform, sites) AS (VALUES ('weibo', 'site:weibo.com OR site:m.weibo.cn OR site:s.weibo.com'),
+WITH k AS (SELECT doc_id, source || ' ' || lang || '/校' || doc_id AS keyword FROM documents), p(i, platform, label) AS (VALUES {_NAMES}), q(platform, sites) AS (VALUES ('weibo', 'site:weibo.com OR site:m.weibo.cn OR site:s.weibo.com'),
   ('zhihu', 'site:zhihu.com OR site:zhuanlan.zhihu.com'), ('toutiao', 'site:toutiao.com OR site:www.toutiao.com'), ('xiaohongshu', 'site:xiaohongshu.com OR site:www.xiaohongshu.com'))
 SELECT keyword, platform, label, CASE WHEN sites IS NULL THEN '' ELSE '(' || sites || ') ' || keyword END AS query,
   'https://www.bing.com/news/search?q=' || replace(url_encode(keyword), '%2F', '/') || '&format=rss&cc=cn' AS bing_rss,
   'https://news.google.com/rss/search?q=' || replace(url_encode(keyword), '%2F', '/') || '&hl=zh-CN&gl=CN&ceid=CN:zh-Hans' AS google_rss
 FROM k CROSS JOIN p LEFT JOIN q USING (platform)""")
 def q18(spark, d):
-    spec = S.CollectSpec(keywords=("校园舆情", "a b/c"))
-    found = S.tasks(spark, spec).join(S.search_queries(spark, spec), ["keyword", "platform"], "left")
-    return found.select("keyword", "platform", "label", F.coalesce("query", F.lit("")).alias("query"), S.bing_news_rss(F.col("keyword")).alias("bing_rss"), S.google_news_rss(F.col("keyword")).alias("google_rss"))
+    """The plan of a keyword for each document: tasks, searches of sites, feeds."""
+    words = X.documents(spark, d).select(F.col("doc_id").alias("keyword_ix"), F.concat("source", F.lit(" "), "lang", F.lit("/校"), F.col("doc_id").cast("string")).alias("keyword"))
+    found, k = S.tasks(spark, S.CollectSpec(), words), F.col("keyword")
+    return found.select("keyword", "platform", "label", F.coalesce(S.search_query(k, F.col("platform")), F.lit("")).alias("query"), S.bing_news_rss(k).alias("bing_rss"), S.google_news_rss(k).alias("google_rss"))
 
 
 @query("q19_plan_offsets", """
 WITH s(service, base, step) AS (VALUES ('bing', 1, 10), ('duckduckgo', 0, 30), ('baidu', 0, 10), ('zhihu', 0, 20), ('toutiao', 0, 20))
-SELECT service, CAST(page AS BIGINT) AS page, CAST(base + (page - 1) * step AS BIGINT) AS first FROM s, (SELECT unnest(range(1, 6)) AS page)
-UNION ALL SELECT 'media', CAST(strength AS BIGINT), CAST([6, 10, 12, 12][strength] AS BIGINT) FROM (SELECT unnest(range(1, 5)) AS strength)""")
+SELECT doc_id, service, doc_id % 7 + 1 AS page, CAST(base + doc_id % 7 * step AS BIGINT) AS first FROM s, documents
+UNION ALL SELECT doc_id, 'media', doc_id % 7, CAST([6, 6, 10, 12, 12, 12, 12][doc_id % 7 + 1] AS BIGINT) FROM documents""")
 def q19(spark, d):
-    out = S.offsets(spark, 5).select("service", F.col("page").cast("long").alias("page"), F.col("first").cast("long").alias("first"))
-    for strength in range(1, 5):
-        out = out.unionByName(S.media(spark, strength).agg(F.lit("media").alias("service"), F.lit(strength).cast("long").alias("page"), F.count("*").alias("first")))
-    return out
+    """Where the page of each document's number begins in each service, and how many media sites a strength of it takes."""
+    docs, turn = X.documents(spark, d).select("doc_id"), F.pmod("doc_id", F.lit(7))
+    paged = docs.select("doc_id", F.explode(F.array(*map(F.lit, S.OFFSETS))).alias("service"), (turn + 1).alias("page"))
+    return paged.withColumn("first", S.page_offset(F.col("service"), F.col("page"))).unionByName(docs.select("doc_id", F.lit("media").alias("service"), turn.alias("page"), S.tier(turn).cast("long").alias("first")))
 
 
-@query("q20_backoff_bounds", "SELECT CAST(a AS BIGINT) AS attempt, (a + 1) * 1.8::DOUBLE AS least_delay, (a + 1) * 4.5::DOUBLE AS most_delay, CAST(least(20, 3 * (a + 1)) AS BIGINT) AS least_wait, CAST(least(20, 3 * (a + 1) + 3) AS BIGINT) AS most_wait FROM (SELECT unnest(range(8)) AS a)")
+@query("q20_backoff_bounds", "SELECT event_id, (a + 1) * 1.8::DOUBLE AS least_delay, (a + 1) * 4.5::DOUBLE AS most_delay, CAST(least(20, 3 * (a + 1)) AS BIGINT) AS least_wait, CAST(least(20, 3 * (a + 1) + 3) AS BIGINT) AS most_wait FROM (SELECT event_id, event_id % 8 AS a FROM events)")
 def q20(spark, d):
-    a = F.col("id")
+    """Bounds of the pause before and the wait after each event's attempt."""
+    a = F.pmod("event_id", F.lit(8))
     (lo, hi), (w0, w1) = control.delay_bounds(a), control.wait_bounds(a)
-    return spark.range(8).select(a.alias("attempt"), lo.alias("least_delay"), hi.alias("most_delay"), w0.cast("long").alias("least_wait"), w1.cast("long").alias("most_wait"))
+    return X.load(spark, d, "events").select("event_id", lo.alias("least_delay"), hi.alias("most_delay"), w0.cast("long").alias("least_wait"), w1.cast("long").alias("most_wait"))
 
 
-@query("q21_status_class", "SELECT CAST(s AS BIGINT) AS status, CASE WHEN s IN (403, 412, 418, 429) THEN 'wait' WHEN s BETWEEN 200 AND 299 THEN 'ok' ELSE 'retry' END AS class FROM (SELECT unnest(range(100, 600)) AS s)")
+@query("q21_status_class", "SELECT event_id, CASE WHEN s IN (403, 412, 418, 429) THEN 'wait' WHEN s BETWEEN 200 AND 299 THEN 'ok' ELSE 'retry' END AS class FROM (SELECT event_id, 100 + event_id % 500 AS s FROM events)")
 def q21(spark, d):
-    return spark.range(100, 600).select(F.col("id").alias("status"), control.status_class(F.col("id")).alias("class"))
+    return X.load(spark, d, "events").select("event_id", control.status_class(F.pmod("event_id", F.lit(500)) + 100).alias("class"))
 
 
 @query("q22_truthy_chain", """
@@ -329,10 +331,12 @@ def q31(spark, d):
     return control.page_stop(pages, ["user_id"], "page", "ok", "full_page").select("user_id", "page", "event_id")
 
 
-@query("q32_int_list", "SELECT raw, CAST(ids AS VARCHAR) AS ids FROM (VALUES ('1, 2,x,,3', '[1, 2, 3]'), ('', '[]'), ('34412234', '[34412234]'), ('-5,+6, 7 ', '[-5, 6, 7]')) t(raw, ids)")
+@query("q32_int_list", "SELECT doc_id, doc_id || ', ' || doc_id % 7 || ', ' || -(doc_id % 3) AS ids FROM documents")
 def q32(spark, d):
-    rows = spark.createDataFrame([("1, 2,x,,3",), ("",), ("34412234",), ("-5,+6, 7 ",)], "raw string")
-    return rows.select("raw", F.concat(F.lit("["), F.array_join(F.transform(T.int_list(F.col("raw")), lambda x: x.cast("string")), ", "), F.lit("]")).alias("ids"))
+    """Whole numbers of a text that has others, blanks and signs between them."""
+    n = lambda k: F.pmod("doc_id", F.lit(k)).cast("string")
+    raw = F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(",x,, +"), n(7), F.lit(","), F.col("lang"), F.lit("1, -"), n(3), F.lit(" ,1.5"))
+    return X.documents(spark, d).select("doc_id", F.array_join(F.transform(T.int_list(raw), lambda x: x.cast("string")), ", ").alias("ids"))
 
 
 _ALL = f"WITH {REC} SELECT doc_id AS id, title, text, time, source, url FROM rec"
@@ -465,12 +469,15 @@ def q45(spark, d):
 
 
 @query("q46_request_plan", f"""
-WITH p(i, platform, label) AS (VALUES {_NAMES}), n AS (SELECT unnest(range(1, 8)) AS pages)
-SELECT pages, platform, least(pages, CASE platform WHEN 'newsapi' THEN 5 WHEN 'currents' THEN 5 WHEN 'mediacloud' THEN 3 WHEN 'news' THEN 1 WHEN 'rssnews' THEN 1 WHEN 'sitenews' THEN 1 ELSE pages END) AS asked,
+WITH p(i, platform, label) AS (VALUES {_NAMES}), n AS (SELECT doc_id, doc_id % 9 + 1 AS pages FROM documents)
+SELECT doc_id, platform, least(pages, CASE platform WHEN 'newsapi' THEN 5 WHEN 'currents' THEN 5 WHEN 'mediacloud' THEN 3 WHEN 'news' THEN 1 WHEN 'rssnews' THEN 1 WHEN 'sitenews' THEN 1 ELSE pages END) AS asked,
   CASE platform WHEN 'news' THEN least(pages * 30, 100) END AS hits, CASE platform WHEN 'sitenews' THEN CASE pages WHEN 1 THEN 6 WHEN 2 THEN 10 ELSE 12 END END AS sites FROM p, n""")
 def q46(spark, d):
-    rows = [(n, p, o["pages"], o.get("hits"), o.get("sites")) for n in range(1, 8) for p in S.PLATFORMS for o in [S.options(S.CollectSpec(pages=n), p)]]
-    return spark.createDataFrame(rows, "pages long, platform string, asked long, hits long, sites long")
+    """What the connectors are called with, for a plan of as many pages as each document's number says."""
+    words = X.documents(spark, d).select(F.col("doc_id").alias("keyword_ix"), F.col("doc_id").cast("string").alias("keyword"))
+    found = S.tasks(spark, S.CollectSpec(), words)
+    columns = S.option_columns(F.pmod("keyword_ix", F.lit(9)) + 1, F.col("platform"))
+    return found.select(F.col("keyword_ix").alias("doc_id"), "platform", *[c.cast("long").alias(n) for n, c in columns.items()])
 
 
 @query("q47_date_window", "SELECT DISTINCT strftime(CAST(ts AS DATE) - 29, '%Y-%m-%d') AS news_from, strftime(CAST(ts AS DATE) - 365, '%Y-%m-%d') AS archive_from, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS until FROM events")

@@ -6,7 +6,7 @@ import argparse
 import datetime
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import quote, site_query
@@ -109,9 +109,30 @@ def credential(platform: str, env: dict[str, str]) -> str:
     return env.get(CREDENTIALS.get(platform, ""), "").strip()
 
 
-def tasks(spark: SparkSession, spec: CollectSpec) -> DataFrame:
-    """keyword_ix, keyword, platform_ix, platform, label, in order of collection."""
-    words = spark.createDataFrame(list(enumerate(spec.keywords)), "keyword_ix int, keyword string")
+def option_columns(pages: Column, platform: Column) -> dict[str, Column]:
+    """options() as columns, for many plans at once: asked (pages), hits and sites (null where a platform has none)."""
+    caps = F.create_map(*[F.lit(x) for pair in PAGE_CAPS.items() for x in pair])
+    return {
+        "asked": F.least(pages, F.coalesce(caps[platform].cast("long"), pages)),
+        "hits": F.when(platform == "news", F.least(pages * NEWS_PER_PAGE, F.lit(NEWS_MOST).cast("long"))),
+        "sites": F.when(platform == "sitenews", tier(pages).cast("long")),
+    }
+
+
+def tier(strength: Column) -> Column:
+    """How many media sites are searched at this strength."""
+    return F.element_at(F.array(*map(F.lit, TIERS)), F.least(F.greatest(strength, F.lit(1)), F.lit(len(TIERS))).cast("int"))
+
+
+def page_offset(service: Column, page: Column) -> Column:
+    """Where a page of a service begins; null for a service that is not paged."""
+    base, step = (F.create_map(*[F.lit(x) for k, v in OFFSETS.items() for x in (k, v[i])]) for i in (0, 1))
+    return base[service] + (page - 1) * step[service]
+
+
+def tasks(spark: SparkSession, spec: CollectSpec, words: DataFrame | None = None) -> DataFrame:
+    """keyword_ix, keyword, platform_ix, platform, label, in order of collection. words: keyword_ix, keyword, instead of the spec's own."""
+    words = spark.createDataFrame(list(enumerate(spec.keywords)), "keyword_ix int, keyword string") if words is None else words
     names = F.array(*[F.struct(F.lit(i).alias("platform_ix"), F.lit(p).alias("platform"), F.lit(PLATFORMS.get(p, p)).alias("label")) for i, p in enumerate(spec.platforms)])
     return words.withColumn("p", F.explode(names)).select("keyword_ix", "keyword", "p.*")
 
@@ -135,7 +156,13 @@ def bing_news_rss(query):
     return F.concat(F.lit("https://www.bing.com/news/search?q="), quote(query), F.lit("&format=rss&cc=cn"))
 
 
+def search_query(keyword: Column, platform: Column) -> Column:
+    """What the search engines are asked for a platform's sites; null for a platform without a fallback."""
+    domains = F.create_map(*[x for k, v in FALLBACK_DOMAINS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return site_query(keyword, domains[platform])
+
+
 def search_queries(spark: SparkSession, spec: CollectSpec) -> DataFrame:
     """keyword, platform, query: what the search engines are asked for each fallback platform."""
-    domains = spark.createDataFrame([(k, list(v)) for k, v in FALLBACK_DOMAINS.items()], "platform string, domains array<string>")
-    return tasks(spark, spec).join(F.broadcast(domains), "platform").select("keyword", "platform", site_query(F.col("keyword"), F.col("domains")).alias("query"))
+    found = tasks(spark, spec).where(F.col("platform").isin(*FALLBACK_DOMAINS))
+    return found.select("keyword", "platform", search_query(F.col("keyword"), F.col("platform")).alias("query"))
