@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit
-from ..scratch import scratch_dir
+from ..scratch import materialise, scratch_dir
 from ..sources import fetch, files
+from ..sources import payloads as P
 from ..sources.store import Store
 from ..streaming import keyed
 from . import collect as C
@@ -28,7 +29,7 @@ SELECT platform, CAST(task AS BIGINT) AS task, CAST(page AS INTEGER) AS page, CA
 def q48(spark, d):
     """Pages of three services, some of them failed, missing, broken, refused, empty, null or short."""
     answers, tasks = X.paged_answers(spark, d)
-    got = C.platform_records(answers, tasks, S.CollectSpec(pages=5, platforms=X.PAGED))
+    got = materialise(C.platform_records(answers, tasks, S.CollectSpec(pages=5, platforms=X.PAGED)))
     platform = F.element_at(F.array(*map(F.lit, X.PAGED)), F.col("seq.platform_ix") + 1)
     return got.select(platform.alias("platform"), F.col("seq.keyword_ix").alias("task"), "seq.page", F.col("seq.item_ix").alias("item"), "title", "text", "source", "url")
 
@@ -46,7 +47,7 @@ UNION ALL SELECT task, step, {_T}, {_EITHER}, '人民网-' || ['Google站内索
 def q49(spark, d):
     """Tasks with more and fewer than five rows of their own, and sites with more and fewer than ten entries."""
     answers, tasks = X.grouped_answers(spark, d)
-    got = C.platform_records(answers, tasks, S.CollectSpec(platforms=X.GROUPED))
+    got = materialise(C.platform_records(answers, tasks, S.CollectSpec(platforms=X.GROUPED)))
     return got.select(F.col("seq.keyword_ix").alias("task"), F.col("seq.step").alias("step"), "title", "text", "source")
 
 
@@ -100,3 +101,15 @@ def q54(spark, d):
     found = X.encoded(spark, d).select("codec", "text", fetch.repaired_text(F.col("body"), F.lit(None).cast("string")).alias("back"))
     right = F.count(F.when(F.col("text") == F.col("back"), 1))
     return found.groupBy("codec").agg(F.count("text").alias("documents"), (right * 100 >= F.count("text") * 95).alias("at_least_95_percent"))
+
+
+@query("q55_feed_forms", f"""
+WITH e AS (SELECT doc_id, text, unnest(['before', 'own', 'behind']) AS which FROM documents),
+f AS (SELECT doc_id, which, CASE which WHEN 'before' THEN 'Before' WHEN 'behind' THEN CASE WHEN doc_id % 7 = 4 THEN 'Behi' ELSE 'Behind' END
+        WHEN 'own' THEN CASE WHEN doc_id % 7 = 1 THEN {_clean("left(text, 50) || ' & < 5 '")} ELSE {_T} END END AS title,
+      CASE which WHEN 'before' THEN 'b' WHEN 'behind' THEN CASE WHEN doc_id % 7 = 4 THEN '' ELSE 'c' END ELSE {_B} END AS body FROM e)
+SELECT doc_id, title, CASE WHEN body = '' THEN title ELSE body END AS text, CASE WHEN doc_id % 7 = 4 AND which = 'behind' THEN '' ELSE '2024-01-02 03:04:05' END AS time,
+  CASE WHEN doc_id % 7 = 4 AND which = 'behind' THEN '' ELSE 'https://f.example/' || which || '/' || doc_id END AS url FROM f WHERE title <> '' OR body <> ''""")
+def q55(spark, d):
+    """Feeds in three forms, some of them damaged: the entries before, at and behind the damage."""
+    return P.rss_records(P.rss_items(X.feed_forms(spark, d)), F.lit("s"), False, F.col("doc_id")).select(F.col("seq").alias("doc_id"), "title", "text", "time", "url")

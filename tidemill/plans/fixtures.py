@@ -237,3 +237,29 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = F.element_at(F.array(*map(F.lit, CODECS)), (F.pmod("doc_id", F.lit(len(CODECS))) + 1).cast("int"))
     d = documents(spark, sf_dir).select("doc_id", "text", codec.alias("codec"))
     return d.select("*", encode("text", "codec").alias("body"))
+
+
+def feed_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feed per document, in RSS 2, RSS 1 and Atom in turn, each with an entry before and one behind the document's own.
+
+    Of every seven, one has a bare ampersand and a bracket, one a field that is not closed, one an entry that is not closed, and one breaks off."""
+    d = documents(spark, sf_dir)
+    form, harm, n = F.pmod("doc_id", F.lit(3)), F.pmod("doc_id", F.lit(7)), F.col("doc_id").cast("string")
+    t, x = _escaped(F.substring("text", 1, 50)), _escaped(F.col("text"))
+    bare = F.when(harm == 1, " & < 5 ").otherwise("")
+    open_, close = F.element_at(F.array(F.lit("<item>"), F.lit('<item rdf:about="x">'), F.lit("<entry>")), (form + 1).cast("int")), F.when(form == 2, "</entry>").otherwise("</item>")
+
+    def entry(which: str, title, text):
+        where = F.concat(F.lit(f"https://f.example/{which}/"), n)
+        link = F.when(form == 2, F.concat(F.lit("<link rel='self' href='no'/><link href='"), where, F.lit("'/>"))).otherwise(F.concat(F.lit("<link>"), where, F.lit("</link>")))
+        name = F.when(form == 2, "summary").otherwise("description")
+        own = which == "own"
+        head = F.concat(F.lit("<title>"), title, bare if own else F.lit(""), F.when((harm == 2) & F.lit(own), "").otherwise("</title>"))
+        date = F.when(form == 0, "<pubDate>2024-01-02 03:04:05</pubDate>").when(form == 1, "<dc:date>2024-01-02 03:04:05</dc:date>").otherwise("<updated>2024-01-02 03:04:05</updated>")
+        end = F.when((harm == 3) & F.lit(own), "").otherwise(close)
+        return F.concat(open_, head, link, F.lit("<"), name, F.lit(">"), text, F.lit("</"), name, F.lit(">"), date, end)
+
+    before, own, behind = entry("before", F.lit("Before"), F.lit("b")), entry("own", t, x), entry("behind", F.lit("Behind"), F.lit("c"))
+    frame = [F.element_at(F.array(*map(F.lit, v)), (form + 1).cast("int")) for v in (("<?xml version='1.0'?><rss><channel><title>Feed</title>", "<rdf:RDF><channel><title>Feed</title></channel>", "<feed><title>Feed</title>"), ("</channel></rss>", "</rdf:RDF>", "</feed>"))]
+    whole = F.concat(frame[0], before, own, behind, frame[1])
+    return d.select("doc_id", F.when(harm == 4, F.concat(frame[0], before, own, open_, F.lit("<title>Behi"))).otherwise(whole).alias("feed"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import absolute_url, clean_text, domain_hit, first_truthy, joined_url, label_hit, light_strip, netloc
 from ..operators.records import make_record, raw_fields, with_content
+from .feeds import entries
 
 #: The shapes of the services' answers.
 SCHEMAS = {
@@ -139,22 +140,27 @@ def weibo_records(hits: DataFrame, seq: Column | None = None, make=make_record)
 
 # -------------------------------------------------------------------- RSS
 
-RSS = "channel struct<item array<struct<title string, summary string, description string, link string, published string, pubDate string, updated string>>>"
+ENTRY = "array<struct<title string, summary string, link string, published string, updated string>>"
 
 
 def rss_items(feeds: DataFrame, feed: str = "feed") -> DataFrame:
-    """feeds with item_ix and item: one row per entry of an RSS document."""
+    """feeds with item_ix and item: one row per entry of an RSS 1, RSS 2 or Atom document; a damaged one gives those around the damage."""
+
+
+    def read(c: pd.Series) -> pd.Series:
+        return c.map(entries)
+
     keep = [c for c in feeds.columns if c != feed]
-    return feeds.withColumn("_f", F.from_xml(F.col(feed), RSS)).select(*keep, F.posexplode("_f.channel.item").alias("item_ix", "item"))
+    return feeds.select(*keep, F.posexplode(F.pandas_udf(read, ENTRY)(F.col(feed))).alias("item_ix", "item"))
 
 
 def rss_records(hits: DataFrame, source: Column, light: bool = False, seq: Column | None = None, entities: bool = True, make=make_record) -> DataFrame:
     """Records of feed entries; `light` strips markup first, as the site search does."""
     i = lambda name: F.col(f"item.{name}")
     title = first_truthy(i("title"))
-    text = first_truthy(i("summary"), i("description"), title)
+    text = first_truthy(i("summary"), title)
     if light:
         title, text = light_strip(title), light_strip(text)
     own = F.struct(title.alias("title"), text.alias("text"))
     some = hits.withColumn("_own", F.explode(F.filter(F.array(own), lambda x: (x["title"] != "") | (x["text"] != ""))))
-    return make(some, F.col("_own.title"), F.col("_own.text"), source, first_truthy(i("published"), i("pubDate"), i("updated")), first_truthy(i("link")), seq, entities)
+    return make(some, F.col("_own.title"), F.col("_own.text"), source, first_truthy(i("published"), i("updated")), first_truthy(i("link")), seq, entities)
