@@ -22,7 +22,12 @@ from .charset import detected
 TIMEOUTS = {"default": 15, "article": 10, "newsapi": 20, "currents": 20, "site_rss": 15}
 RETRIES = {"default": 2, "search": 1, "article": 1}
 #: Headers of every request.
-HEADERS = {"User-Agent": "tidemill/1.0", "Accept-Language": "zh-CN,zh;q=0.9,en;q=0.8"}
+HEADERS = {
+    "User-Agent": "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0.0.0 Safari/537.36",
+    "Accept-Language": "zh-CN,zh;q=0.9,en;q=0.8",
+    "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,application/json;q=0.8,*/*;q=0.7",
+    "Connection": "keep-alive",
+}
 
 
 @dataclass
@@ -55,6 +60,10 @@ def session(factory: Callable[[], Any]) -> Any:
     return factory()
 
 
+#: Platforms whose requests carry a cookie.
+COOKIES = ("weibo", "zhihu", "toutiao", "xiaohongshu")
+
+
 class Limiter:
     """Pauses a random time between two bounds, times a factor."""
 

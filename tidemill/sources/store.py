@@ -4,7 +4,7 @@ Under one folder:
 
 - keys/: the fingerprints (16 bytes) of all records, by version, in buckets of the fingerprint. The batch
   is dealt to the same buckets and joined there, so the keys of the history are read but not shuffled;
-- data/version=<n>/: the records that version n added;
+- data/version=<n>/: the records that version n added, with their fingerprints;
 - manifest/<n>.json: written last, by a rename. It names the last version that counts, the number of
   records and the last id. What a run that died left behind is above that version, and is replaced.
 
@@ -94,24 +94,27 @@ class Store:
 
     def merge(self, batch: DataFrame) -> int:
         """Adds a batch (five fields, and seq, its order); returns how many records were new."""
-        return self._add(materialise(self._new(batch)), None)
+        return self._add(materialise(self._new(batch)), None)  # written, since the numbering reads its input twice
 
     def append(self, new: DataFrame, token: str) -> int:
         """Adds records (five fields and seq) that are known to be new and different from each other, once for each token
         that names a batch: if the last version has the token, the batch was added before."""
         if self.manifest().get("token") == token:
             return 0
-        return self._add(materialise(new.select(F.struct(*FIELDS[1:], "seq").alias("row"), *[F.col(c) for c in FIELDS[1:]]).select("row", F.unhex(record_fingerprint()).alias("fp"))), token)
+        rows = new.select(F.struct(*FIELDS[1:], "seq").alias("row"), *FIELDS[1:]).select("row", F.unhex(record_fingerprint()).alias("fp"))
+        return self._add(materialise(rows), token)
 
     def _add(self, new: DataFrame, token: str | None) -> int:
         found = self.manifest()
         version = found["version"] + 1
         self._delete(f"data/version={version}")
         self._delete(f"keys/version={version}")
-        numbered = assign_ids(new.select("row.*"), start=found["last_id"] + 1)
-        numbered.select(*FIELDS).write.parquet(f"{self.path}/data/version={version}")
-        self._write_keys(new.select("fp", F.lit(version).alias("version")))
-        n = new.count()
+        data = f"{self.path}/data/version={version}"
+        numbered = assign_ids(new.select("row.*", "fp"), start=found["last_id"] + 1)
+        numbered.select(*FIELDS, "fp").write.option("compression", "zstd").parquet(data)
+        added = self.spark.read.schema("fp BINARY").parquet(data)
+        self._write_keys(added.select("fp", F.lit(version).alias("version")))
+        n = added.count()
         self._commit({"version": version, "records": found["records"] + n, "last_id": found["last_id"] + n, "buckets": self.buckets, "token": token})
         return n
 
