@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit
 from ..scratch import materialise, scratch_dir
-from ..sources import fetch, files
+from ..sources import fetch, files, requests
 from ..sources import payloads as P
 from ..sources.store import Store
 from ..streaming import keyed
@@ -113,3 +113,21 @@ SELECT doc_id, title, CASE WHEN body = '' THEN title ELSE body END AS text, CASE
 def q55(spark, d):
     """Feeds in three forms, some of them damaged: the entries before, at and behind the damage."""
     return P.rss_records(P.rss_items(X.feed_forms(spark, d)), F.lit("s"), False, F.col("doc_id")).select(F.col("seq").alias("doc_id"), "title", "text", "time", "url")
+
+
+def _no_pause(seconds: float) -> None:
+    pass
+
+
+@query("q56_request_stream", """
+WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS attempt, [200, 403, 500, 429, 404][event_id % 5 + 1] AS status FROM events)
+SELECT user_id, min(CASE WHEN status = 200 THEN attempt END) AS used, CASE WHEN min(CASE WHEN status = 200 THEN attempt END) IS NULL THEN 'failed' ELSE 'answered' END AS state FROM a WHERE attempt <= 2 GROUP BY user_id""")
+def q56(spark, d):
+    """A request for each user of events, as a stream that is stopped and started again; the transport gives the events' statuses."""
+    path = scratch_dir(spark)
+    how = {"connect": X.event_transport, "sleep": _no_pause, "rate": 1e6, "burst": 64, "every": "0 seconds"}
+    plan = X.event_requests(spark, d)
+    requests.fetch_plan(spark, plan, f"{path}/answers", f"{path}/checkpoint", longest=1, **how)
+    requests.fetch_plan(spark, plan, f"{path}/answers", f"{path}/checkpoint", **how)
+    state = F.when(F.col("error").isNull(), "answered").otherwise("failed")
+    return requests.stored(spark, f"{path}/answers").select(F.col("keyword").cast("long").alias("user_id"), F.col("payload").cast("long").alias("used"), state.alias("state"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.records import make_record
+from ..sources.fetch import Answer
+from ..sources.requests import Request
 from .spec import ENGINES, FALLBACK_DOMAINS, PLATFORMS
 
 
@@ -263,3 +265,26 @@ def feed_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = [F.element_at(F.array(*map(F.lit, v)), (form + 1).cast("int")) for v in (("<?xml version='1.0'?><rss><channel><title>Feed</title>", "<rdf:RDF><channel><title>Feed</title></channel>", "<feed><title>Feed</title>"), ("</channel></rss>", "</rdf:RDF>", "</feed>"))]
     whole = F.concat(frame[0], before, own, behind, frame[1])
     return d.select("doc_id", F.when(harm == 4, F.concat(frame[0], before, own, open_, F.lit("<title>Behi"))).otherwise(whole).alias("feed"))
+
+
+def event_requests(spark: SparkSession, sf_dir: str) -> list[Request]:
+    """One request per user of events: the statuses of its attempts, in order, stand in the url. Three attempts are all that is made."""
+    e = load(spark, sf_dir, "events").select("user_id", "event_id", F.element_at(F.array(*map(F.lit, (200, 403, 500, 429, 404))), (F.pmod("event_id", F.lit(5)) + 1).cast("int")).alias("status"))
+    first = e.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("n <= 3")
+    statuses = F.transform(F.array_sort(F.collect_list(F.struct("n", "status"))), lambda x: x["status"].cast("string"))
+    rows = first.groupBy("user_id").agg(F.array_join(statuses, ",").alias("statuses")).orderBy("user_id").collect()
+    names = list(PLATFORMS)
+    return [Request(str(r["user_id"]), names[i % len(names)], 0, 1, f"test:{r['statuses']}/{r['user_id']}") for i, r in enumerate(rows)]
+
+
+def event_transport():
+    """Answers a request of event_requests() with its next status, and with the number of the attempt as its text; 500 when there is none left."""
+    made: dict[str, int] = {}
+
+    def get(url: str, headers: dict[str, str], timeout: int) -> Answer:
+        statuses, n = url.removeprefix("test:").partition("/")[0].split(","), made.get(url, 0)
+        status = int(statuses[n]) if n < len(statuses) else 500
+        made[url] = 0 if status == 200 or n == 2 else n + 1
+        return Answer(status, str(n).encode())
+
+    return get
