@@ -1,9 +1,11 @@
 """Format-preserving pseudonyms for personal data and secrets.
 
 Recognised: card numbers (Luhn), IBANs (mod 97), US social security numbers, telephone
-numbers, IPv4 and IPv6 addresses, calendar dates in digits or with an English month name, e-mail
-addresses, and secrets (hexadecimal tokens, access key ids, values with a digit behind password=,
-token: and the like). A number or date counts only if it is valid. Where a card number or IBAN
+numbers, IPv4 and IPv6 addresses, calendar dates in digits or with an English, German, French or
+Spanish month name, e-mail addresses, and secrets (hexadecimal tokens, access key ids, values with a
+digit behind password=, token:, Bearer, sk- and the like). A large number written in groups of three
+digits ("12 345 678") looks like a telephone number and is taken for one; four numbers behind
+"version" or "v" are no address. A number or date counts only if it is valid. Where a card number or IBAN
 that is matched fails its check, or meets what is recognised already, its shorter prefixes and
 later starts at group boundaries are tried too; a telephone number is none where the same
 separator joins it to further groups of digits. Ten digits without separators are no telephone
@@ -157,6 +159,16 @@ class Pseudonyms:
         head, own = d[:-10] if len(d) > 10 else "", d[-10:]
         return refill(s, head + self.number("phone", own))
 
+    def far_phone(self, s: str) -> str | None:
+        return self.phone(s)
+
+    def local_phone(self, s: str) -> str | None:
+        """A number that begins with 0, which stays."""
+        d = _digits(s)
+        if not 9 <= len(d) <= 12:
+            return None
+        return refill(s, d[:-9] + self.number("phone0", d[-9:]) if len(d) > 9 else d[0] + self.number("phone0", d[1:]))
+
     def walk(self, kind: str, size: int, x: int, fits) -> int:
         """Permutes until the value fits; x itself must fit, so this permutes the values that do."""
         while True:
@@ -205,6 +217,37 @@ class Pseudonyms:
         value = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
         return value[order[0]] + sep[0] + value[order[1]] + sep[1] + value[order[2]]
 
+    def short_date(self, s: str) -> str | None:
+        """Day and month without leading zeros, one of them below 10; month first only where the day is above 12."""
+        sep = re.sub("[0-9]", "", s)[0]
+        first, second, y = map(int, s.split(sep))
+        d, m = (second, first) if second > 12 else (first, second)
+        try:
+            day = datetime.date(y, m, d).toordinal() - self.FIRST
+        except ValueError:
+            return None
+        if not 0 <= day < self.DAYS:
+            return None
+        if second > 12:
+            new = self._day(day, lambda x: x.day > 12 and x.month < 10)
+            return f"{new.month}{sep}{new.day}{sep}{new.year:04d}"
+        new = self._day(day, lambda x: x.day < 10 or x.month < 10)
+        return f"{new.day}{sep}{new.month}{sep}{new.year:04d}"
+
+    def local_date(self, s: str) -> str | None:
+        """A day, a month's name in German, French or Spanish, and a year."""
+        d, name, y = _LOCAL_DATE.fullmatch(s).groups()
+        names = next(n for n in LOCAL_MONTHS.values() if name in n)
+        try:
+            day = datetime.date(int(y), names.index(name) + 1, int(d)).toordinal() - self.FIRST
+        except ValueError:
+            return None
+        if not 0 <= day < self.DAYS:
+            return None
+        new = self._day(day, lambda x: d[0] != "0" or x.day < 10)
+        text = f"{new.day:02d}" if d[0] == "0" else str(new.day)
+        return text + s[len(d) : -4].replace(name, names[new.month - 1]) + f"{new.year:04d}"
+
     def _day(self, day: int, fits) -> datetime.date:
         def at(x: int) -> datetime.date:
             return datetime.date.fromordinal(self.FIRST + x)
@@ -255,6 +298,9 @@ class Pseudonyms:
     def named_secret(self, s: str) -> str | None:
         return self.secret(s)
 
+    def token(self, s: str) -> str | None:
+        return self.mixed("token", s)
+
     def secret(self, s: str) -> str | None:
         if re.fullmatch("[0-9a-f]{16,}|[0-9A-F]{16,}", s):
             if s.isdigit() or s.isalpha():
@@ -271,23 +317,40 @@ class Pseudonyms:
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 _MONTH = "(?:" + "|".join(f"{n}|{n[:3]}" for n in MONTHS) + ")"
 
+#: Month names as they are written within a date of each language.
+LOCAL_MONTHS = {
+    "de": ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"),
+    "fr": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+    "es": ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+}
+_DE, _FR, _ES = ("|".join(LOCAL_MONTHS[x]) for x in ("de", "fr", "es"))
+#: Day, name and year of a written date: with a full stop, plain, or with "de".
+_LOCAL_DATE = re.compile(rf"([0-9]{{1,2}})(?:\. | de | )({_DE}|{_FR}|{_ES})(?: de)? ([0-9]{{4}})")
+_LOCAL = rf"[0-9]{{1,2}}\. (?:{_DE}) [0-9]{{4}}|[0-9]{{1,2}} (?:{_FR}) [0-9]{{4}}|[0-9]{{1,2}} de (?:{_ES}) de [0-9]{{4}}"
+
 #: What is recognised, by kind, in order of precedence. A lookbehind keeps a match from starting inside a word or number.
 PATTERNS = (
     ("email", r"[\w.%+-]{1,64}@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}"),
     ("secret", r"(?<=[=:]\s)[\"']?(?=[0-9A-Za-z]*[0-9])[0-9A-Za-z_-]{16,}|(?<=[=:])[\"']?(?=[0-9A-Za-z]*[0-9])[0-9A-Za-z_-]{16,}|(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}(?![0-9A-Za-z])"),
     ("named_secret", r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key)[\"']?\s?[:=]\s?[\"']?(?P<v>(?=[^\s\"',;<>]*[0-9])[^\s\"',;<>]{6,64})"),
+    ("token", r"(?<![0-9A-Za-z_-])(?:sk|pk|rk|ghp|gho|glpat|xox[abp])[-_](?P<v>(?=[0-9A-Za-z_-]*[0-9])[0-9A-Za-z_-]{12,})|\b[Bb]earer (?P<w>(?=[0-9A-Za-z._~+/-]*[0-9])[0-9A-Za-z._~+/-]{12,})"),
     ("key_id", r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?(?![0-9A-Za-z])"),
     ("date", r"(?<![0-9.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9])"),
+    ("short_date", r"(?<![0-9./-])(?:[1-9]([./])(?:[1-9]|[12][0-9]|3[01])|(?:[12][0-9]|3[01])([./])[1-9])(?:(?(1)\1|\2))[0-9]{4}(?![0-9])"),
+    ("local_date", rf"(?<![0-9A-Za-z])(?:{_LOCAL})(?![0-9])"),
     ("written_date", rf"(?<![0-9A-Za-z])(?:[0-9]{{1,2}} {_MONTH},? [0-9]{{4}}|{_MONTH} [0-9]{{1,2}}, [0-9]{{4}})(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("ip", r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"),
+    ("ip", r"(?<![0-9.])(?<![Vv]ersion )(?<![Vv]ersión )(?<!\bv)(?<!\bV)[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"),
     ("ipv6", r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)(?:[0-9a-f]{1,4}:|:|[0-9A-F]{1,4}:){2,7}(?:[0-9a-f]{1,4}|[0-9A-F]{1,4})(?![0-9A-Za-z:.])"),
-    ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
+    ("card", r"(?<![0-9A-Za-z+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?P<s>[ .-])[0-9]{3,4}(?P<t>[ .-])[0-9]{3,4}(?!(?P=t)[0-9]{3}|[0-9])|(?<![0-9A-Za-z])\+[0-9]{9,15}(?![0-9])"),
+    # country, area and a number of two groups at most; and within a country with 0 first: area and number, or pairs
+    ("far_phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-](?:\([0-9]{1,4}\)|[0-9]{1,4})[ ./-][0-9]{3,8}(?:[ .-][0-9]{1,5})?(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-][0-9]{1,3}(?:[ .-][0-9]{2}){3,4}(?![0-9])"),
+    ("local_phone", r"(?<![0-9A-Za-z+./-])(?:0[0-9]{1,4}(?:/| / )[0-9]{4,9}|\(0[0-9]{1,4}\) ?[0-9]{4,9}|0[1-9](?:[ .][0-9]{2}){4})(?![0-9./-]*[0-9])"),
 )
 #: Kinds that are counted as another.
-_AS = {"named_secret": "secret", "written_date": "date"}
+_AS = {"named_secret": "secret", "token": "secret", "written_date": "date", "short_date": "date", "local_date": "date", "far_phone": "phone", "local_phone": "phone"}
 _COMPILED = [(k, re.compile(p)) for k, p in PATTERNS]
 #: Kinds whose matches may take in neighbours, and where a match can end early.
 _GROUPED = {"card": re.compile("[ -]"), "iban": re.compile(" ")}
@@ -297,6 +360,8 @@ _GROUP = re.compile("[0-9A-Za-z]+")
 #: Digits in groups of four or more, the last of any size: parts of a match that count as a card before phones are looked for. Parts in other groups come after phones.
 _CARD_GROUPS = re.compile("(?:[0-9]{4,}[ -])*[0-9]+")
 _PASSES = [(k, p, k != "card") for k, p in _COMPILED] + [(k, p, True) for k, p in _COMPILED if k == "card"]
+#: Groups that hold a value where the pattern also has what stands before it.
+_VALUES = ("v", "w")
 #: Three digits up to a place.
 _DIGITS_BEFORE = re.compile("[0-9]{3}$")
 _MAY = re.compile("[0-9@]")
@@ -313,7 +378,7 @@ def rewrite(text: str, pseudonyms: Pseudonyms) -> tuple[str, Counter]:
             continue
         at = behind = 0  # behind: the end of the last match that began behind the one before
         while m := pattern.search(text, at):
-            a, b = m.span("v" if "v" in pattern.groupindex else 0)
+            a, b = m.span(next((g for g in _VALUES if g in pattern.groupindex and m[g] is not None), 0))
             at = b
             if kind == "phone" and m["s"] and a and text[a - 1] == m["s"] and _DIGITS_BEFORE.search(text, max(0, a - 4), a - 1):
                 continue
