@@ -347,7 +347,7 @@ PATTERNS = (
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?P<s>[ .-])[0-9]{3,4}(?P<t>[ .-])[0-9]{3,4}(?!(?P=t)[0-9]{3}|[0-9])|(?<![0-9A-Za-z])\+[0-9]{9,15}(?![0-9])"),
     # country, area and a number of two groups at most; and within a country with 0 first: area and number, or pairs
     ("far_phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-](?:\([0-9]{1,4}\)|[0-9]{1,4})[ ./-][0-9]{3,8}(?:[ .-][0-9]{1,5})?(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-][0-9]{1,3}(?:[ .-][0-9]{2}){3,4}(?![0-9])"),
-    ("local_phone", r"(?<![0-9A-Za-z+./-])(?:0[0-9]{1,4}(?:/| / )[0-9]{4,9}|\(0[0-9]{1,4}\) ?[0-9]{4,9}|0[1-9](?:[ .][0-9]{2}){4})(?![0-9./-]*[0-9])"),
+    ("local_phone", r"(?<![0-9A-Za-z+./-])(?:0[0-9]{1,4}(?:/| / )[0-9]{4,9}|\(0[0-9]{1,4}\) ?[0-9]{4,9}|0[0-9](?:[ .][0-9]{2}){4})(?![0-9./-]*[0-9])"),
 )
 #: Kinds that are counted as another.
 _AS = {"named_secret": "secret", "token": "secret", "written_date": "date", "short_date": "date", "local_date": "date", "far_phone": "phone", "local_phone": "phone"}
