@@ -274,3 +274,9 @@ def test_options_as_columns_equal_options(spark):
         assert (r["asked"], r["hits"], r["sites"]) == (want["pages"], want.get("hits"), want.get("sites"))
     first = spark.createDataFrame([("bing", 3), ("baidu", 1), ("other", 2)], "s string, p int").select(spec.page_offset(F.col("s"), F.col("p")).alias("x")).collect()
     assert [r["x"] for r in first] == [21, 0, None]
+
+
+def test_lines_that_are_no_objects_are_shown(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "title": "t"}\n\n[1]\n{"id": 2\nnull\n{"id": 3}\n')
+    assert sorted(r["line"] for r in files.broken_lines(spark, str(tmp_path / "a.jsonl")).collect()) == ["[1]", "null", '{"id": 2']
+    assert {1, 3} <= {r["id"] for r in files.read_jsonl(spark, str(tmp_path / "a.jsonl")).collect()}

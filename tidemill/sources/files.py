@@ -70,11 +70,18 @@ def write_jsonl(records: DataFrame, path: str) -> None:
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON lines; lines that are no objects are left out, null texts become ''."""
+    """Records of JSON lines; lines that are no objects are left out (broken_lines() has them), null texts become ''."""
     rows = spark.read.schema(RECORD).option("mode", "DROPMALFORMED").json(path)
     return rows.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in FIELDS[1:]])
 
 
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line: the lines of a file or folder of JSON lines that are no objects. Blank lines are no lines."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    kind = F.coalesce(F.schema_of_variant(F.try_parse_json("line")), F.lit(""))
+    return lines.where((F.trim("line") != "") & ~kind.startswith("OBJECT"))
+
+
 CSV = {"escape": '"', "emptyValue": "", "nullValue": "", "lineSep": "\r\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
