@@ -28,6 +28,8 @@ def test_sentences_come_back_from_every_codec(text, codecs):
 
 
 def test_bodies_that_say_little():
+    for word in ("标题", "校园舆情", "新闻", "北京", "记者报道", "关于安全"):
+        assert detected(f'{{"title": "{word}"}}'.encode("gb18030"))[1] == f'{{"title": "{word}"}}'
     assert detected(b"") == ("utf-8-sig", "") and detected(b"plain")[1] == "plain" and detected(b"\xef\xbb\xbfx")[1] == "x"
     assert isinstance(detected(bytes(range(256)))[1], str) and detected(b"\xff")[1] and detected(b"a\x00b\x00c\x00")[1] == "abc"
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,8 +123,8 @@ _FORMS = {
 }
 
 
-def export(records: DataFrame, prefix: str, kinds=("json", "jsonl", "csv"), order: str = "id") -> list[str]:
-    """Single files, on any store: an indented JSON array, JSON lines, and CSV with a byte order mark.
+def export(records: DataFrame, prefix: str, kinds=("json", "jsonl", "csv"), order: str = "id") -> list[str | Path]:
+    """Single files, on any store (their names; those of local ones as paths): an indented JSON array, JSON lines, and CSV with a byte order mark.
 
     Tasks write ranges of the order side by side and commit them; then the driver's JVM joins these bytes, 8 kB at a time,
     in a file beside the target, which takes the target's place at last. A run that dies leaves the old file whole."""
@@ -133,7 +134,7 @@ def export(records: DataFrame, prefix: str, kinds=("json", "jsonl", "csv"), orde
         text, between, head, end = _FORMS[kind]
         rows.select(text().alias("value")).write.option("lineSep", between).text(parts)
         _join(records.sparkSession, parts, target, head, end, len(between))
-        out.append(target)
+        out.append(target if "://" in target else Path(target))
     return out
 
 
