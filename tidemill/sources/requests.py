@@ -140,13 +140,13 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
 def fetch_plan(spark: SparkSession, plan: Sequence[Request], path: str, checkpoint: str, longest: float = float("inf"), every: str = "1 second", **how: Any) -> bool:
     """Makes the plan's requests and writes their answers as a table at path; call again, with the same plan and checkpoint, to go on.
 
-    Ends when all have been made, or after `longest` seconds; returns whether all have been."""
+    Ends when all have been made, or after `longest` seconds and a micro-batch; returns whether all have been."""
     kind = source(plan, **how)
     spark.dataSource.register(kind)
     began, total = time.monotonic(), len(plan)
     query = spark.readStream.format(kind.name()).load().writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
     try:
-        while query.isActive and time.monotonic() - began < longest:
+        while query.isActive and (query.lastProgress is None or time.monotonic() - began < longest):
             if _ended(query) >= total:
                 return True
             query.awaitTermination(1)
