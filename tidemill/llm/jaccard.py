@@ -20,8 +20,10 @@ and checks above it, from the histogram of small sizes.
 Pairs from lists that bitmaps of the sets do not rule out are checked on whole sets. A short list yields all its pairs. A long one
 yields a star per size band first. After components are known, the long lists that lie
 mainly in one component are one group, and its members outside that component are compared
-with all others of the group, in blocks. So a large family of near copies costs one check per
-member and list, and no link is lost.
+with all others of the group, in blocks: by bitmaps first, and those that have a possible partner
+by whole sets. So a large family of near copies costs one check per
+member and list, and no link is lost. The sketch fills up as a table grows, so that more lists are
+long there without links in them; these cost bitmaps, a 32nd to a 16th of their sets.
 
 Inside, a set goes by an id of its own, 64 bits of its 128-bit hash (hashed anew should two
 sets ever get the same one), so that copies are one set and the texts of one doc_id are several.
@@ -53,6 +55,8 @@ SLOTS, PARTS = 1 << 22, 64
 SHORT_LIST = 8
 BLOCK = 1 << 16
 """Shingles of a block of whole sets (512 KB)."""
+MAP_BLOCK, MAP_WEIGHT = 1 << 20, 256
+"""Shingles of a block of bitmaps (512 KB at most), and how many more each set counts as."""
 LARGEST_LIGHT = 20
 """The largest size for which cost may choose subsets: those of one larger set would fill a worker's memory."""
 CHECK_COST = 8.0
@@ -343,13 +347,15 @@ def ids_of(texts: pa.Array, salt: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def possible(pairs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of sets that sizes and bitmaps of rows (META) do not rule out; no pair that links is lost.
-
-    A set's bitmap comes from the rows of its class's least doc_id."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def bitmaps(ids: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, n, p: size and bitmap of each set in ids (node), from the rows of META of its class's least doc_id."""
     reps = classes.join(ids, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node")
-    one = rows.join(reps, ["doc_id", "node"], "left_semi").groupBy("doc_id", "node").agg(F.max("n_shingles").alias("n"), F.max("parity").alias("p")).select("node", "n", "p")
+    return rows.join(reps, ["doc_id", "node"], "left_semi").groupBy("doc_id", "node").agg(F.max("n_shingles").alias("n"), F.max("parity").alias("p")).select("node", "n", "p")
+
+
+def possible(pairs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of sets that sizes and bitmaps of rows (META) do not rule out; no pair that links is lost."""
+    one = bitmaps(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), rows, classes)
 
     def run(batches):
         for batch in batches:
@@ -404,23 +410,66 @@ def joining(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-def linked_rest(group: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """group: main, doc_id, n, c (component). Of the links between a member outside component `main` and any member of another
-    component, as many from each pair of blocks as join the same components.
+def block_pairs(group: DataFrame, values: DataFrame, value: str, weight, most: int) -> DataFrame:
+    """group: main, doc_id, n, c (component). left, right: blocks of each group, every one of members outside component `main` beside every one
+    of all members, as arrays of doc_id, n, c and the value that values (doc_id, value) has for each.
 
-    Members are dealt by hash into blocks of about BLOCK shingles, and the blocks of a group by the right block's
+    Members are dealt by hash into blocks of about `most` in weight, and the blocks of a group by the right block's
     number; a task holds two blocks at a time."""
-    n = F.col("n")
-    parts = group.groupBy("main").agg(F.ceil(F.sum(n) / BLOCK).alias("rights"), F.ceil(F.sum(F.when(F.col("c") != F.col("main"), n)) / BLOCK).alias("lefts")).where("lefts > 0")
-    member = F.struct("doc_id", "n", "c", "shingles")
+    parts = group.groupBy("main").agg(F.ceil(F.sum(weight) / most).alias("rights"), F.ceil(F.sum(F.when(F.col("c") != F.col("main"), weight)) / most).alias("lefts")).where("lefts > 0")
+    member = F.struct("doc_id", "n", "c", value)
 
     def blocks(members: DataFrame, count: str, name: str, *keep: str) -> DataFrame:
-        placed = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col(count))).join(sets, "doc_id")
+        placed = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col(count))).join(values, "doc_id")
         return placed.groupBy("main", "part", *keep).agg(F.collect_list(member).alias(name))
 
     some = group.join(parts, "main")
     left = blocks(some.where("c <> main"), "lefts", "left", "rights").drop("part").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights").cast("long") - 1)))
-    right = blocks(some, "rights", "right")
+    return left.join(blocks(some, "rights", "right"), ["main", "part"]).select("main", "left", "right")
+
+
+def near_members(group: DataFrame, maps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """main, doc_id: the members of each group that may link with one of another component, one of both outside component `main`;
+    sizes and bitmaps (maps: doc_id, p) rule out the others. No member of a link is lost."""
+
+    def rows(items):
+        x = items.values
+        return x.field("doc_id").to_numpy(), x.field("n").to_numpy(), x.field("c").to_numpy(), [v.as_buffer() for v in x.field("p")]
+
+    def by_length(raw) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(bytes, places, bitmaps as rows) of the bitmaps of each length."""
+        size = np.array([v.size for v in raw])
+        return [(k, at, np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), k)) for k in np.unique(size).tolist() for at in [np.flatnonzero(size == k)]]
+
+    def compare(batches):
+        for batch in batches:
+            for main, left, right in zip(batch.column("main").to_pylist(), batch.column("left"), batch.column("right")):
+                a, na, ca, pa_ = rows(left)
+                b, nb, cb, pb = rows(right)
+                near_a, near_b, others = np.zeros(len(a), bool), np.zeros(len(b), bool), by_length(pb)
+                for ka, ia, xa in by_length(pa_):
+                    for kb, ib, xb in others:
+                        if max(ka, kb) > 2 * min(ka, kb):  # sizes that can link have bitmaps of one length or of the next
+                            continue
+                        k = min(ka, kb)
+                        x, y = (np.ascontiguousarray(np.bitwise_xor.reduce(z.reshape(len(z), -1, k), axis=1)).view(np.uint64) for z in (xa, xb))
+                        for i, one in zip(ia.tolist(), x):
+                            n = na[i] + nb[ib]
+                            fit = np.flatnonzero((cb[ib] != ca[i]) & (100 * np.minimum(na[i], nb[ib]) >= percent * np.maximum(na[i], nb[ib])))
+                            apart = np.bitwise_count(y[fit] ^ one).sum(axis=1, dtype=np.int64)
+                            hit = fit[apart <= (n - 2 * -(-percent * n // (100 + percent)))[fit]]
+                            near_a[i] |= len(hit) > 0
+                            near_b[ib[hit]] = True
+                found = np.unique(np.concatenate([a[near_a], b[near_b]]))
+                yield pa.RecordBatch.from_arrays([pa.array([main] * len(found), pa.int64()), pa.array(found)], ["main", "doc_id"])
+
+    pairs = block_pairs(group, maps, "p", F.col("n") + MAP_WEIGHT, MAP_BLOCK)
+    return pairs.mapInArrow(tidy(compare), "main long, doc_id long").distinct()
+
+
+def linked_rest(group: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """group: main, doc_id, n, c (component). Of the links between a member outside component `main` and any member of another
+    component, as many from each pair of blocks as join the same components."""
 
     def rows(items):
         x = items.values
@@ -448,7 +497,7 @@ def linked_rest(group: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Da
                 use = joining(ca[i], cb[j])
                 yield pa.RecordBatch.from_arrays([pa.array(a[i[use]]), pa.array(b[j[use]])], ["a", "b"])
 
-    return left.join(right, ["main", "part"]).select("left", "right").mapInArrow(tidy(compare), "a long, b long")
+    return block_pairs(group, sets, "shingles", F.col("n"), BLOCK).select("left", "right").mapInArrow(tidy(compare), "a long, b long")
 
 
 def labelled(docs: DataFrame, percent: int, whole_documents: bool) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -469,11 +518,12 @@ def labelled(docs: DataFrame, percent: int, whole_documents: bool) -> tuple[Data
     sizes = {r["n_shingles"]: r["n"] for r in rows.where(f"n_shingles BETWEEN 1 AND {LARGEST_LIGHT}").groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     found = materialise(candidates(docs, ranks, light_boundary(sizes, percent), percent, salt).distinct())
     pairs = materialise(possible(found.where("kind = 0"), rows, classes, percent))
-    wanted = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).unionByName(
-        _members(found).select("doc_id")
-    ).distinct())
-    reps = classes.join(wanted, classes["node"] == wanted["doc_id"], "left_semi").select(F.col("rep").alias("doc_id"))
-    sets = materialise(whole_sets(docs, reps, wanted, salt))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        reps = classes.join(wanted, classes["node"] == wanted["doc_id"], "left_semi").select(F.col("rep").alias("doc_id"))
+        return materialise(whole_sets(docs, reps, wanted, salt))
+
+    sets = sets_of(materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()))
     links = linked(pairs, sets, percent).unionByName(found.where("kind = 1").select("a", "b"))
     if whole_documents:
         several = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
@@ -488,7 +538,12 @@ def labelled(docs: DataFrame, percent: int, whole_documents: bool) -> tuple[Data
         main = materialise(long.groupBy("list", "c").agg(F.count("*").alias("k")).groupBy("list").agg(F.max_by("c", F.struct("k", "c")).alias("main")))
         # lists of one main component are one group; its members outside that component are compared with all others, in blocks
         group = materialise(long.join(main, "list").groupBy("main", "doc_id").agg(F.max("n").alias("n"), F.max("c").alias("c")))
-        more = linked_rest(group, sets, percent)
+        # most lists of a large table have no links: only members that bitmaps leave a partner send their whole sets
+        maps = bitmaps(group.select(F.col("doc_id").alias("node")).distinct(), rows, classes).select(F.col("node").alias("doc_id"), "p")
+        group = materialise(group.join(near_members(group, maps, percent), ["main", "doc_id"], "left_semi"))
+        if not group.take(1):
+            return rows, classes, label, salt
+        more = linked_rest(group, sets_of(materialise(group.select("doc_id").distinct())), percent)
         label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))  # a star for each component
     return rows, classes, label, salt
 
