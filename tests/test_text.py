@@ -74,3 +74,20 @@ def test_int_list_and_quote(spark):
 def test_paragraphs(spark):
     page = "<script>var t='</p>'</script><nav><p>menu menu menu menu</p></nav><p>one <b>bold<br><p class=x>two</p> loose <p>three"
     assert [x.strip() for x in run(spark, [(page,)], T.paragraphs)[0]] == ["one  bold", "two", "three"]
+
+
+def test_closed_references(spark):
+    cases = [("a&amp<style>b &amp; &copy;", "a&amp b & ©"), ("&ampfoo; &#65; &#x42; &#67 &lt;b&gt;x", "&ampfoo; A B &#67 x"), (None, "")]
+    assert run(spark, cases, lambda c: T.clean_text(c, closed=True)) == [c[1] for c in cases]
+
+
+def test_cleaned_pages_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from tidemill.plans import catalog
+
+    pages = [(1, "https://a/", "<h1>and&amp</h1><style>p{}</style> &copy; &amp; b"), (2, "https://b/", "x &am <p>&middot;&quot;</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    sql = catalog.oracle_sql()["q02_clean_html"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = [tuple(r) for r in catalog.queries()["q02_clean_html"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(duckdb.sql(sql).fetchall())

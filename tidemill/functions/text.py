@@ -7,6 +7,8 @@ argument is null for texts without '&', so that other rows cost nothing.
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,18 @@ def _unescaped(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+_CLOSED = re.compile("&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _unescaped_reference(found: re.Match) -> str:
+    return html.unescape(found[0]) if found[0][1] == "#" else html5.get(found[0][1:], found[0])
+
+
+@F.pandas_udf(StringType())
+def _unescaped_closed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: _CLOSED.sub(_unescaped_reference, t), na_action="ignore")
+
+
 def kept(df: DataFrame, keep) -> DataFrame:
     """Rows for which keep(row) holds; keep takes a struct of the columns.
 
@@ -31,8 +45,9 @@ def kept(df: DataFrame, keep) -> DataFrame:
     return df.select(F.explode(F.filter(F.array(row), keep)).alias("_row")).select("_row.*")
 
 
-def unescape(c: Column) -> Column:
-    return F.coalesce(_unescaped(F.when(F.contains(c, F.lit("&")), c)), c)
+def unescape(c: Column, closed: bool = False) -> Column:
+    """Character references as characters; with closed only those that end in a semicolon."""
+    return F.coalesce((_unescaped_closed if closed else _unescaped)(F.when(F.contains(c, F.lit("&")), c)), c)
 
 
 def squeeze(c: Column) -> Column:
@@ -40,10 +55,10 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
-def clean_text(c: Column, entities: bool = True) -> Column:
-    """One pass: character references, then tags to spaces, then white space. Null gives ''."""
+def clean_text(c: Column, entities: bool = True, closed: bool = False) -> Column:
+    """One pass: character references (with closed only those that end in a semicolon), then tags to spaces, then white space. Null gives ''."""
     c = F.coalesce(c.cast("string"), F.lit(""))
-    return squeeze(F.regexp_replace(unescape(c) if entities else c, "<[^>]+>", " "))
+    return squeeze(F.regexp_replace(unescape(c, closed) if entities else c, "<[^>]+>", " "))
 
 
 def light_strip(c: Column) -> Column:
