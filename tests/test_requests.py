@@ -83,3 +83,10 @@ def test_a_restart_in_the_middle_gives_the_same_answers(spark, tmp_path):
     found = requests.stored(spark, str(tmp_path / "a"))
     assert done and not (first and done is None) and found.count() == 24
     assert {p: a[0] is not None for p, a in rows(found).items()} == {p: u is not None for p, u in want(asked).items()}
+
+
+def test_a_large_plan_does_not_travel_with_its_tasks():
+    reader = requests.source(plan(3000), connect, rate=1e6, burst=200, clock=lambda: 0.0)({}).streamReader(None)
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert sorted(r.page for p in parts for r in p.requests) == sorted([3 * i for i in range(200)] + [i for i in range(300) if i % 3])
+    assert len(parts) <= requests.TASKS and len(cloudpickle.dumps(reader)) < 20_000

@@ -2,8 +2,8 @@
 
 The offset says how many requests of each platform have been admitted, in the plan's order. latestOffset() is the
 rate limiter: a bucket per platform gains `rate` requests a second up to `burst`, so a platform is asked no faster
-however many tasks a cluster runs, and platforms do not wait for each other. A micro-batch reads one request per
-partition: attempts, pauses between them, headers and the platform's cookie are safe_get()'s, over one session per
+however many tasks a cluster runs, and platforms do not wait for each other. A micro-batch deals its requests to
+at most TASKS partitions, each of which makes its own one after the other: attempts, pauses between them, headers and the platform's cookie are safe_get()'s, over one session per
 Python worker. An answer that never came is a row with its error.
 
 Offsets and rows go through the checkpoint: after a restart the requests that were admitted and not written are
@@ -28,6 +28,9 @@ SCHEMA = "keyword string, platform string, step int, page int, payload string, e
 #: Requests a second of each platform: one in the mean pause between two.
 RATE = 2 / (fetch.LEAST_DELAY + fetch.MOST_DELAY)
 
+#: Partitions of a micro-batch at most; with fewer requests each has one of its own.
+TASKS = 48
+
 
 class Request(NamedTuple):
     keyword: str
@@ -40,8 +43,13 @@ class Request(NamedTuple):
 
 
 class _Admitted(InputPartition):
-    def __init__(self, request: Request) -> None:
-        self.request = request
+    def __init__(self, requests: Sequence[Request]) -> None:
+        self.requests = list(requests)
+
+    @property
+    def request(self) -> Request:
+        """The first one."""
+        return self.requests[0]
 
 
 def urlopen() -> Callable[..., fetch.Answer]:
@@ -86,19 +94,24 @@ def source(plan: Sequence[Request], connect: Callable[[], Callable[..., fetch.An
         by_platform.setdefault(request.platform, []).append(request)
 
     class Reader(DataSourceStreamReader):
-        def __init__(self) -> None:
+        def __init__(self, by_platform: dict[str, list[Request]]) -> None:
+            self.by_platform = by_platform
             self.admitted: dict[str, int] | None = None
             self.tokens = dict.fromkeys(by_platform, float(burst))
             self.at = clock()
 
+        def __getstate__(self) -> dict:
+            """For tasks, which read their own partitions' requests: the plan does not travel with each of them."""
+            return {}
+
         def initialOffset(self) -> dict:
-            return dict.fromkeys(by_platform, 0)
+            return dict.fromkeys(self.by_platform, 0)
 
         def latestOffset(self) -> dict:
             if self.admitted is None:
                 self.admitted = self.initialOffset()
             now = clock()
-            for platform, requests in by_platform.items():
+            for platform, requests in self.by_platform.items():
                 gained = (now - self.at) * (rate.get(platform, RATE) if isinstance(rate, dict) else rate)
                 self.tokens[platform] = min(float(burst), self.tokens[platform] + gained)
                 n = min(int(self.tokens[platform]), len(requests) - self.admitted[platform])
@@ -109,11 +122,14 @@ def source(plan: Sequence[Request], connect: Callable[[], Callable[..., fetch.An
 
         def partitions(self, start: dict, end: dict) -> list[InputPartition]:
             # after a restart the checkpoint is ahead of a new reader, which then goes on from there
-            self.admitted = {p: max(end.get(p, 0), (self.admitted or {}).get(p, 0)) for p in by_platform}
-            return [_Admitted(r) for p, requests in by_platform.items() for r in requests[start.get(p, 0) : end.get(p, 0)]]
+            self.admitted = {p: max(end.get(p, 0), (self.admitted or {}).get(p, 0)) for p in self.by_platform}
+            asked = [r for p, requests in self.by_platform.items() for r in requests[start.get(p, 0) : end.get(p, 0)]]
+            n = min(TASKS, len(asked))
+            return [_Admitted(asked[i::n]) for i in range(n)]  # a platform's requests go to many partitions
 
         def read(self, partition: _Admitted):
-            yield answer(partition.request, fetch.session(connect), sleep, dict(os.environ))
+            for request in partition.requests:
+                yield answer(request, fetch.session(connect), sleep, dict(os.environ))
 
         def commit(self, end: dict) -> None:
             pass
@@ -127,7 +143,7 @@ def source(plan: Sequence[Request], connect: Callable[[], Callable[..., fetch.An
             return SCHEMA
 
         def streamReader(self, schema):
-            return Reader()
+            return Reader(by_platform)
 
     return Requests
 
