@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tidemill.sources import json_array
+from tidemill.sources import files, json_array
 
 
 def read(spark, path, size):
@@ -55,3 +55,17 @@ def test_files_count_only_as_a_whole(spark, tmp_path):
     assert found == {f"{i:02}.json": whole for i, (_, whole, _) in enumerate(CASES)}
     counts = {r["file"].rpartition("/")[2]: r["count"] for r in objects.groupBy("file").count().collect()}
     assert all(n is None or counts.get(f"{i:02}.json", 0) == n for i, (_, _, n) in enumerate(CASES))
+
+
+def test_objects_of_one_file_do_not_meet_in_one_task(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": i, "title": f"t{i}"} for i in range(50)]))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = files.array_records(spark, str(tmp_path / "a.json"))
+        assert rows.count() == 50
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    semi = next(line for line in plan.splitlines() if "LeftSemi" in line)
+    assert "broadcast" in semi

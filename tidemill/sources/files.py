@@ -25,7 +25,7 @@ def array_records(spark: SparkSession, path: str) -> DataFrame:
 
     A file that is no array of objects to its end gives none. Null texts become ''."""
     objects, found = array_objects(spark, path)
-    whole = objects.join(found.where("whole").select("file"), "file", "left_semi")
+    whole = objects.join(F.broadcast(found.where("whole").select("file")), "file", "left_semi")  # dealt by file, all objects of one would meet in a task
     rows = whole.select(F.from_json("value", RECORD).alias("r"), F.struct("file", "begin", "at").alias("seq"), F.col("value").alias("line"))
     return rows.select("r.id", *[F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in FIELDS[1:]], "seq", "line")
 
