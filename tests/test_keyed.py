@@ -52,3 +52,43 @@ def test_a_store_gives_the_first_states(spark, tmp_path):
     run(spark, tmp_path / "in", tmp_path / "out", tmp_path / "ckpt")
     assert rows(store.records()) == [(10001, "a"), (10002, "n")]
     assert store.keys().select(F.count_distinct("fp")).first()[0] == 2
+
+
+def test_fingerprints_of_a_group_share_a_call_and_keep_states_of_their_own():
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.kept = {}
+
+        def getMapState(self, name, key, value):
+            return self
+
+        def exists(self):
+            return bool(self.kept)
+
+        def containsKey(self, key):
+            return key in self.kept
+
+        def updateValue(self, key, value):
+            self.kept[key] = value
+
+    seen, state = keyed._FirstSeen(), Handle()
+    seen.init(state)
+    seen.handleInitialState(("a",), pd.DataFrame({"fp": ["a0"]}), None)
+    frame = lambda *rows: pd.DataFrame([{**dict.fromkeys(keyed.ROW.names, "x"), "seq": s, "title": t, "fp": fp} for fp, s, t in rows])
+    parts = [frame(("a1", 3, "late"), ("a2", 5, "b"), ("a0", 1, "old")), frame(("a1", 2, "late"), ("a1", 1, "first"), ("a2", 5, "a"))]
+    out = pd.concat(seen.handleInputRows(("a",), iter(parts), None))
+    assert sorted(zip(out["title"], out["seq"])) == [("a", 5), ("first", 1)]
+    assert set(state.kept) == {("a0",), ("a1",), ("a2",)}
+    assert not list(seen.handleInputRows(("a",), iter(parts), None))
+
+
+def test_a_stream_of_few_groups_equals_the_merge(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "DIGITS", 1)
+    for i in range(2):
+        put(spark, tmp_path / "in", [f"t{(j * 7) % 120}" for j in range(100 * i, 100 * i + 150)], 1000 * i)
+        progress = run(spark, tmp_path / "in", tmp_path / "out", tmp_path / "ckpt").lastProgress
+    assert sum(s["numRowsTotal"] for s in progress["stateOperators"]) == 120
+    found = Store(spark, str(tmp_path / "out")).records().orderBy("id").collect()
+    assert [(r["id"], r["title"]) for r in found] == [(10001 + j, f"t{(j * 7) % 120}") for j in range(120)]
