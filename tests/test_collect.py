@@ -280,3 +280,34 @@ def test_lines_that_are_no_objects_are_shown(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1, "title": "t"}\n\n[1]\n{"id": 2\nnull\n{"id": 3}\n')
     assert sorted(r["line"] for r in files.broken_lines(spark, str(tmp_path / "a.jsonl")).collect()) == ["[1]", "null", '{"id": 2']
     assert {1, 3} <= {r["id"] for r in files.read_jsonl(spark, str(tmp_path / "a.jsonl")).collect()}
+
+
+def _jobs(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_an_audit_reads_all_parts_at_once(spark, tmp_path):
+    found = []
+    for n in (1, 12):
+        rows = spark.range(12).selectExpr("id", "'t' AS title", "'x' AS text", "'' AS time", "'s-1' AS source", "'u' AS url")
+        rows.repartition(n, "id").write.json(str(tmp_path / f"lines{n}"))
+        found.append(_jobs(spark, f"audit-{n}", lambda n=n: audit.report(spark, str(tmp_path / f"lines{n}"))))
+    assert [(f["records"], f["complete"]) for f, _ in found] == [(12, True)] * 2
+    assert found[0][1] == found[1][1]
+
+
+def test_the_audited_records_are_made_once(spark, tmp_path, monkeypatch):
+    from tidemill.plans import catalog
+    from tidemill.sources import files
+
+    plans, export = [], files.export
+    monkeypatch.setattr(files, "export", lambda records, *more: plans.append(records._jdf.queryExecution().executedPlan().toString()) or export(records, *more))
+    docs = [(i, f"a &lt; {i}", "s-1", "de") for i in range(5)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.queries()["q51_audit"](spark, str(tmp_path)).collect()
+    assert sorted((r["form"], r["family"], r["n"], r["records"], r["complete"]) for r in found) == [(f, "s", 5, 5, True) for f in ("json", "jsonl", "table")]
+    assert plans and not any("Python" in p for p in plans)
