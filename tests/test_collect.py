@@ -311,3 +311,15 @@ def test_the_audited_records_are_made_once(spark, tmp_path, monkeypatch):
     found = catalog.queries()["q51_audit"](spark, str(tmp_path)).collect()
     assert sorted((r["form"], r["family"], r["n"], r["records"], r["complete"]) for r in found) == [(f, "s", 5, 5, True) for f in ("json", "jsonl", "table")]
     assert plans and not any("Python" in p for p in plans)
+
+
+def test_connectors_hand_small_batches_to_python(spark, monkeypatch):
+    from tidemill import scratch
+    from tidemill.plans import collect as plan
+
+    key, seen, whole = next(iter(scratch.BATCHES)), [], scratch.settings
+    monkeypatch.setattr(scratch, "settings", lambda s, values: seen.append(values[key]) or whole(s, values))
+    rows = spark.createDataFrame([("t", "x", "", "s", "u", 1)], "title string, text string, time string, source string, url string, seq long")
+    monkeypatch.setattr(plan, "platform_records", lambda *a: rows)
+    assert [(r["id"], r["title"]) for r in plan.collect(None, None, plan.S.CollectSpec()).collect()] == [(10001, "t")]
+    assert seen[0] == "1m"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import article_text
 from ..operators import control
 from ..operators.records import FIELDS, RECORD, assign_ids, cleaned, deduplicate, make_record, raw_fields
-from ..scratch import aside, exists, materialise, scratch_dir
+from ..scratch import SMALL_BATCHES, aside, exists, materialise, scratch_dir
 from ..sources import files
 from ..sources import payloads as P
 from ..sources.fetch import repaired_text
@@ -222,7 +222,7 @@ def collect(answers: DataFrame, tasks: DataFrame, spec: S.CollectSpec, details:
     """The numbered batch: id, the five fields.
 
     Records are written before they are numbered: the numbering ranges them by a sample first, which would read all answers twice."""
-    found = materialise(platform_records(answers, tasks, spec, details))
+    found = materialise(platform_records(answers, tasks, spec, details), SMALL_BATCHES)
     return assign_ids(deduplicate(found), start=spec.start_id).select(*FIELDS)
 
 
