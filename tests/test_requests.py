@@ -90,3 +90,39 @@ def test_a_large_plan_does_not_travel_with_its_tasks():
     parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
     assert sorted(r.page for p in parts for r in p.requests) == sorted([3 * i for i in range(200)] + [i for i in range(300) if i % 3])
     assert len(parts) <= requests.TASKS and len(cloudpickle.dumps(reader)) < 20_000
+
+
+def test_a_large_plan_does_not_travel_with_its_data_source():
+    """Spark pickles the data source into the read function of every task."""
+    kind = requests.source(plan(3000), connect, rate=1e6, burst=200, clock=lambda: 0.0)
+    assert len(cloudpickle.dumps(kind({}))) < 20_000
+
+
+def test_a_plan_is_read_by_ranges(tmp_path):
+    asked = plan(20_000)
+    stored = requests.Plan.written(iter(asked), str(tmp_path))
+    by_platform = {p: [r for r in asked if r.platform == p] for p in ("news", "weibo")}
+    assert stored.counts == {p: len(rs) for p, rs in by_platform.items()}
+    for p, rs in by_platform.items():
+        for start, end in ((0, 0), (0, 1), (4095, 4097), (4096, 8192), (5000, len(rs) + 9), (9, 5), (0, len(rs))):
+            assert [Request(**r) for r in stored.part(p, start, end).to_pylist()] == rs[start:end]
+
+
+def test_micro_batches_ahead_keep_each_platforms_rate():
+    now, rate, burst = [100.0], {"news": 1.0, "weibo": 3.0}, 3
+    reader = requests.source(plan(3000), connect, rate=rate, burst=burst, clock=lambda: now[0], ahead=10.0)({}).streamReader(None)
+    end, due = reader.initialOffset(), {p: [] for p in rate}
+    for spent in (5.0, 0.5, 20.0, 5.0, 5.0):
+        start, end = end, reader.latestOffset()
+        now[0] += 0.25
+        for part in reader.partitions(start, end):
+            assert part.due == sorted(part.due) and len(part.due) == len(part.requests)
+            for r, at in zip(part.requests, part.due):
+                due[r.platform].append(at)
+        now[0] += spent
+    assert end["news"] > 5 * burst and end["weibo"] > 50  # more than the bursts of five micro-batches
+    for p, times in due.items():
+        times.sort()
+        assert len(times) == end[p] and times[-1] <= now[0] + 10
+        for i, a in enumerate(times):
+            assert all(j - i + 1 <= burst + rate[p] * (b - a) + 1e-6 for j, b in enumerate(times[i:], i))

@@ -126,8 +126,8 @@ def q56(spark, d):
     """A request for each user of events, as a stream that is stopped and started again; the transport gives the events' statuses."""
     path = scratch_dir(spark)
     how = {"connect": X.event_transport, "sleep": _no_pause, "rate": 1e6, "burst": 64, "every": "0 seconds"}
-    plan = X.event_requests(spark, d)
-    requests.fetch_plan(spark, plan, f"{path}/answers", f"{path}/checkpoint", longest=1, **how)
-    requests.fetch_plan(spark, plan, f"{path}/answers", f"{path}/checkpoint", **how)
+    with requests.kept(X.event_requests(spark, d)) as plan:
+        requests.fetch_plan(spark, plan, f"{path}/answers", f"{path}/checkpoint", longest=1, **how)
+        requests.fetch_plan(spark, plan, f"{path}/answers", f"{path}/checkpoint", **how)
     state = F.when(F.col("error").isNull(), "answered").otherwise("failed")
     return requests.stored(spark, f"{path}/answers").select(F.col("keyword").cast("long").alias("user_id"), F.col("payload").cast("long").alias("used"), state.alias("state"))

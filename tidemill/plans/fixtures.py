@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -267,14 +268,14 @@ def feed_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.when(harm == 4, F.concat(frame[0], before, own, open_, F.lit("<title>Behi"))).otherwise(whole).alias("feed"))
 
 
-def event_requests(spark: SparkSession, sf_dir: str) -> list[Request]:
+def event_requests(spark: SparkSession, sf_dir: str) -> Iterator[Request]:
     """One request per user of events: the statuses of its attempts, in order, stand in the url. Three attempts are all that is made."""
     e = load(spark, sf_dir, "events").select("user_id", "event_id", F.element_at(F.array(*map(F.lit, (200, 403, 500, 429, 404))), (F.pmod("event_id", F.lit(5)) + 1).cast("int")).alias("status"))
     first = e.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("n <= 3")
     statuses = F.transform(F.array_sort(F.collect_list(F.struct("n", "status"))), lambda x: x["status"].cast("string"))
-    rows = first.groupBy("user_id").agg(F.array_join(statuses, ",").alias("statuses")).orderBy("user_id").collect()
+    rows = first.groupBy("user_id").agg(F.array_join(statuses, ",").alias("statuses")).orderBy("user_id").toLocalIterator()
     names = list(PLATFORMS)
-    return [Request(str(r["user_id"]), names[i % len(names)], 0, 1, f"test:{r['statuses']}/{r['user_id']}") for i, r in enumerate(rows)]
+    return (Request(str(r["user_id"]), names[i % len(names)], 0, 1, f"test:{r['statuses']}/{r['user_id']}") for i, r in enumerate(rows))
 
 
 def event_transport():

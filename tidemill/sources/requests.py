@@ -2,23 +2,37 @@
 
 The offset says how many requests of each platform have been admitted, in the plan's order. latestOffset() is the
 rate limiter: a bucket per platform gains `rate` requests a second up to `burst`, so a platform is asked no faster
-however many tasks a cluster runs, and platforms do not wait for each other. A micro-batch deals its requests to
-at most TASKS partitions, each of which makes its own one after the other: attempts, pauses between them, headers and the platform's cookie are safe_get()'s, over one session per
-Python worker. An answer that never came is a row with its error.
+however many tasks a cluster runs, and platforms do not wait for each other. With `ahead`, a micro-batch also admits
+what its bucket gains while it runs, taken to be as long as the one before; each request has the time from which its
+bucket allows it, and its task waits for that (the clocks of the machines are taken to agree). So the pause between
+micro-batches costs no rate, and no more than burst and rate allow is asked at any time.
+
+A micro-batch deals its requests to at most TASKS partitions, each of which makes its own one after the other:
+attempts, pauses between them, headers and the platform's cookie are safe_get()'s, over one session per Python worker.
+An answer that never came is a row with its error.
+
+Spark sends the data source with every task. So the plan lies in files of the driver's, which its planner maps into
+memory; tasks get the requests of their partition and nothing else of the plan.
 
 Offsets and rows go through the checkpoint: after a restart the requests that were admitted and not written are
 made again and no others. Transport, clock and sleep are parameters, so tests need no network."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import os
+import shutil
+import tempfile
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any, NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -31,6 +45,12 @@ RATE = 2 / (fetch.LEAST_DELAY + fetch.MOST_DELAY)
 #: Partitions of a micro-batch at most; with fewer requests each has one of its own.
 TASKS = 48
 
+#: Requests of a micro-batch at most, beyond a single one of each platform: they pass through the driver, and are what a failure makes again.
+MOST = 100_000
+
+#: Seconds that a micro-batch of fetch_plan() admits ahead at most.
+AHEAD = 10.0
+
 
 class Request(NamedTuple):
     keyword: str
@@ -42,9 +62,75 @@ class Request(NamedTuple):
     """Of its timeout and retries: default, search, article, ..."""
 
 
+class Plan(NamedTuple):
+    """A plan in a folder of the driver's own: an Arrow file a platform, in batches of CHUNK requests."""
+
+    folder: str
+    counts: dict[str, int]
+    """Of requests, by platform."""
+
+    CHUNK = 4096
+    FIELDS = pa.schema([("keyword", pa.string()), ("platform", pa.string()), ("step", pa.int64()), ("page", pa.int64()), ("url", pa.string()), ("kind", pa.string())])
+
+    @classmethod
+    def written(cls, plan: Iterable[Request], folder: str) -> Plan:
+        waiting: dict[str, list[Request]] = {}
+        counts: dict[str, int] = {}
+        with contextlib.ExitStack() as files:
+            out: dict[str, pa.RecordBatchFileWriter] = {}
+
+            def flush(platform: str) -> None:
+                out[platform].write_batch(pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*waiting[platform]), cls.FIELDS)], schema=cls.FIELDS))
+                waiting[platform] = []
+
+            for request in map(Request._make, plan):
+                platform = request.platform
+                if platform not in out:
+                    out[platform] = files.enter_context(pa.ipc.new_file(f"{folder}/{len(out)}.arrow", cls.FIELDS))
+                    waiting[platform], counts[platform] = [], 0
+                waiting[platform].append(request)
+                counts[platform] += 1
+                if len(waiting[platform]) == cls.CHUNK:
+                    flush(platform)
+            for platform in out:
+                if waiting[platform]:
+                    flush(platform)
+        return cls(folder, counts)
+
+    def part(self, platform: str, start: int, end: int) -> pa.Table:
+        """A platform's requests from start up to end, in the plan's order."""
+        end, found = min(end, self.counts[platform]), []
+        if start < end:
+            batches = pa.ipc.open_file(pa.memory_map(f"{self.folder}/{list(self.counts).index(platform)}.arrow"))
+            for i in range(start // self.CHUNK, (end - 1) // self.CHUNK + 1):
+                first = i * self.CHUNK
+                low, high = max(start - first, 0), min(end - first, self.CHUNK)
+                found.append(batches.get_batch(i).slice(low, high - low))
+        return pa.Table.from_batches(found, self.FIELDS)
+
+
+@contextlib.contextmanager
+def kept(plan: Iterable[Request]) -> Iterator[Plan]:
+    """The plan, in a folder that is there inside."""
+    with tempfile.TemporaryDirectory(prefix="tidemill-plan-") as folder:
+        yield Plan.written(plan, folder)
+
+
 class _Admitted(InputPartition):
-    def __init__(self, requests: Sequence[Request]) -> None:
-        self.requests = list(requests)
+    def __init__(self, asked: pa.Table, due: np.ndarray) -> None:
+        """asked: requests, and due: the times from which they are allowed. Both travel as bytes, which tasks read."""
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, asked.schema) as stream:
+            stream.write_table(asked)
+        self.asked, self.times = out.getvalue().to_pybytes(), due.tobytes()
+
+    @property
+    def requests(self) -> list[Request]:
+        return list(map(Request._make, zip(*(c.to_pylist() for c in pa.ipc.open_stream(self.asked).read_all().columns))))
+
+    @property
+    def due(self) -> list[float]:
+        return np.frombuffer(self.times).tolist()
 
     @property
     def request(self) -> Request:
@@ -87,49 +173,70 @@ def answer(request: Request, get: Callable[..., fetch.Answer], sleep: Callable[[
     return (*key, None, seen[-1] if seen else "no attempt") if got is None else (*key, got.text(), None)
 
 
-def source(plan: Sequence[Request], connect: Callable[[], Callable[..., fetch.Answer]] = urlopen, rate: float | dict[str, float] = RATE, burst: int = 1, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.time, name: str = "requests") -> type[DataSource]:
-    """A data source over a plan. connect: called once per Python worker, gives the function that makes a request."""
-    by_platform: dict[str, list[Request]] = {}
-    for request in map(Request._make, plan):
-        by_platform.setdefault(request.platform, []).append(request)
+def source(plan: Iterable[Request] | Plan, connect: Callable[[], Callable[..., fetch.Answer]] = urlopen, rate: float | dict[str, float] = RATE, burst: int = 1, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.time, name: str = "requests", ahead: float = 0.0) -> type[DataSource]:
+    """A data source over a plan. connect: called once per Python worker, gives the function that makes a request. ahead: seconds that a micro-batch admits ahead at most."""
+    if not isinstance(plan, Plan):
+        folder = tempfile.mkdtemp(prefix="tidemill-plan-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        plan = Plan.written(plan, folder)
+    most = max(1, MOST // max(1, len(plan.counts)))
+
+    def per_second(platform: str) -> float:
+        return rate.get(platform, RATE) if isinstance(rate, dict) else rate
 
     class Reader(DataSourceStreamReader):
-        def __init__(self, by_platform: dict[str, list[Request]]) -> None:
-            self.by_platform = by_platform
-            self.admitted: dict[str, int] | None = None
-            self.tokens = dict.fromkeys(by_platform, float(burst))
-            self.at = clock()
+        def __init__(self) -> None:
+            self.admitted = self.initialOffset()
+            # what may be admitted, and what may be made: a request is made after it is admitted
+            self.tokens = dict.fromkeys(plan.counts, float(burst))
+            self.slots = dict.fromkeys(plan.counts, float(burst))
+            self.at = self.dealt = clock()
+            self.running = False
 
         def __getstate__(self) -> dict:
-            """For tasks, which read their own partitions' requests: the plan does not travel with each of them."""
+            """For tasks, which read their own partitions' requests."""
             return {}
 
         def initialOffset(self) -> dict:
-            return dict.fromkeys(self.by_platform, 0)
+            return dict.fromkeys(plan.counts, 0)
 
         def latestOffset(self) -> dict:
-            if self.admitted is None:
-                self.admitted = self.initialOffset()
             now = clock()
-            for platform, requests in self.by_platform.items():
-                gained = (now - self.at) * (rate.get(platform, RATE) if isinstance(rate, dict) else rate)
-                self.tokens[platform] = min(float(burst), self.tokens[platform] + gained)
-                n = min(int(self.tokens[platform]), len(requests) - self.admitted[platform])
+            spent, self.at = now - self.at, now
+            coming = min(spent, ahead) if self.running else 0.0
+            self.running = True
+            for platform, total in plan.counts.items():
+                self.tokens[platform] = min(float(burst), self.tokens[platform] + spent * per_second(platform))
+                n = min(int(self.tokens[platform] + coming * per_second(platform)), most, total - self.admitted[platform])
+                n = max(n, 0)
                 self.tokens[platform] -= n
                 self.admitted[platform] += n
-            self.at = now
             return dict(self.admitted)
 
         def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-            # after a restart the checkpoint is ahead of a new reader, which then goes on from there
-            self.admitted = {p: max(end.get(p, 0), (self.admitted or {}).get(p, 0)) for p in self.by_platform}
-            asked = [r for p, requests in self.by_platform.items() for r in requests[start.get(p, 0) : end.get(p, 0)]]
-            n = min(TASKS, len(asked))
-            return [_Admitted(asked[i::n]) for i in range(n)]  # a platform's requests go to many partitions
+            # after a restart the checkpoint may be ahead of a new reader, which then goes on from there
+            self.admitted = {p: max(end.get(p, 0), n) for p, n in self.admitted.items()}
+            now = clock()
+            passed, self.dealt = now - self.dealt, now
+            asked, due = [plan.FIELDS.empty_table()], [np.empty(0)]
+            for platform in plan.counts:
+                gain = per_second(platform)
+                free = min(float(burst), self.slots[platform] + passed * gain)
+                asked.append(plan.part(platform, start.get(platform, 0), end.get(platform, 0)))
+                late = np.maximum(np.arange(1, len(asked[-1]) + 1) - free, 0.0)
+                due.append(now + (late / gain if gain > 0 else 0 * late))
+                self.slots[platform] = free - len(asked[-1])
+            requests, times = pa.concat_tables(asked), np.concatenate(due)
+            order = np.argsort(times, kind="stable")  # so that in a task no platform waits for a slower one
+            n = min(TASKS, len(order))
+            return [_Admitted(requests.take(order[i::n]), times[order[i::n]]) for i in range(n)]  # a platform's requests go to many partitions
 
         def read(self, partition: _Admitted):
-            for request in partition.requests:
-                yield answer(request, fetch.session(connect), sleep, dict(os.environ))
+            get, env = fetch.session(connect), dict(os.environ)
+            for request, due in zip(partition.requests, partition.due):
+                if (early := due - clock()) > 0:
+                    time.sleep(early)
+                yield answer(request, get, sleep, env)
 
         def commit(self, end: dict) -> None:
             pass
@@ -143,7 +250,7 @@ def source(plan: Sequence[Request], connect: Callable[[], Callable[..., fetch.An
             return SCHEMA
 
         def streamReader(self, schema):
-            return Reader(by_platform)
+            return Reader()
 
     return Requests
 
@@ -153,13 +260,16 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def fetch_plan(spark: SparkSession, plan: Sequence[Request], path: str, checkpoint: str, longest: float = float("inf"), every: str = "1 second", **how: Any) -> bool:
+def fetch_plan(spark: SparkSession, plan: Iterable[Request] | Plan, path: str, checkpoint: str, longest: float = float("inf"), every: str = "1 second", ahead: float = AHEAD, **how: Any) -> bool:
     """Makes the plan's requests and writes their answers as a table at path; call again, with the same plan and checkpoint, to go on.
 
     Ends when all have been made, or after `longest` seconds and a micro-batch; returns whether all have been."""
-    kind = source(plan, **how)
+    if not isinstance(plan, Plan):
+        with kept(plan) as plan:
+            return fetch_plan(spark, plan, path, checkpoint, longest, every, ahead, **how)
+    kind = source(plan, ahead=ahead, **how)
     spark.dataSource.register(kind)
-    began, total = time.monotonic(), len(plan)
+    began, total = time.monotonic(), sum(plan.counts.values())
     query = spark.readStream.format(kind.name()).load().writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
     try:
         while query.isActive and (query.lastProgress is None or time.monotonic() - began < longest):
