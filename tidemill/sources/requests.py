@@ -5,7 +5,8 @@ rate limiter: a bucket per platform gains `rate` requests a second up to `burst`
 however many tasks a cluster runs, and platforms do not wait for each other. With `ahead`, a micro-batch also admits
 what its bucket gains while it runs, taken to be as long as the one before; each request has the time from which its
 bucket allows it, and its task waits for that (the clocks of the machines are taken to agree). So the pause between
-micro-batches costs no rate, and no more than burst and rate allow is asked at any time.
+micro-batches costs no rate, and no request begins before its time; one whose task is late begins later, and further
+attempts at it count for no bucket.
 
 A micro-batch deals its requests to at most TASKS partitions, each of which makes its own one after the other:
 attempts, pauses between them, headers and the platform's cookie are safe_get()'s, over one session per Python worker.
